@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from archloom.llm import line_quality
 from archloom.llm.jaccard_join import jaccard_classes
 from archloom.sources.tables import table
 
@@ -16,3 +17,11 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_jaccard_join"] = op1_jaccard_join
+
+
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_line_quality"] = op3_line_quality
+ORACLE_SQL["op3_line_quality"] = line_quality.SQL
