@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archloom.llm import line_quality
+from archloom.llm import line_quality, secret_scan
 from archloom.llm.jaccard_join import jaccard_classes
+from archloom.llm.url_rules import judge_urls
+from archloom.llm.pieces import encode_and_check
+from archloom.llm.token_counts import token_counts
 from archloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -25,3 +28,32 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op3_line_quality"] = op3_line_quality
 ORACLE_SQL["op3_line_quality"] = line_quality.SQL
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES["op9_secret_scan"] = op9_secret_scan
+ORACLE_SQL["op9_secret_scan"] = secret_scan.SQL
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op10_url_rules"] = op10_url_rules
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_token_counts"] = op4_token_counts
+
+
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_check(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op2_pieces"] = op2_pieces
