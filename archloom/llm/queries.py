@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from archloom.llm import line_quality, secret_scan
 from archloom.llm.jaccard_join import jaccard_classes
 from archloom.llm.url_rules import judge_urls
+from archloom.llm.line_dedup import dedup_lines
 from archloom.llm.pieces import encode_and_check
 from archloom.llm.token_counts import token_counts
 from archloom.sources.tables import table
@@ -57,3 +58,10 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_pieces"] = op2_pieces
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_line_dedup"] = op8_line_dedup
