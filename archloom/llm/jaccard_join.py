@@ -235,4 +235,4 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class: that with the smallest id. Rows without an id all stay."""
     found = jaccard_classes(docs, **options)
     gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")

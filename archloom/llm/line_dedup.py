@@ -81,18 +81,18 @@ def repeated_runs(found: DataFrame, scratch: Scratch, min_words: int) -> DataFra
     return runs.groupBy("d", "tk").agg(F.array_sort(F.collect_list(F.struct("pos", "end"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: (id, n_lines, n_removed_lines, n_removed_words, removed, clean_text).
 
     Lines are split at line feeds and compared without white space at their ends; lines without a word
     neither count nor break a run, and stay. A run goes where its lines, ``min_words`` words at least,
     also stand at an earlier place (smaller id, then text hash, then line); overlaps are allowed.
     removed: the line numbers, from 0. Null texts give null clean_text and no lines. Rows without an
-    id come first in the order. Rows with equal id and text count as one and get equal results. Other
-    columns are ignored.
+    id come first in the order. Rows with equal id and text count as one and get equal results.
+    ``carry`` adds those columns of ``docs`` as the struct ``row``; others are ignored.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    read = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.col(text_col).cast("string").alias("_text"))
+    read = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.col(text_col).cast("string").alias("_text"), *([F.struct(*carry).alias("row")] if carry else []))
     read = read.withColumn("tk", F.coalesce(F.xxhash64("_text"), F.lit(0)))
     full = F.transform(F.filter(lines(F.col("_text")), has_word), lambda x: F.struct(F.xxhash64(F.trim(x, F.lit(SPACES))).alias("c"), word_count(x).alias("words")))
     rows = read.select("d", "tk", F.posexplode(full).alias("pos", "x")).select("d", "tk", "pos", "x.c", "x.words")
@@ -116,7 +116,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         )
 
     made = F.when(F.col("runs").isNotNull(), let(lines(F.col("_text")), cut))
-    out = joined.select("_id", "_text", made.alias("x"))
+    out = joined.select("_id", "_text", made.alias("x"), *(["row"] if carry else []))
     nothing = F.array().cast("array<int>")
     return out.select(
         F.col("_id").alias(id_col),
@@ -125,4 +125,5 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         F.coalesce("x.words", F.lit(0)).cast("long").alias("n_removed_words"),
         F.coalesce("x.removed", nothing).alias("removed"),
         F.when(F.col("x").isNotNull(), F.col("x.text")).otherwise(F.col("_text")).alias("clean_text"),
+        *(["row"] if carry else []),
     )

@@ -68,25 +68,26 @@ def frequent_lines(rows: DataFrame, *, max_share: float, min_docs: int) -> DataF
     return counts.join(hosts, "host").where(F.col("n_docs") > F.lit(max_share) * F.col("host_docs")).select("host", "line")
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float = 0.1, min_docs: int = 20, min_left: float = 0.3, with_text: bool = False) -> DataFrame:
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float = 0.1, min_docs: int = 20, min_left: float = 0.3, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: base statistics, lines removed, and whether the document stays.
 
     (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines,
-    n_removed_lines, n_removed_words; ``with_text`` adds clean_text: the text without its frequent lines.)
+    n_removed_lines, n_removed_words; ``with_text`` adds clean_text: the text without its frequent lines; ``carry`` adds those columns of
+    ``docs`` as the struct ``row``.)
 
     A line is removed where more than ``max_share`` of its host's different texts, and ``min_docs`` at
     least, hold it. A document is depleted, and rejected, where fewer than ``min_left`` of its words
     are left. A null text is an empty one and fails the base rules; null hosts are one host.
     Rows with equal id, host and text get equal verdicts. Other columns are ignored.
     """
-    read = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    read = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *([F.struct(*carry).alias("row")] if carry else []))
     read = read.withColumn("text_key", F.xxhash64("_text"))
     parts = F.transform(F.filter(lines(F.col("_text")), has_word), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), word_count(x).alias("words")))
     rows = read.select("_id", "host", "text_key", F.explode(parts).alias("x")).select("_id", "host", "text_key", "x.line", "x.words")
     often = frequent_lines(rows, max_share=max_share, min_docs=min_docs)
     hit = rows.join(often, ["host", "line"])
     removed = hit.groupBy("_id", "host", "text_key").agg(F.count("*").alias("n_removed_lines"), F.sum("words").alias("n_removed_words"), *([F.collect_set("line").alias("_gone")] if with_text else []))
-    stats = read.select("_id", "host", "text_key", *[c.alias(k) for k, c in base_columns(F.col("_text")).items()], F.size(lines(F.col("_text"))).cast("long").alias("n_lines"), *(["_text"] if with_text else []))
+    stats = read.select("_id", "host", "text_key", *[c.alias(k) for k, c in base_columns(F.col("_text")).items()], F.size(lines(F.col("_text"))).cast("long").alias("n_lines"), *(["_text"] if with_text else []), *(["row"] if carry else []))
     keys = ["_id", "host", "text_key"]
     other = removed.select(*[F.col(k).alias(f"r_{k}") for k in keys], "n_removed_lines", "n_removed_words", *(["_gone"] if with_text else [])).hint("shuffle_hash")
     out = stats.join(other, [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys], "left")
@@ -99,6 +100,8 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
         left = F.filter(lines(F.col("_text")), lambda x: ~has_word(x) | ~F.array_contains(F.col("_gone"), F.xxhash64(normal_line(x))))
         out = out.withColumn("clean_text", F.when(F.col("n_removed_lines") > 0, F.array_join(left, "\n")).otherwise(F.col("_text")))
         names.append("clean_text")
+    if carry:
+        names.append("row")
     return out.select(F.col("_id").alias(id_col), *names)
 
 
