@@ -10,6 +10,7 @@ from archloom.llm.url_rules import judge_urls
 from archloom.llm.line_dedup import dedup_lines
 from archloom.llm.pieces import encode_and_check
 from archloom.llm.token_counts import token_counts
+from archloom.llm.vantage import nearest
 from archloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -65,3 +66,22 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_line_dedup"] = op8_line_dedup
+
+
+def op7_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op7_vantage"] = op7_vantage
+ORACLE_SQL["op7_vantage"] = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL
+), q AS (
+  SELECT * FROM v WHERE vec_id % 50 = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS score FROM q JOIN v ON q.vec_id <> v.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
