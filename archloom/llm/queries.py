@@ -8,6 +8,7 @@ from archloom.llm import line_quality, secret_scan
 from archloom.llm.jaccard_join import jaccard_classes
 from archloom.llm.url_rules import judge_urls
 from archloom.llm.line_dedup import dedup_lines
+from archloom.llm.mixing import mix_to_targets
 from archloom.llm.pieces import encode_and_check
 from archloom.llm.token_counts import token_counts
 from archloom.llm.vantage import nearest
@@ -85,3 +86,10 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_to_targets(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+
+
+QUERIES["op5_mixing"] = op5_mixing

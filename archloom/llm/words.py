@@ -74,10 +74,10 @@ def chunks(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _hash_piece(raw: np.ndarray, heads: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words in ``raw``; a text starts at each of ``heads``."""
+def _hash_piece(raw: np.ndarray, heads: np.ndarray, lower: bool, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (a row for the words and one for each prefix length) and starts of the words in ``raw``; a text starts at each of ``heads``."""
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros((1 + len(prefixes), 0), np.uint64), np.zeros(0, np.int64)
     word = ~_SPACE[raw]
     cut = np.zeros(len(raw) + 1, bool)
     cut[heads] = True
@@ -93,16 +93,25 @@ def _hash_piece(raw: np.ndarray, heads: np.ndarray, lower: bool) -> tuple[np.nda
     values += np.uint64(1)
     values *= up[: len(raw)]
     np.cumsum(values, out=total[1:])
-    h = total[ends]
-    h -= total[starts]
-    h *= down[starts]
-    return mix(h), starts
+    out = np.empty((1 + len(prefixes), len(starts)), np.uint64)
+    for row, size in enumerate((None, *prefixes)):
+        h = total[ends if size is None else np.minimum(starts + size, ends)]
+        h -= total[starts]
+        h *= down[starts]
+        out[row] = mix(h + np.uint64(row))
+    return out, starts
 
 
 def hash_words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the n+1 positions at which each text's words begin."""
+    h, at = hash_words_and_prefixes(raw, offsets, (), lower)
+    return h[0], at
+
+
+def hash_words_and_prefixes(raw: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """As ``hash_words``, with a further row of hashes for the words' first bytes, for each length of ``prefixes``."""
     if len(raw) <= 2 * CHUNK:
-        h, starts = _hash_piece(raw, offsets[:-1], lower)
+        h, starts = _hash_piece(raw, offsets[:-1], lower, prefixes)
     else:  # a very long text goes in pieces that end at white space
         parts, places, lo = [], [], 0
         while lo < len(raw):
@@ -116,11 +125,11 @@ def hash_words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tup
                 step += 65536
                 hi = min(step, len(raw))
             heads = offsets[(offsets >= lo) & (offsets < hi)] - lo
-            part, place = _hash_piece(raw[lo:hi], heads, lower)
+            part, place = _hash_piece(raw[lo:hi], heads, lower, prefixes)
             parts.append(part)
             places.append(place + lo)
             lo = hi
-        h, starts = np.concatenate(parts), np.concatenate(places)
+        h, starts = np.concatenate(parts, axis=1), np.concatenate(places)
     return h, np.searchsorted(starts, offsets)
 
 
