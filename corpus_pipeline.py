@@ -14,6 +14,7 @@ from archloom.llm.columns import has_word
 from archloom.llm.jaccard_join import keep_first
 from archloom.llm.line_dedup import dedup_lines
 from archloom.llm.line_quality import judge
+from archloom.llm.mixing import mix_to_targets
 from archloom.llm.pieces import encode_and_check
 from archloom.sources.scratch import Scratch
 from archloom.sources.tables import table
@@ -41,6 +42,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return keep_first(docs).select(*COLUMNS)
 
 
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix gives no copy go: those that are most likely toxic."""
+    return mix_to_targets(docs, table(spark, sf_dir, "labels")).where("copies > 0").select(*COLUMNS)
+
+
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of each text, its best segmentations' scores, and whether decoding gives the text back."""
     return encode_and_check(docs)
@@ -50,6 +56,7 @@ STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
     ("jaccard_join", near_duplicates),
+    ("mixing", mixing),
     ("pieces", encoding),
 ]
 
