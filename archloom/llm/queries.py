@@ -8,6 +8,7 @@ from archloom.llm import line_quality, secret_scan
 from archloom.llm.jaccard_join import jaccard_classes
 from archloom.llm.url_rules import judge_urls
 from archloom.llm.line_dedup import dedup_lines
+from archloom.llm.lm import lm_scores
 from archloom.llm.mixing import mix_to_targets
 from archloom.llm.pieces import encode_and_check
 from archloom.llm.token_counts import token_counts
@@ -93,3 +94,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_mixing"] = op5_mixing
+
+
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_lm"] = op6_lm
