@@ -165,7 +165,7 @@ def rate_column(p: Column, steps: list[list[float]]) -> Column:
     return F.aggregate(made, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float], *, most_steps: int = 25, close: float = 1e-4) -> list[list[float]]:
+def fit_rates(table: DataFrame, targets: dict[str, float], *, most_steps: int = 25, close: float = 0.02) -> list[list[float]]:
     """The steps of the fit over ``table`` (tokens, p).
 
     Minimised: the squared difference of totals and targets in the metric of the domains' Gram matrix;
