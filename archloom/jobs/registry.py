@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from archloom.jobs import audit
+from archloom.jobs import audit, urls
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
-for _module in (audit,):
+for _module in (audit, urls):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
