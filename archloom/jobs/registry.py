@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from archloom.jobs import audit, urls
+from archloom.jobs import audit, catalog, tree, urls
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
-for _module in (audit, urls):
+for _module in (audit, urls, catalog, tree):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
