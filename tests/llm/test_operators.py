@@ -213,7 +213,7 @@ def test_quality_base(docs, texts, odd, none):
 
 def test_frequent_lines_go_and_depleted_documents_too(spark):
     common = "read more news on this site every day of the week"
-    rows = [(i, f"{' '.join(f'w{i}x{k}' for k in range(30))}\n{common} {i}", "a") for i in range(30)]
+    rows = [(i, f"{' '.join(f'w{i}x{k}' for k in range(30))}\n{common} {i % 10}", "a") for i in range(30)]
     rows += [(100 + i, f"{common} 7\n" * 3 + f"only{i}", "a") for i in range(10)]
     rows += [(200, f"{common} 1\n{' '.join(f'z{k}' for k in range(30))}", "b")]
     got = {r.doc_id: r for r in line_quality.judge(clashing(spark, rows), with_text=True, max_share=0.5, min_docs=10).collect()}
