@@ -170,10 +170,13 @@ def test_n_best_equals_enumeration():
         assert len({i for _, i in got}) == len(got)
         units = m.unit.findall(s)
         assert "".join(units) == s
+        names, inverse, at = m.units([None, s[1:].replace(MARK, " "), ""])
+        assert [names[i] for i in inverse] == units
+        assert list(at) == [0, 0, len(units), len(units)]
         found = [m.nbest(u, 5) for u in units]
         losses = [tuple(f[0][0] - x for x, _ in f[1:]) for f in found]
         top = sum(f[0][0] for f in found)
-        assert [top - x for x in best_losses([x[0] if x else math.inf for x in losses], tuple(losses), 5)] == [x[0] for x in want]
+        assert [top - x for x in best_losses(np.array([x[0] if x else math.inf for x in losses]), losses.__getitem__, 5)] == [x[0] for x in want]
 
 
 def test_pieces_round_trip(docs, odd, none):
