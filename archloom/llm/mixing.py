@@ -158,22 +158,31 @@ def with_posteriors(docs: DataFrame, model: Classifier, *, text_col: str) -> Dat
     return docs.mapInArrow(predict, T.StructType([*docs.schema.fields, T.StructField("_mix", spec)]))
 
 
-def rate_column(p: Column, steps: list[list[float]]) -> Column:
-    """The rate of a document after the steps: from 1, less posterior times step, never below 0."""
+def floor_column(p: Column, targets: dict[str, float]) -> Column:
+    """The least rate of a document: half a copy where it belongs, more likely than not, to domains that are wanted whole, else 0."""
+    whole = [F.get(p, i) for i, d in enumerate(DOMAINS) if targets[d] >= 1]
+    return F.when(sum(whole[1:], whole[0]) >= 0.5, 0.5).otherwise(0.0) if whole else F.lit(0.0)
+
+
+def rate_column(p: Column, steps: list[list[float]], targets: dict[str, float]) -> Column:
+    """The rate of a document after the steps: from 1, less posterior times step, never below its floor."""
     if not steps:
         return F.lit(1.0)
     made = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
     dot = lambda s: sum((F.get(p, i) * F.get(s, i) for i in range(1, len(DOMAINS))), F.get(p, 0) * F.get(s, 0))
-    return F.aggregate(made, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
+    floor = floor_column(p, targets)
+    return F.aggregate(made, F.lit(1.0), lambda r, s: F.greatest(floor, r - dot(s)))
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float], *, most_steps: int = 25, close: float = 0.02) -> list[list[float]]:
+def fit_rates(table: DataFrame, targets: dict[str, float], *, most_steps: int = 100, close: float = 0.01) -> list[list[float]]:
     """The steps of the fit over ``table`` (tokens, p).
 
     Minimised: the squared difference of totals and targets in the metric of the domains' Gram matrix;
     steps are scaled by 1/tokens, so that a long document is not cut more than a short one alike. In
-    this metric a step of length 1 is safe. It ends when the totals are within ``close`` of all tokens,
-    or no longer move.
+    this metric a step of length 1 is safe. Each domain is measured by its own tokens, so a rare one
+    counts as much as a common one: the fit ends when all totals are within ``close`` of their domain's
+    tokens from their targets, or no longer move (a tenth of that). Unsure documents are spared by
+    their floor (``floor_column``), not by an early end.
     """
     k = len(DOMAINS)
     p = [F.get("p", i) for i in range(k)]
@@ -183,17 +192,21 @@ def fit_rates(table: DataFrame, targets: dict[str, float], *, most_steps: int =
     gram = np.array([[first[f"g{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)])
     total = np.array([first[f"t{i}"] for i in range(k)])
     want = total * np.array([targets[d] for d in DOMAINS])
-    inverse = np.linalg.pinv(gram, rcond=1e-10)
+    live = total > 1e-15 * total.sum()  # a domain without examples has e^-50
+    size = np.sqrt(np.where(live, np.diag(gram), 1.0))
+    held = np.outer(live, live)
+    inverse = np.linalg.pinv(np.where(held, gram, 0) / np.outer(size, size), rcond=1e-10, hermitian=True) / np.outer(size, size)
     steps: list[list[float]] = []
-    now, scale = total, total.sum()
-    while len(steps) < most_steps and np.abs(now - want).max() > close * scale:
+    now = total
+    while len(steps) < most_steps and (np.abs(now - want) > close * total)[live].any():
         steps.append((inverse @ (now - want)).tolist())
-        rate = rate_column(F.col("p"), steps)
+        rate = rate_column(F.col("p"), steps, targets)
         row = table.select("tokens", "p", rate.alias("r")).agg(*[F.sum(F.col("tokens") * F.col("r") * p[i]) for i in range(k)]).first()
         after = np.array(list(row))
-        if np.abs(after - now).max() < close * 1e-2 * scale:
-            break
+        still = (np.abs(after - now) <= 0.1 * close * total)[live].all()
         now = after
+        if still:
+            break
     return steps
 
 
@@ -202,7 +215,8 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
     ``labels``: doc_id, quality, toxic (a document labelled more than once counts by its worst). Domains:
     toxic; else of quality 0: poor; else good. ``targets``: multiples of the domains' expected tokens.
-    copies: the rate rounded. A domain without labelled examples gets no documents; without any labels
+    copies: the rate rounded. A document that is more likely than not of domains with targets of 1 or
+    more has a rate of 0.5 at least, so it keeps a copy however unsure it is. A domain without labelled examples gets no documents; without any labels
     all are good and all rates 1. Texts without words have 0 tokens and the prior's posterior. Rows
     with one id are judged each by its text.
     """
@@ -210,8 +224,9 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     model = train(docs, labels, id_col=id_col, text_col=text_col, max_train=max_train)
     narrow = docs.select(F.col(text_col).cast("string").alias("text"))
     table = scratch.keep(with_posteriors(narrow, model, text_col="text").select("_mix.tokens", "_mix.p"))
-    steps = fit_rates(table, targets or TARGETS)
+    targets = targets or TARGETS
+    steps = fit_rates(table, targets)
     out = with_posteriors(docs, model, text_col=text_col)
-    rate = rate_column(F.col("_mix.p"), steps)
+    rate = rate_column(F.col("_mix.p"), steps, targets)
     out = out.select(*docs.columns, F.col("_mix.tokens").alias("tokens"), *[F.get(F.col("_mix.p"), i).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], rate.alias("rate"))
     return out.withColumn("copies", F.floor(F.col("rate") + 0.5).cast("long"))

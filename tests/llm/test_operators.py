@@ -288,6 +288,21 @@ def test_mixing_meets_targets_and_spares_clean_documents(spark):
     assert expected <= 0.021 * sum(r.tokens for r in rows)
 
 
+@pytest.mark.parametrize("clean_words", [40, 400])
+def test_mixing_drops_rare_toxic_documents(spark, clean_words):
+    """0.5 % of the documents are surely toxic; long clean ones dilute their share of the tokens further."""
+    random.seed(5)
+    names = [f"word{k}" for k in range(300)]
+    toxic = set(range(0, 2000, 200))
+    rows = [(i, " ".join([*random.choices(names, k=20 if i in toxic else clean_words), *(["grobian", "lummox", "oaf"] if i in toxic else [])])) for i in range(2000)]
+    labels = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(2000)], "doc_id long, quality int, toxic int")
+    got = mix_to_targets(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert {r.doc_id for r in got if r.copies == 0} == toxic
+    assert all(r.rate >= 0.5 for r in got if r.doc_id not in toxic)
+    tokens = sum(r.tokens for r in got)
+    assert abs(sum(r.tokens * r.rate * (1 - r.p_toxic) for r in got) - sum(r.tokens * (1 - r.p_toxic) for r in got)) <= 0.01 * tokens
+
+
 def test_mixing_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, None, None), (2, 1, 0), (None, 0, 1), (4, 0, 0), (5, 1, 1), (5, None, 0)], "doc_id long, quality int, toxic int")
     plain = lambda df: df.drop("tokens", "rate")
