@@ -13,10 +13,11 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -206,7 +207,7 @@ def piece_model(path: str) -> PieceModel:
 
 
 class _Units(dict):
-    """(ids as bytes, best score, first loss, losses of the next best) of the units met lately.
+    """(ids as bytes, best score, first loss, losses of the next best, their ids as bytes with ``_NEXT`` between) of the units met lately.
 
     Two generations of ``CACHE`` units at most: what is met again moves to the younger one.
     """
@@ -221,7 +222,8 @@ class _Units(dict):
             found = self.model.nbest(unit, self.n)
             top = found[0][0]
             losses = tuple([top - s for s, _ in found[1:]])
-            made = (array("i", found[0][1]).tobytes(), top, losses[0] if losses else _NEVER, losses)
+            raws = [array("i", ids).tobytes() for _, ids in found]
+            made = (raws[0], top, losses[0] if losses else _NEVER, losses, _NEXT.join(raws[1:]))
             if len(unit) > 200:
                 return made
         if len(self) >= CACHE:
@@ -232,6 +234,8 @@ class _Units(dict):
 
 
 _NEVER = float("inf")
+#: Between the ids of a unit's alternatives; as the highest byte of an id is 0, it stands in none.
+_NEXT = b"\xff" * 4
 
 
 @lru_cache(maxsize=2)
@@ -239,25 +243,38 @@ def _units(path: str, n: int) -> _Units:
     return _Units(piece_model(path), n)
 
 
-def best_losses(firsts: np.ndarray, losses: Callable[[int], tuple[float, ...]], n: int) -> list[float]:
+def best_choices(firsts: np.ndarray, losses: Callable[[int], tuple[float, ...]], n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
     """The ``n`` least losses of a text against its best segmentation, from its units' first losses (changed) and all of them.
 
-    Only the n-1 units of least first loss can matter: each of them alone beats any other change.
+    Each with the changes that make it: (unit, number of its alternative from 0). Only the n-1 units
+    of least first loss can matter: each of them alone beats any other change.
     """
-    sums = [0.0]
+    sums: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
     for _ in range(min(n - 1, len(firsts))):
         at = int(firsts.argmin())
         if firsts[at] == _NEVER:
             break
         firsts[at] = _NEVER
-        sums = sorted([a + b for a in sums for b in (0.0, *losses(at))])[:n]
+        sums = sorted(sums + [(a + b, (*had, (at, k))) for a, had in sums for k, b in enumerate(losses(at))], key=_loss)[:n]
     return sums
 
 
-def _encode_some(model: PieceModel, seen: _Units, texts: list[str | None], n: int) -> list[pa.Array]:
-    """n_pieces, score, scores and ids of some texts."""
+_loss = itemgetter(0)
+
+
+def best_losses(firsts: np.ndarray, losses: Callable[[int], tuple[float, ...]], n: int) -> list[float]:
+    """The losses of ``best_choices``."""
+    return [loss for loss, _ in best_choices(firsts, losses, n)]
+
+
+def _bytes_of(model: PieceModel, raw: bytes) -> bytes:
+    return b"".join(map(model.as_bytes.__getitem__, memoryview(raw).cast("i")))
+
+
+def _encode_some(model: PieceModel, seen: _Units, texts: list[str | None], n: int) -> tuple[list[pa.Array], list[bool]]:
+    """n_pieces, score, scores, others and ids of some texts, and whether their other segmentations decode as the best does."""
     names, inverse, at = model.units(texts)
-    raws, tops, firsts, losses = zip(*map(seen.__getitem__, names), strict=True) if names else ((), (), (), ())
+    raws, tops, firsts, losses, nexts = zip(*map(seen.__getitem__, names), strict=True) if names else ((), (), (), (), ())
     size = np.array([len(r) // 4 for r in raws], np.int64)
     before = np.concatenate([[0], np.cumsum(size)])
     count = size[inverse]
@@ -268,12 +285,30 @@ def _encode_some(model: PieceModel, seen: _Units, texts: list[str | None], n: in
     score = np.zeros(len(texts))
     score[full] = np.add.reduceat(np.array(tops, float)[inverse], at[full]) if len(full) else 0
     first = np.array(firsts, float)[inverse]
-    scores = []
+    scores, other_scores, other_ends, change_ends, changes, new, alike = [], [], [0], [0], [], [], []
     for k in range(len(texts)):
-        lo = int(at[k])
-        scores.append([float(score[k]) - x for x in best_losses(first[lo : at[k + 1]], lambda i, lo=lo: losses[inverse[lo + i]], n)])
+        lo, top, same = int(at[k]), float(score[k]), True
+        found = best_choices(first[lo : at[k + 1]], lambda i, lo=lo: losses[inverse[lo + i]], n)
+        scores.append([top - x for x, _ in found])
+        other_scores += scores[-1][1:]
+        other_ends.append(len(other_scores))
+        for _, made in found[1:]:
+            for i, choice in sorted(made):
+                unit = inverse[lo + i]
+                new.append(nexts[unit].split(_NEXT)[choice])
+                changes.append(lo + i)
+                same = same and _bytes_of(model, new[-1]) == _bytes_of(model, raws[unit])
+            change_ends.append(len(changes))
+        alike.append(same)
+    of = np.array(changes, np.int64)
+    text = np.searchsorted(at, of, side="right") - 1
+    new_ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in new])]).astype(np.int32)
+    new_ids = pa.ListArray.from_arrays(pa.array(new_ends), pa.array(np.frombuffer(b"".join(new), np.int32)))
+    change = pa.StructArray.from_arrays([pa.array((place[of] - ends[text]).astype(np.int32)), pa.array(count[of].astype(np.int32)), new_ids], names=["at", "n", "ids"])
+    other = pa.StructArray.from_arrays([pa.array(other_scores, pa.float64()), pa.ListArray.from_arrays(pa.array(change_ends, pa.int32()), change)], names=["score", "changes"])
+    others = pa.ListArray.from_arrays(pa.array(other_ends, pa.int32()), other)
     listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=pa.array([t is None for t in texts], pa.bool_()))
-    return [pa.array(np.diff(ends)), pa.array(score), pa.array(scores, pa.list_(pa.float64())), listed]
+    return [pa.array(np.diff(ends)), pa.array(score), pa.array(scores, pa.list_(pa.float64())), others, listed], alike
 
 
 def _texts_of(model: PieceModel, ids: pa.ListArray) -> list[str | None]:
@@ -290,12 +325,12 @@ def _encoder(path: str, n: int, check: bool):
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for lo, hi in chunks(np.concatenate([[0], np.cumsum([len(t or "") for t in texts])])):
-                made = _encode_some(model, seen, texts[lo:hi], n)
-                names = ["n_pieces", "score", "scores", "ids"]
+                made, alike = _encode_some(model, seen, texts[lo:hi], n)
+                names = ["n_pieces", "score", "scores", "others", "ids"]
                 columns = batch.slice(lo, hi - lo).columns
                 if check:  # in the same task, so that the text needn't travel
                     back = _texts_of(model, made[-1])
-                    made.append(pa.array([a == b for a, b in zip(texts[lo:hi], back, strict=True)], pa.bool_()))
+                    made.append(pa.array([a == b and same for a, b, same in zip(texts[lo:hi], back, alike, strict=True)], pa.bool_()))
                     yield pa.RecordBatch.from_arrays([columns[0], *made], names=["doc_id", *names, "round_trip"])
                 else:
                     yield pa.RecordBatch.from_arrays([*columns, *made], names=[*batch.schema.names, *names])
@@ -303,19 +338,38 @@ def _encoder(path: str, n: int, check: bool):
     return encode
 
 
+OTHERS = "others array<struct<score:double,changes:array<struct<at:int,n:int,ids:array<int>>>>>"
+
+
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", nbest: int = 3, model: str = MODEL) -> DataFrame:
-    """One row for each row of ``docs``: (id, text, n_pieces, score, scores, ids).
+    """One row for each row of ``docs``: (id, text, n_pieces, score, scores, others, ids).
 
     ids: the best segmentation; score: the sum of its pieces' scores; scores: those of the ``nbest``
-    best, fewer where there are no more. A null text has null ids and no pieces, an empty one empty
+    best, fewer where there are no more; others: the segmentations after the best, as score and changes
+    (in place of the ``n`` best ids after the first ``at`` stand ``ids``; ``segmentations`` has them
+    whole). A null text has null ids and no pieces, an empty one empty
     ids. ``model``: a SentencePiece model file that all executors find at this path. Other columns
     are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(_encoder(model, nbest, False), "doc_id long, text string, n_pieces long, score double, scores array<double>, ids array<int>")
+    out = rows.mapInArrow(_encoder(model, nbest, False), f"doc_id long, text string, n_pieces long, score double, scores array<double>, {OTHERS}, ids array<int>")
     return out.withColumnRenamed("doc_id", id_col)
 
 
+def segmentations(encoded: DataFrame) -> DataFrame:
+    """A row for each segmentation: ``encoded`` (all other columns) with rank from 1, score, n_pieces and ids of it."""
+
+    def changed(changes: Column) -> Column:
+        # from the last change to the first, so that the places before stay as they are
+        return F.aggregate(F.reverse(changes), F.col("ids"), lambda ids, c: F.concat(F.slice(ids, F.lit(1), c["at"]), c["ids"], F.slice(ids, c["at"] + c["n"] + 1, F.size(ids))))
+
+    best = F.array(F.struct(F.col("score").alias("score"), F.col("ids").alias("ids")))
+    every = F.concat(best, F.transform("others", lambda o: F.struct(o["score"].alias("score"), changed(o["changes"]).alias("ids"))))
+    rest = [c for c in encoded.columns if c not in ("score", "scores", "others", "ids", "n_pieces")]
+    rows = encoded.select(*rest, F.posexplode(every).alias("_rank", "_one"))
+    return rows.select(*rest, (F.col("_rank") + 1).alias("rank"), F.col("_one.score").alias("score"), F.coalesce(F.array_size("_one.ids"), F.lit(0)).cast("long").alias("n_pieces"), F.col("_one.ids").alias("ids"))
+
+
 def _decoder(path: str, place: int):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -335,7 +389,11 @@ def decode(encoded: DataFrame, *, ids_col: str = "ids", model: str = MODEL) -> D
 
 
 def encode_and_check(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", nbest: int = 3, model: str = MODEL) -> DataFrame:
-    """``encode`` without the text, and whether decoding gives the text back (it does unless the text holds the mark itself)."""
+    """``encode`` without the text, and whether decoding gives the text back (it does unless the text holds the mark itself).
+
+    round_trip is for all segmentations: the best is decoded, and the changes of the others must have
+    the bytes of what they replace.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(_encoder(model, nbest, True), "doc_id long, n_pieces long, score double, scores array<double>, ids array<int>, round_trip boolean")
+    out = rows.mapInArrow(_encoder(model, nbest, True), f"doc_id long, n_pieces long, score double, scores array<double>, {OTHERS}, ids array<int>, round_trip boolean")
     return out.withColumnRenamed("doc_id", id_col)

@@ -179,6 +179,31 @@ def test_n_best_equals_enumeration():
         assert [top - x for x in best_losses(np.array([x[0] if x else math.inf for x in losses]), losses.__getitem__, 5)] == [x[0] for x in want]
 
 
+def test_each_of_the_n_best_is_given_and_decodes(spark, odd):
+    from archloom.llm.pieces import segmentations
+
+    m = piece_model(MODEL)
+    random.seed(3)
+    rows = [(i, "".join(random.choice("abthe in\nx€🧿gé") for _ in range(random.randint(1, 7)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in decode(segmentations(encode(df, nbest=5))).collect():
+        assert r.decoded == r.text
+        assert r.n_pieces == len(r.ids)
+        got.setdefault((r.doc_id, r.text), {})[r["rank"]] = (r.score, tuple(r.ids))
+    assert set(got) == set(rows)
+    for (_, t), ranks in got.items():
+        paths = {ids: x for x, ids in brute_paths(m, m.marked(t), 10**6)}
+        want = brute_paths(m, m.marked(t), 5)
+        assert sorted(ranks) == list(range(1, len(want) + 1))
+        assert len({ids for _, ids in ranks.values()}) == len(want)
+        for k, (x, _) in enumerate(want):
+            assert ranks[k + 1][0] == pytest.approx(x)
+            assert paths[ranks[k + 1][1]] == pytest.approx(x)
+    for r in decode(segmentations(encode(odd))).collect():
+        assert r.decoded == (r.text if r.text is None else r.text.replace(MARK, " "))
+
+
 def test_pieces_round_trip(docs, odd, none):
     assert encode_and_check(docs).where("not round_trip").count() == 0
     got = {(r.doc_id, r.text): (r.decoded, r.ids) for r in decode(encode(odd)).collect()}
