@@ -56,37 +56,40 @@ def base_columns(text: Column) -> dict[str, Column]:
     }
 
 
-def frequent_lines(rows: DataFrame, *, max_share: float, min_docs: int) -> DataFrame:
-    """(host, line) of the line hashes in more than ``max_share`` of the host's different texts, and in ``min_docs`` at least.
+def frequent_lines(rows: DataFrame, *, max_share: float, max_docs: int, min_docs: int) -> DataFrame:
+    """(host, line) of the line hashes in more than ``max_share`` of the host's documents, or in more than ``max_docs``, but in ``min_docs`` at least.
 
-    ``rows``: host, text_key, line. Exact copies of a text count once, so that a much copied
-    document doesn't turn its own lines into boilerplate. Both counts combine before the shuffle.
+    ``rows``: host, text_key, line. Exact copies are one document here, so that a much copied one
+    doesn't turn its own lines into boilerplate. Both counts combine before the shuffle.
     """
     once = rows.select("host", "line", "text_key").distinct()
     counts = once.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
     hosts = rows.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    return counts.join(hosts, "host").where(F.col("n_docs") > F.lit(max_share) * F.col("host_docs")).select("host", "line")
+    return counts.join(hosts, "host").where((F.col("n_docs") > F.lit(max_share) * F.col("host_docs")) | (F.col("n_docs") > max_docs)).select("host", "line")
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float = 0.1, min_docs: int = 20, min_left: float = 0.3, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float = 0.01, max_docs: int = 1000, min_docs: int = 20, min_left: float = 0.3, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: base statistics, lines removed, and whether the document stays.
 
     (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines,
     n_removed_lines, n_removed_words; ``with_text`` adds clean_text: the text without its frequent lines; ``carry`` adds those columns of
     ``docs`` as the struct ``row``.)
 
-    A line is removed where more than ``max_share`` of its host's different texts, and ``min_docs`` at
-    least, hold it. A document is depleted, and rejected, where fewer than ``min_left`` of its words
+    A line is removed where more than ``max_share`` of its host's documents hold it, or more than
+    ``max_docs``, whatever their share, but ``min_docs`` at least (exact copies count as one). A document is depleted, and rejected, where fewer than ``min_left`` of its words
     are left. A null text is an empty one and fails the base rules; null hosts are one host.
-    Rows with equal id, host and text get equal verdicts. Other columns are ignored.
+    Rows with equal id, host and text are one document: they get equal verdicts, each with that
+    document's own counts. Other columns are ignored.
     """
     read = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *([F.struct(*carry).alias("row")] if carry else []))
     read = read.withColumn("text_key", F.xxhash64("_text"))
     parts = F.transform(F.filter(lines(F.col("_text")), has_word), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), word_count(x).alias("words")))
-    rows = read.select("_id", "host", "text_key", F.explode(parts).alias("x")).select("_id", "host", "text_key", "x.line", "x.words")
-    often = frequent_lines(rows, max_share=max_share, min_docs=min_docs)
+    rows = read.select("_id", "host", "text_key", F.posexplode(parts).alias("pos", "x")).select("_id", "host", "text_key", "pos", "x.line", "x.words")
+    often = frequent_lines(rows, max_share=max_share, max_docs=max_docs, min_docs=min_docs)
     hit = rows.join(often, ["host", "line"])
-    removed = hit.groupBy("_id", "host", "text_key").agg(F.count("*").alias("n_removed_lines"), F.sum("words").alias("n_removed_words"), *([F.collect_set("line").alias("_gone")] if with_text else []))
+    # a set, so that a document that stands in several rows has each of its lines once
+    gone = hit.groupBy("_id", "host", "text_key").agg(F.collect_set(F.struct("pos", "line", "words")).alias("g"))
+    removed = gone.select("_id", "host", "text_key", F.size("g").cast("long").alias("n_removed_lines"), F.aggregate("g", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("n_removed_words"), *([F.array_distinct("g.line").alias("_gone")] if with_text else []))
     stats = read.select("_id", "host", "text_key", *[c.alias(k) for k, c in base_columns(F.col("_text")).items()], F.size(lines(F.col("_text"))).cast("long").alias("n_lines"), *(["_text"] if with_text else []), *(["row"] if carry else []))
     keys = ["_id", "host", "text_key"]
     other = removed.select(*[F.col(k).alias(f"r_{k}") for k in keys], "n_removed_lines", "n_removed_words", *(["_gone"] if with_text else [])).hint("shuffle_hash")
@@ -114,21 +117,21 @@ WITH d AS (
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines FROM d
 ), win AS (
   SELECT doc_id, host, text, i, array_to_string(words[i:i+7], ' ') AS win
-  FROM (SELECT doc_id, host, text, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)
+  FROM (SELECT DISTINCT doc_id, host, text, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)
 ), twice AS (
   SELECT doc_id, host, text, i, lead(i) OVER (PARTITION BY doc_id, host, text ORDER BY i) AS later
   FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, host, text, win) AS n FROM win) WHERE n > 1
 ), rep AS (
   SELECT doc_id, host, text, sum(least(8, coalesce(later - i, 8))) AS n_repeat_words FROM twice GROUP BY ALL
 ), l AS (
-  SELECT doc_id, host, text, translate(lower(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), '123456789', '000000000') AS line,
+  SELECT DISTINCT doc_id, host, text, pos, translate(lower(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), '123456789', '000000000') AS line,
     len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
-  FROM (SELECT doc_id, host, text, unnest(full_lines) AS line FROM w)
+  FROM (SELECT doc_id, host, text, unnest(full_lines) AS line, unnest(range(len(full_lines))) AS pos FROM w)
 ), hosts AS (
   SELECT host, count(DISTINCT text) AS host_docs FROM l GROUP BY host
 ), often AS (
   SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n FROM l GROUP BY host, line) JOIN hosts USING (host)
-  WHERE n >= 20 AND n > 0.1::DOUBLE * host_docs
+  WHERE n >= 20 AND (n > 0.01::DOUBLE * host_docs OR n > 1000)
 ), gone AS (
   SELECT doc_id, host, text, count(*) AS n_removed_lines, sum(words) AS n_removed_words FROM l JOIN often USING (host, line) GROUP BY ALL
 ), s AS (
@@ -136,8 +139,8 @@ WITH d AS (
     length(regexp_replace(w.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
     len(all_lines)::BIGINT AS n_lines, coalesce(n_removed_lines, 0)::BIGINT AS n_removed_lines, coalesce(n_removed_words, 0)::BIGINT AS n_removed_words
-  FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id AND w.host = rep.host AND w.text = rep.text
-    LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.host = gone.host AND w.text = gone.text
+  FROM w LEFT JOIN rep ON w.doc_id IS NOT DISTINCT FROM rep.doc_id AND w.host = rep.host AND w.text = rep.text
+    LEFT JOIN gone ON w.doc_id IS NOT DISTINCT FROM gone.doc_id AND w.host = gone.host AND w.text = gone.text
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_removed_words >= 0.3::DOUBLE * n_words AS kept,

@@ -15,9 +15,11 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is named."""
+    """The cluster's shared folder; a temporary one is set only where none is named, on one machine."""
     found = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_SETTING} must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="archloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -30,6 +32,9 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        # results are read lazily, so what ``drop`` doesn't name goes when the driver ends
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self._n += 1

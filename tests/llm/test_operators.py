@@ -19,7 +19,7 @@ from archloom.llm.mixing import mix_to_targets
 from archloom.llm.pieces import best_losses, decode, encode, encode_and_check, piece_model
 from archloom.llm.token_counts import MARK, MODEL, automaton, load_pieces, token_counts
 from archloom.llm.url_rules import judge_urls
-from archloom.llm.vantage import nearest
+from archloom.llm.vantage import cosines, nearest
 from archloom.llm.words import hash_words, shingles, text_buffers
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -251,6 +251,29 @@ def test_frequent_lines_go_and_depleted_documents_too(spark):
     assert got[200].kept
 
 
+def test_rows_that_repeat_are_one_document(spark):
+    """Eight equal rows of a document that loses a line of 6 words report that line once, and stay."""
+    common = "one two three four five six"
+    rows = [(i, f"{' '.join(f'w{i}x{k}' for k in range(40))}\n{common}", "a") for i in range(30)]
+    rows += [(99, f"{' '.join(f'z{k}' for k in range(20))}\n{common}\n{' '.join(f'y{k}' for k in range(20))}", "a")] * 8
+    got = line_quality.judge(clashing(spark, rows), with_text=True).where("doc_id = 99").collect()
+    assert [(r.n_removed_lines, r.n_removed_words, r.kept, r.n_words) for r in got] == [(1, 6, True, 46)] * 8
+
+
+def test_limits_hold_by_share_and_by_count(spark):
+    """On a host of thousands a line in 2 % goes, one in 0.5 % stays, and a line above the absolute limit goes at any share."""
+    def text(i):
+        extra = ["a common notice"] if i % 50 == 0 else ["a rarer notice"] if i % 200 == 1 else []
+        own = "".join(chr(97 + int(c)) for c in str(i))  # lines are compared without their digits
+        return "\n".join([" ".join(f"{own}x{k}" for k in range(25)), *extra])
+
+    docs = clashing(spark, [(i, text(i), "big") for i in range(4000)])
+    gone = {r.doc_id for r in line_quality.judge(docs).where("n_removed_lines > 0").collect()}
+    assert gone == set(range(0, 4000, 50))
+    gone = {r.doc_id for r in line_quality.judge(docs, max_docs=19, max_share=1.0).where("n_removed_lines > 0").collect()}
+    assert gone == set(range(0, 4000, 50)) | set(range(1, 4000, 200))
+
+
 # -- 4 token counts
 
 
@@ -379,19 +402,37 @@ def brute_nearest(rows, k=5, every=50):
     out = {}
     for i, q in rows.items():
         if i % every == 0:
-            s = sorted((-float(np.dot(q, v) / (np.linalg.norm(q) * np.linalg.norm(v))), j) for j, v in rows.items() if j != i and len(v) == len(q))
+            others = [j for j, v in rows.items() if j != i and len(v) == len(q)]
+            s = sorted(zip((-cosines(np.tile(q, (len(others), 1)), np.stack([rows[j] for j in others]))).tolist(), others, strict=True))
             out[i] = [j for _, j in s[:k]]
     return out
 
 
+def found_by(df, **options):
+    got = {}
+    for r in nearest(df, **options).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    return got
+
+
+@pytest.mark.parametrize("options", [{}, {"shard_rows": 30}, {"shard_rows": 30, "most_rows": 25}, {"shard_rows": 300, "block": 3}])
+def test_equal_vectors_tie_to_the_smaller_id(spark, options):
+    """Forty equal vectors, and some that are scaled: more ties than k, in any shards."""
+    rng = np.random.default_rng(1)
+    rows = {10 * i: rng.normal(size=33) for i in range(300)}
+    same = rng.choice(300, 40, replace=False).tolist()
+    for n, i in enumerate(same):
+        rows[10 * i] = rows[10 * same[0]].copy() if n < 30 else 2.0 ** (n - 32) * rows[10 * same[0]]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "vec_id long, embedding array<double>")
+    assert found_by(df, **options) == brute_nearest(rows)
+
+
 def test_vantage_trees(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = {r.vec_id: np.array(r.embedding, float) for r in df.collect()}
     want = brute_nearest(rows)
     for factor, least in ((1.0, 1.0), (1.5, 0.9)):
-        got = {}
-        for r in nearest(df, shard_rows=150, factor=factor).orderBy("query_id", "rank").collect():
-            got.setdefault(r.query_id, []).append(r.vec_id)
+        got = found_by(df, shard_rows=150, factor=factor)
         hits = sum(len(set(got[q]) & set(v)) for q, v in want.items())
         assert hits >= least * sum(map(len, want.values()))
         if factor == 1:
