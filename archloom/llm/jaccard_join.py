@@ -1,23 +1,26 @@
 """N-gram Jaccard join: a MinHash LSH forest finds candidates, whole word windows decide.
 
-1. Each text becomes a node (equal word sequences are one node) with ``trees``
-   labels of ``depth`` min-hashes. The rows of a tree, sorted by label, are its
-   prefix trie: rows that agree on a prefix are neighbours.
-2. The matched prefix is shortened from ``depth`` until a pair at the threshold
-   meets in some tree with the target recall (``prefix_length``).
-3. Rows that share such a prefix are compared by their signatures, in blocks, and
-   yield a spanning set of candidate edges (never all pairs of a group).
-4. The texts of each candidate component are compared exactly, in blocks: every
-   pair counts, and verified links join the final classes.
+1. Each text becomes a node (equal word sequences are one node) with ``trees`` labels of ``depth``
+   min-hashes. The nodes of a tree, sorted by label, are its prefix trie: nodes that agree on a
+   prefix lie side by side.
+2. In each tree a node is matched at the shortest prefix whose trie node isn't crowded: in dense parts
+   of the trie that is a long one, so texts that share much but not enough don't meet (``cut_tries``).
+3. Nodes that were matched at long prefixes in so many trees that a pair at the threshold may have
+   been missed get shorter ones, level by level, until their recall is reached (``shortened``).
+4. Nodes that share a matched prefix are compared by their signatures, in blocks, and yield a
+   spanning set of candidate edges (never all pairs of a group).
+5. The texts of each candidate component are compared exactly, in blocks: every pair counts, and
+   verified links join the final classes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +29,7 @@ from archloom.llm.words import chunks, hash_words, mix, powers, shingles, text_b
 from archloom.sources.scratch import Scratch
 
 SEED = 20_250_101
-NODE_SCHEMA = "doc_id long, node long, words long, sig binary, prefixes array<long>"
+NODE_SCHEMA = "doc_id long, tk long, node long, words long, sig binary, labels binary"
 
 
 def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> int:
@@ -45,58 +48,119 @@ def text_key(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix((total[at[1:]] - total[at[:-1]]) ^ np.diff(at).astype(np.uint64)).view(np.int64)
 
 
-def _signer(size: int, trees: int, depth: int, length: int):
+def _signer(size: int, trees: int, depth: int):
+    """Nodes of rows (doc_id, tk, text): a key, the words, a signature of a byte a min-hash, and each tree's label."""
     rng = np.random.default_rng(SEED)
     a = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = text_buffers(batch.column(1))
+            raw, offsets = text_buffers(batch.column(2))
             for lo, hi in chunks(offsets):
                 h, at = hash_words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 s, begin = shingles(h, at, size)
                 full = np.flatnonzero(np.diff(begin))
                 low = np.zeros((len(full), trees * depth), np.uint32)
                 if len(full):
+                    v = np.empty_like(s)
                     for j in range(trees * depth):
-                        v = s * a[j]
+                        np.multiply(s, a[j], out=v)
                         v += b[j]
                         v >>= np.uint64(32)
-                        low[:, j] = np.minimum.reduceat(v, begin[full]).astype(np.uint32)
-                # a tree's label, as far as the shortened prefix goes, in one number
-                label = low.reshape(len(full), trees, depth)[:, :, :length].astype(np.uint64)
-                key = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), (len(full), trees)).copy()
-                for x in range(length):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + label[:, :, x])
-                sig = low.astype(np.uint16).tobytes()
-                width = trees * depth * 2
+                        low[:, j] = np.minimum.reduceat(v, begin[full])
+                wide = low.astype(">u4").tobytes()
+                sig = (low & 0xFF).astype(np.uint8).tobytes()
+                n = trees * depth
+                some = pa.array(full)
                 yield pa.record_batch(
                     [
-                        batch.column(0).slice(lo, hi - lo).take(pa.array(full)),
+                        batch.column(0).slice(lo, hi - lo).take(some),
+                        batch.column(1).slice(lo, hi - lo).take(some),
                         pa.array(text_key(h, at)[full]),
                         pa.array(np.diff(at)[full].astype(np.int64)),
-                        pa.array([sig[i * width : (i + 1) * width] for i in range(len(full))], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * trees), pa.array(key.view(np.int64).ravel())),
+                        pa.array([sig[i * n : (i + 1) * n] for i in range(len(full))], pa.binary()),
+                        pa.array([wide[i * n * 4 : (i + 1) * n * 4] for i in range(len(full))], pa.binary()),
                     ],
-                    names=["doc_id", "node", "words", "sig", "prefixes"],
+                    names=["doc_id", "tk", "node", "words", "sig", "labels"],
                 )
 
     return sign
 
 
+def prefix_key(tree: Column, depth: int, length: Column | int) -> Column:
+    """The key of the first ``length`` min-hashes of a tree's label (``labels``: all trees' labels in order)."""
+    return F.xxhash64(tree, F.substring("labels", tree * (4 * depth) + 1, 4 * length))
+
+
+def _levels(nodes: DataFrame, trees: int, depth: int, length: int, only: DataFrame | None = None) -> DataFrame:
+    """(node, tree, key) of the prefixes of one length; of the (node, tree) in ``only`` where it is given."""
+    each = nodes.select("node", "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    if only is not None:
+        each = only.select("node", "tree").join(nodes.select("node", "labels"), "node")
+    return each.select("node", "tree", prefix_key(F.col("tree"), depth, length).alias("key"))
+
+
+def cut_tries(nodes: DataFrame, scratch: Scratch, *, trees: int, depth: int, shortest: int, crowd: int) -> DataFrame:
+    """(node, tree, key, length, n): where each tree's trie is cut, and the number of nodes below that cut.
+
+    Prefixes of ``shortest`` min-hashes are lengthened where more than ``crowd`` nodes share one, at most to
+    whole labels. Nodes alone below their cut are left out: nothing meets them there.
+    """
+    parts, crowded = [], None
+    for length in range(shortest, depth + 1):
+        keys = _levels(nodes, trees, depth, length, crowded)
+        sizes = keys.groupBy("tree", "key").agg(F.count("*").alias("n")).where("n > 1")
+        met = scratch.keep(keys.join(sizes, ["tree", "key"]).withColumn("length", F.lit(length)))
+        last = length == depth
+        parts.append(met if last else met.where(F.col("n") <= crowd))
+        crowded = met.where(F.col("n") > crowd)
+        if last or crowded.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, parts)
+
+
+def shortened(nodes: DataFrame, cut: DataFrame, scratch: Scratch, *, threshold: float, recall: float, trees: int, depth: int, shortest: int) -> list[DataFrame]:
+    """Further matches (node, tree, key, n), of nodes whose cuts are too long for the recall.
+
+    A pair at the threshold shares a prefix of l min-hashes with probability threshold^l, so a node
+    misses such a partner with the product of 1 - threshold^l over its trees. Nodes over the limit are
+    matched at the next shorter level, among each other: any partner that is not among them has
+    reached the recall itself, and met this node as far as its own cuts go.
+    """
+    miss = F.log(1 - F.pow(F.lit(threshold), F.least("length", F.lit(depth))))
+    # a tree where a node is alone at the shortest prefix counts at that length
+    default = float(np.log(1 - threshold**shortest))
+    known = cut.where(F.col("length") > shortest).groupBy("node").agg(F.sum(miss - default).alias("more"))
+    limit = float(np.log(1 - recall)) - trees * default
+    open_ = scratch.keep(known.where(F.col("more") > limit).select("node", "more"))
+    out = []
+    for length in range(depth - 1, shortest - 1, -1):
+        if open_.isEmpty():
+            break
+        # their trees that are cut below this level
+        long = cut.where(F.col("length") > length).join(open_.select("node"), "node").select("node", "tree")
+        keys = _levels(nodes, trees, depth, length, long)
+        sizes = keys.groupBy("tree", "key").agg(F.count("*").alias("n")).where("n > 1")
+        out.append(scratch.keep(keys.join(sizes, ["tree", "key"])))
+        gain = F.sum(F.when(F.col("length") > length, float(np.log(1 - threshold**length)) - default).otherwise(miss - default))
+        now = cut.where(F.col("length") > shortest).join(open_.select("node"), "node").groupBy("node").agg(gain.alias("more"))
+        open_ = scratch.keep(now.where(F.col("more") > limit))
+    return out
+
+
 def _candidates(width: int, least: float):
-    """Spanning candidate edges of each (prefix, block pair): rows whose signatures agree often enough."""
+    """Spanning candidate edges of each (key, block pair): rows whose signatures agree often enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["prefix", "b1", "b2"]):
+        for table in whole_groups(batches, ["key", "b1", "b2"]):
             n = table.num_rows
-            starts = group_starts(table, ["prefix", "b1", "b2"])
+            starts = group_starts(table, ["key", "b1", "b2"])
             group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
             node = table.column("node").to_numpy()
             own = table.column("own").to_numpy()
             apart = (table.column("b1").to_numpy() != table.column("b2").to_numpy())
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(n, width)
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(n, width)
             label = np.arange(n)
             left = np.arange(n - 1)
             step = 1
@@ -128,9 +192,8 @@ def _verify(size: int, num: int, den: int):
             all_node, all_own = table.column("node").to_numpy(), table.column("own").to_numpy()
             raw, offsets = text_buffers(table.column("text"))
             nodes, counts, roots = [], [], []
-            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):  # one row a node
                 h, at = hash_words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                good = text_key(h, at) == all_node[lo:hi]  # else another row with the same id
                 s, begin = shingles(h, at, size)
                 owner = np.repeat(np.arange(hi - lo), np.diff(begin))
                 order = np.lexsort((owner, s))
@@ -155,7 +218,6 @@ def _verify(size: int, num: int, den: int):
                     shared += x @ x.T
                 shared = shared.astype(np.int64)
                 near = den * shared >= num * (sizes[:, None] + sizes[None, :] - shared)
-                near &= good[:, None] & good[None, :]
                 np.fill_diagonal(near, False)
                 own = all_own[lo:hi]
                 if len(np.unique(own)) > 1:
@@ -179,7 +241,57 @@ def _in_blocks(df: DataFrame, rows: str, block: int) -> DataFrame:
     return own.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).drop("other")
 
 
-def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, trees: int = 16, depth: int = 6, recall: float = 0.999, signature_share: float = 0.55, prefix_block: int = 1024, text_block: int = 256) -> DataFrame:
+def _classes(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, shingle: int, threshold: float, trees: int, depth: int, recall: float, shortest: int, crowd: int, signature_share: float, prefix_block: int, text_block: int) -> DataFrame:
+    """(doc_id, tk, n, first, class_id, n_links, n_copies) for each different (id, text) with words: ``n`` rows; ``first``: the class's one to stay."""
+    if prefix_length(threshold, trees, depth, recall) < shortest:
+        raise ValueError(f"prefixes of {shortest} can't reach a recall of {recall} at {threshold}: use shorter ones, or more trees")
+    spec = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tk", T.LongType(), False), T.StructField("text", T.StringType(), False)])
+    rows = _keyed(docs, id_col, text_col).where("doc_id is not null").to(spec)
+    signed = scratch.keep(rows.mapInArrow(_signer(shingle, trees, depth), NODE_SCHEMA))
+    # one row for each different (id, text), then one for each node: equal nodes have equal labels
+    once = scratch.keep(signed.groupBy("doc_id", "tk", "node").agg(F.count("*").alias("n")))
+    signs = signed.groupBy("node").agg(F.min("sig").alias("sig"), F.min("labels").alias("labels"))
+    heads = once.groupBy("node").agg(F.min(F.struct("doc_id", "tk")).alias("head"), F.sum("n").alias("rows"))
+    nodes = scratch.keep(signs.join(heads, "node").select("node", "sig", "labels", F.col("head.doc_id").alias("rep"), F.col("head.tk").alias("rep_tk"), "rows"))
+    scratch.drop(signed)
+
+    forest = {"trees": trees, "depth": depth, "shortest": shortest}
+    cut = cut_tries(nodes, scratch, crowd=crowd, **forest)
+    met = [cut.select("node", "key", "n"), *[x.select("node", "key", "n") for x in shortened(nodes, cut, scratch, threshold=threshold, recall=recall, **forest)]]
+    hits = _in_blocks(reduce(DataFrame.unionByName, met).distinct(), "n", prefix_block).join(nodes.select("node", "sig"), "node")
+    hits = hits.select("key", "b1", "b2", "own", "node", "sig").repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2", "node")
+    close = scratch.keep(hits.mapInArrow(_candidates(trees * depth, signature_share), "a long, b long").distinct())
+
+    groups = scratch.keep(components(close, scratch))
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
+    members = groups.join(sizes, "component").join(nodes.select("node", "rep", "rep_tk"), "node")
+    members = members.select(F.col("rep").alias("doc_id"), F.col("rep_tk").alias("tk"), "node", "component", "n")
+    texts = rows.join(members.hint("shuffle_hash"), ["doc_id", "tk"]).select("node", "component", "n", "text")
+    texts = texts.dropDuplicates(["node", "component"])  # rows that repeat
+    texts = _in_blocks(texts, "n", text_block).select("component", "b1", "b2", "own", "node", "text")
+    texts = texts.repartition("component", "b1", "b2").sortWithinPartitions("component", "b1", "b2", "node")
+    num, den = _ratio(threshold)
+    found = scratch.keep(texts.mapInArrow(_verify(shingle, num, den), "node long, links long, root long"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    classes = components(found.where("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b")), scratch)
+    by_node = nodes.select("node", "rep", "rep_tk", "rows").join(links, "node", "left").join(classes, "node", "left")
+    by_node = scratch.keep(by_node.select("node", F.struct("rep", "rep_tk").alias("head"), "rows", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")))
+    first = by_node.groupBy("component").agg(F.min("head").alias("first"))
+    by_node = by_node.join(first, "component").select("node", "first", F.col("first.rep").alias("class_id"), F.col("links").alias("n_links"), (F.col("rows") - 1).alias("n_copies"))
+    out = once.join(by_node, "node").withColumn("first", F.struct("doc_id", "tk") == F.col("first"))
+    return scratch.keep(out.select("doc_id", "tk", "n", "first", "class_id", "n_links", "n_copies"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"))
+
+
+#: With these a pair at 0.8 that isn't crowded is missed once in 300,000 times, any pair once in 1,000 at most.
+FOREST = {"shingle": 5, "threshold": 0.8, "trees": 32, "depth": 8, "recall": 0.999, "shortest": 5, "crowd": 512, "signature_share": 0.68, "prefix_block": 1024, "text_block": 256}
+
+
+def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row for each row of ``docs``: (id, class_id long, n_links long, n_copies long).
 
     class_id: smallest id among the documents joined, directly or through others, by links of
@@ -187,40 +299,19 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     that the document's own is linked to. n_copies: other rows with the same word sequence.
     A text shorter than the window is one window of all its words. Texts without words (null,
     empty, white space) link to nothing: they are classes of their own with no links. Rows without
-    an id come back with a null class and no links. Of rows with one id and different texts each is
-    a node of its own; only one of their texts may be compared. Columns other than the two are ignored.
+    an id come back with a null class and no links. Rows with equal id and text are compared once and
+    get equal results; of rows with one id and different texts each is a document of its own. Columns
+    other than the two are ignored. ``options``: see ``FOREST``.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    length = prefix_length(threshold, trees, depth, recall)
-    spec = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).to(spec)
-    named = rows.where("doc_id is not null")
-    signed = scratch.keep(named.mapInArrow(_signer(shingle, trees, length, length), NODE_SCHEMA))
-    # one row for each node; the first of equal rows, so any
-    nodes = scratch.keep(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.min("sig").alias("sig"), F.min("prefixes").alias("prefixes")))
-    keys = nodes.select("node", F.explode("prefixes").alias("prefix"))
-    shared = keys.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
-    hits = _in_blocks(keys.join(shared, "prefix"), "n", prefix_block).join(nodes.select("node", "sig"), "node")
-    hits = hits.select("prefix", "b1", "b2", "own", "node", "sig").repartition("prefix", "b1", "b2").sortWithinPartitions("prefix", "b1", "b2", "node")
-    close = scratch.keep(hits.mapInArrow(_candidates(trees * length, signature_share), "a long, b long").distinct())
-    groups = scratch.keep(components(close, scratch))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    members = groups.join(sizes, "component").join(nodes.select("node", "rep"), "node")
-    texts = rows.join(members.select(F.col("rep").alias("doc_id"), "node", "component", "n").hint("shuffle_hash"), "doc_id")
-    texts = _in_blocks(texts.drop("doc_id"), "n", text_block).select("component", "b1", "b2", "own", "node", "text")
-    texts = texts.repartition("component", "b1", "b2").sortWithinPartitions("component", "b1", "b2", "node")
-    num, den = _ratio(threshold)
-    found = scratch.keep(texts.mapInArrow(_verify(shingle, num, den), "node long, links long, root long"))
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = components(found.where("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b")), scratch)
-    by_node = scratch.keep(nodes.select("node", "rep", "rows").join(links, "node", "left").join(classes, "node", "left").select("node", "rep", "rows", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")))
-    first = by_node.groupBy("component").agg(F.min("rep").alias("class_id"))
-    by_node = by_node.join(first, "component").select("node", "class_id", F.col("links").alias("n_links"), (F.col("rows") - 1).alias("n_copies"))
-    known = signed.select("doc_id", "node").join(by_node, "node").drop("node")
+    known = _classes(docs, scratch, id_col=id_col, text_col=text_col, **{**FOREST, **options})
+    each = known.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"), "class_id", "n_links", "n_copies").drop("copy")
     # texts without words were not signed
-    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    alone = rows.where(F.col("doc_id").isNull() | blank).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
-    return known.select("doc_id", "class_id", "n_links", "n_copies").unionByName(alone).withColumnRenamed("doc_id", id_col)
+    rows = _keyed(docs, id_col, text_col)
+    blank = ~F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    zero = F.lit(0).cast("long")
+    alone = rows.where(F.col("doc_id").isNull() | blank).select("doc_id", F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_copies"))
+    return each.unionByName(alone).withColumnRenamed("doc_id", id_col)
 
 
 def _ratio(threshold: float) -> tuple[int, int]:
@@ -231,8 +322,23 @@ def _ratio(threshold: float) -> tuple[int, int]:
     return x.numerator, x.denominator
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each class: that with the smallest id. Rows without an id all stay."""
-    found = jaccard_classes(docs, **options)
-    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` (all columns) with one row of each class: that with the smallest id, then text hash.
+
+    Of rows with equal id and text one stays, whichever. Rows without an id and texts without words
+    are in no class and all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "first")
+    known = _classes(docs, scratch, id_col=id_col, text_col=text_col, **{**FOREST, **options})
+    key = [F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))]
+
+    def on(these: DataFrame) -> tuple[DataFrame, Column]:
+        marked = these.select(F.col("doc_id").alias("_k1"), F.col("tk").alias("_k2"))
+        return marked.hint("shuffle_hash"), (key[0] == F.col("_k1")) & (key[1] == F.col("_k2"))
+
+    stays = docs.join(*on(known.where("not first or n > 1")), "left_anti")
+    again = known.where("first and n > 1")
+    if again.isEmpty():
+        return stays
+    one = docs.join(*on(again), "left_semi").withColumns({"_k1": key[0], "_k2": key[1]}).dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
+    return stays.unionByName(one)
