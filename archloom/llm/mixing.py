@@ -9,13 +9,14 @@ document's rate follows from its posterior and the steps' few numbers.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,12 +24,13 @@ from archloom.llm.words import chunks, hash_words_and_prefixes, mix, text_buffer
 from archloom.sources.scratch import Scratch
 
 DOMAINS = ("good", "poor", "toxic")
-#: Multiples of each domain's expected tokens: toxic text goes, the rest stays as it is.
-TARGETS = {"good": 1.0, "poor": 1.0, "toxic": 0.0}
+#: Multiples of each domain's expected tokens: good text is repeated a little, toxic text goes.
+TARGETS = {"good": 1.25, "poor": 1.0, "toxic": 0.0}
 PREFIXES = (4, 5, 6)
 BUCKETS = 1 << 20
-#: At most so many labelled documents are used to fit the classifier, those of the least id hash.
-MAX_TRAIN = 9_000
+#: At most so many labelled documents are used to fit the classifier, those of the least id hash,
+#: and of them so many as hold this many bytes of text together; longer texts than the last bound don't train.
+MAX_TRAIN, MAX_TRAIN_BYTES, MAX_TEXT_BYTES = 9_000, 32 << 20, 1 << 18
 
 
 def _features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,16 +121,24 @@ def fit_classifier(domain: np.ndarray, buckets: list[np.ndarray], *, least_chi2:
     return Classifier(place, w, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, max_train: int) -> Classifier:
-    """The classifier of the ``max_train`` labelled documents of least id hash; the bound holds for what the driver gets."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, max_train: int, max_bytes: int = MAX_TRAIN_BYTES, max_text: int = MAX_TEXT_BYTES) -> Classifier:
+    """The classifier of the ``max_train`` labelled documents of least id hash, as far as ``max_bytes`` of text go.
+
+    A byte of text gives 8 bytes of features at most, so both bounds hold for what the driver gets. Of
+    rows with one id the text of least hash trains.
+    """
     toxic, quality = F.coalesce(F.max("toxic"), F.lit(0)), F.coalesce(F.min("quality"), F.lit(1))
     domain = F.when(toxic == 1, 2).when(quality == 0, 1).otherwise(0)
     said = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_l")).agg(domain.cast("int").alias("domain"))
-    rows = docs.select(F.col(id_col).cast("long").alias("_l"), F.col(text_col).cast("string").alias("text"))
-    ids = rows.select("_l").join(said, "_l").distinct().orderBy(F.xxhash64("_l"), "_l").limit(max_train)
-    ids = F.broadcast(ids)  # max_train rows of two numbers
+    rows = docs.select(F.col(id_col).cast("long").alias("_l"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
+    sizes = rows.select("_l", "tk", F.octet_length("text").alias("size")).where(F.col("size") <= max_text)
+    first = sizes.groupBy("_l").agg(F.min(F.struct("tk", "size")).alias("x")).select("_l", "x.tk", "x.size")
+    ids = first.join(said, "_l").withColumn("order", F.xxhash64("_l")).orderBy("order", "_l").limit(max_train)
+    so_far = F.sum("size").over(Window.orderBy("order", "_l"))  # over max_train rows of a few numbers
+    ids = F.broadcast(ids.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).select("_l", "tk", "domain"))
     spec = T.StructType([T.StructField("domain", T.IntegerType()), T.StructField("buckets", T.BinaryType())])
-    got = rows.join(ids, "_l").select("_l", "domain", "text").select("domain", "text").mapInArrow(_label_rows, spec).toArrow()
+    chosen = rows.join(ids, ["_l", "tk"]).dropDuplicates(["_l", "tk"])
+    got = chosen.select("domain", "text").mapInArrow(_label_rows, spec).toArrow()
     domain = got.column("domain").to_numpy().astype(np.int64)
     buckets = [np.frombuffer(b, np.int32) for b in got.column("buckets").to_pylist()]
     # an order that doesn't depend on partitions, so that sums come out alike
@@ -137,52 +147,59 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, max
     return fit_classifier(domain[order], [buckets[i] for i in order])
 
 
-def with_posteriors(docs: DataFrame, model: Classifier, *, text_col: str) -> DataFrame:
-    """``docs`` (all columns) with a struct ``_mix``: tokens long, p array<double> in the order of DOMAINS."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
-    place = docs.columns.index(text_col)
-    spec = T.StructType([T.StructField("tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
-    arrow = pa.struct([("tokens", pa.int64()), ("p", pa.list_(pa.float64()))])
+def with_posteriors(rows: DataFrame, model: Classifier) -> DataFrame:
+    """``rows`` (text, and any others) with tokens long and p array<double> in the order of DOMAINS in place of the text."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    others = [f for f in rows.schema.fields if f.name != "text"]
+    made = [T.StructField("tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))]
+    names = [f.name for f in others] + ["tokens", "p"]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            raw, offsets = text_buffers(batch.column(place))
+            raw, offsets = text_buffers(batch.column(0))
             for lo, hi in chunks(offsets):
                 flat, at, n = _features(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 p = model.posteriors(flat, at)
                 ends = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * len(DOMAINS))
-                made = pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], fields=list(arrow))
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, made], names=[*batch.schema.names, "_mix"])
+                found = [pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[1:], *found], names=names)
 
-    return docs.mapInArrow(predict, T.StructType([*docs.schema.fields, T.StructField("_mix", spec)]))
+    return rows.select("text", *[f.name for f in others]).mapInArrow(predict, T.StructType([*others, *made]))
 
 
 def floor_column(p: Column, targets: dict[str, float]) -> Column:
-    """The least rate of a document: half a copy where it belongs, more likely than not, to domains that are wanted whole, else 0."""
+    """The least rate of a document: one copy where it belongs, more likely than not, to domains that are wanted whole, else 0."""
     whole = [F.get(p, i) for i, d in enumerate(DOMAINS) if targets[d] >= 1]
-    return F.when(sum(whole[1:], whole[0]) >= 0.5, 0.5).otherwise(0.0) if whole else F.lit(0.0)
+    return F.when(sum(whole[1:], whole[0]) >= 0.5, 1.0).otherwise(0.0) if whole else F.lit(0.0)
 
 
 def rate_column(p: Column, steps: list[list[float]], targets: dict[str, float]) -> Column:
-    """The rate of a document after the steps: from 1, less posterior times step, never below its floor."""
+    """The rate of a document after the steps, from 1: less posterior times step, never below its floor, then on by the step's momentum."""
     if not steps:
         return F.lit(1.0)
-    made = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
+    made = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")  # a constant of one literal
     dot = lambda s: sum((F.get(p, i) * F.get(s, i) for i in range(1, len(DOMAINS))), F.get(p, 0) * F.get(s, 0))
     floor = floor_column(p, targets)
-    return F.aggregate(made, F.lit(1.0), lambda r, s: F.greatest(floor, r - dot(s)))
 
+    def step(at: Column, s: Column) -> Column:
+        # the new rate is used twice, so it is bound first
+        rate = F.array(F.greatest(floor, at["ahead"] - dot(s)))
+        return F.element_at(F.transform(rate, lambda r: F.struct(r.alias("rate"), (r + F.get(s, len(DOMAINS)) * (r - at["rate"])).alias("ahead"))), 1)
+
+    return F.aggregate(made, F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead")), step, lambda at: at["rate"])
 
-def fit_rates(table: DataFrame, targets: dict[str, float], *, most_steps: int = 100, close: float = 0.01) -> list[list[float]]:
-    """The steps of the fit over ``table`` (tokens, p).
+
+def fit_rates(table: DataFrame, targets: dict[str, float], *, most_steps: int = 60, close: float = 0.01) -> list[list[float]]:
+    """The steps of the fit over ``table`` (tokens, p): for each a number for each domain, and the momentum after it.
 
     Minimised: the squared difference of totals and targets in the metric of the domains' Gram matrix;
     steps are scaled by 1/tokens, so that a long document is not cut more than a short one alike. In
-    this metric a step of length 1 is safe. Each domain is measured by its own tokens, so a rare one
-    counts as much as a common one: the fit ends when all totals are within ``close`` of their domain's
-    tokens from their targets, or no longer move (a tenth of that). Unsure documents are spared by
-    their floor (``floor_column``), not by an early end.
+    this metric a step of length 1 is safe; accelerated projected gradient, restarted where the
+    difference grows. Each domain is measured by its own tokens, so a rare one counts as much as a
+    common one: the fit ends when all totals are within ``close`` of their domain's tokens from their
+    targets, or hardly move (a fiftieth of that, three times). Unsure documents are spared by their
+    floor (``floor_column``), not by an early end.
     """
     k = len(DOMAINS)
     p = [F.get("p", i) for i in range(k)]
@@ -196,37 +213,52 @@ def fit_rates(table: DataFrame, targets: dict[str, float], *, most_steps: int =
     size = np.sqrt(np.where(live, np.diag(gram), 1.0))
     held = np.outer(live, live)
     inverse = np.linalg.pinv(np.where(held, gram, 0) / np.outer(size, size), rcond=1e-10, hermitian=True) / np.outer(size, size)
+    off = lambda x: float((x - want) @ inverse @ (x - want))
     steps: list[list[float]] = []
-    now = total
-    while len(steps) < most_steps and (np.abs(now - want) > close * total)[live].any():
-        steps.append((inverse @ (now - want)).tolist())
+    now = ahead = total
+    t, quiet = 1.0, 0
+    while len(steps) < most_steps and quiet < 3 and (np.abs(now - want) > close * total)[live].any():
+        steps.append([*(inverse @ (ahead - want)).tolist(), 0.0])
         rate = rate_column(F.col("p"), steps, targets)
         row = table.select("tokens", "p", rate.alias("r")).agg(*[F.sum(F.col("tokens") * F.col("r") * p[i]) for i in range(k)]).first()
         after = np.array(list(row))
-        still = (np.abs(after - now) <= 0.1 * close * total)[live].all()
+        t, before = (1.0, 1.0) if off(after) > off(now) else ((1 + (1 + 4 * t * t) ** 0.5) / 2, t)
+        steps[-1][-1] = (before - 1) / t
+        ahead = after + steps[-1][-1] * (after - now)
+        quiet = quiet + 1 if (np.abs(after - now) <= 0.02 * close * total)[live].all() else 0
         now = after
-        if still:
-            break
     return steps
 
 
+def copies_column(rate: Column, *of: Column) -> Column:
+    """``rate`` up or down to a whole number, at random by the hash of ``of``, so that it is right on average."""
+    chance = F.pmod(F.xxhash64(*of, F.lit("copies")), F.lit(1 << 24)) / (1 << 24)
+    return F.floor(rate + chance).cast("long")
+
+
 def mix_to_targets(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, max_train: int = MAX_TRAIN) -> DataFrame:
     """``docs`` (all columns) with: tokens, p_good, p_poor, p_toxic, rate, copies.
 
     ``labels``: doc_id, quality, toxic (a document labelled more than once counts by its worst). Domains:
     toxic; else of quality 0: poor; else good. ``targets``: multiples of the domains' expected tokens.
-    copies: the rate rounded. A document that is more likely than not of domains with targets of 1 or
-    more has a rate of 0.5 at least, so it keeps a copy however unsure it is. A domain without labelled examples gets no documents; without any labels
-    all are good and all rates 1. Texts without words have 0 tokens and the prior's posterior. Rows
-    with one id are judged each by its text.
+    copies: the rate, rounded up or down by a hash of id and text so that the copies' totals are those
+    of the rates on average. A document that is more likely than not of domains with targets of 1 or
+    more has a rate of 1 at least, so it keeps a copy however unsure it is; what such documents hold of
+    a domain with a lower target stays above it. A domain without labelled examples gets no documents;
+    without any labels all are good, at the rate of that target. Null texts and texts without words
+    have 0 tokens and the prior's posterior. Rows with one id are judged each by its text, and equal
+    rows alike. A column of ``docs`` with the name of a result gives way to it.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     model = train(docs, labels, id_col=id_col, text_col=text_col, max_train=max_train)
-    narrow = docs.select(F.col(text_col).cast("string").alias("text"))
-    table = scratch.keep(with_posteriors(narrow, model, text_col="text").select("_mix.tokens", "_mix.p"))
+    text = F.col(text_col).cast("string").alias("text")
+    table = scratch.keep(with_posteriors(docs.select(text), model))
     targets = targets or TARGETS
     steps = fit_rates(table, targets)
-    out = with_posteriors(docs, model, text_col=text_col)
-    rate = rate_column(F.col("_mix.p"), steps, targets)
-    out = out.select(*docs.columns, F.col("_mix.tokens").alias("tokens"), *[F.get(F.col("_mix.p"), i).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], rate.alias("rate"))
-    return out.withColumn("copies", F.floor(F.col("rate") + 0.5).cast("long"))
+    scratch.drop(table)
+    new = ["tokens", *[f"p_{d}" for d in DOMAINS], "rate", "copies"]
+    out = with_posteriors(docs.select(text, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), model)
+    out = out.withColumn("rate", rate_column(F.col("p"), steps, targets))
+    copies = copies_column(F.col("rate"), F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`"))
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in new]
+    return out.select(*kept, "tokens", *[F.get("p", i).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", copies.alias("copies"))

@@ -19,6 +19,8 @@ from archloom.llm.pieces import encode_and_check
 from archloom.sources.scratch import Scratch
 from archloom.sources.tables import table
 
+#: Multiples of the expected tokens of each domain; what toxic documents hold of the others is made up for.
+TARGETS = {"good": 1.0, "poor": 1.0, "toxic": 0.0}
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -43,8 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix gives no copy go: those that are most likely toxic."""
-    return mix_to_targets(docs, table(spark, sf_dir, "labels")).where("copies > 0").select(*COLUMNS)
+    """Each document as many times as the mix gives it copies: those that are most likely toxic go, a few stand twice."""
+    mixed = mix_to_targets(docs, table(spark, sf_dir, "labels"), targets=TARGETS).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,8 +118,50 @@ def test_jaccard_join_equals_brute_force(spark, texts):
             w[random.randrange(len(w))] = f"new{random.randrange(99)}"
         rows[10_000 + k] = " ".join(w)
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(df, prefix_block=8, text_block=8).collect()}
-    assert got == brute_links(rows)
+    want = brute_links(rows)
+    # crowded tries and small blocks; then cuts at whole labels that must be shortened for the recall
+    for options in ({}, {"prefix_block": 8, "text_block": 8, "crowd": 4}, {"trees": 16, "depth": 10, "shortest": 4, "crowd": 1}):
+        got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(df, **options).collect()}
+        assert got == want
+
+
+def test_equal_rows_of_one_id_are_compared_once(spark):
+    base = [f"w{k}" for k in range(60)]
+    a, b = " ".join(base), " ".join([*base[:30], "new", *base[31:]])
+    rows = [(1, a)] * 3 + [(2, b)] + [(3, a), (3, a)] + [(4, "alone is this text")] * 2
+    df = clashing(spark, [(*r, "s") for r in rows])
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in jaccard_classes(df).collect())
+    assert got == [(1, 1, 1, 4)] * 3 + [(2, 1, 1, 0)] + [(3, 1, 1, 4)] * 2 + [(4, 4, 0, 1)] * 2
+    assert sorted((r.doc_id, r.text) for r in keep_first(df).collect()) == [(1, a), (4, "alone is this text")]
+    assert keep_first(df).columns == df.columns
+
+
+def test_crowded_tries_are_cut_lower_and_shortened_for_the_recall(spark, tmp_path):
+    from archloom.llm.jaccard_join import NODE_SCHEMA, _signer, cut_tries, shortened
+    from archloom.sources.scratch import Scratch
+
+    common = [f"c{k}" for k in range(200)]
+    rows = [(i, i, " ".join([*common, *[f"x{i}y{k}" for k in range(i % 40)]])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, tk long, text string")
+    forest = {"trees": 8, "depth": 6, "shortest": 2}
+    scratch = Scratch(spark, "test")
+    nodes = scratch.keep(df.mapInArrow(_signer(5, 8, 6), NODE_SCHEMA))
+    cut = cut_tries(nodes, scratch, crowd=20, **forest)
+    assert cut.where("length < 6 and n > 20").count() == 0
+    assert cut.where("length = 6").count() > 0
+    found = {(r.node, r.tree): r.length for r in cut.collect()}
+    more = shortened(nodes, cut, scratch, threshold=0.8, recall=0.99, **forest)
+    miss = {}
+    for n in {n for n, _ in found}:
+        miss[n] = math.prod(1 - 0.8 ** found.get((n, t), 2) for t in range(8))
+    assert max(miss.values()) > 0.01  # some are cut too low
+    short = {}
+    for level, x in zip(range(5, 1, -1), more):
+        for r in x.collect():
+            short[(r.node, r.tree)] = level
+    for n, x in miss.items():
+        if x > 0.01:
+            assert math.prod(1 - 0.8 ** short.get((n, t), min(found.get((n, t), 2), 6)) for t in range(8)) <= 0.011
 
 
 def test_jaccard_join_on_odd_rows(odd, none):
@@ -129,6 +171,7 @@ def test_jaccard_join_on_odd_rows(odd, none):
     assert all(g[3] == 0 for g in got)
     assert jaccard_classes(none).count() == 0
     assert sorted(r.doc_id or 0 for r in keep_first(odd).collect()) == [0, 0, 1, 2, 3, 4, 6, 7, 8, 9]
+    assert keep_first(none).count() == 0
 
 
 def test_prefix_is_shortened_to_the_recall():
@@ -325,9 +368,12 @@ def labelled(spark):
     return clashing(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {i for i in range(400) if i % 8 == 0}
 
 
+WHOLE = {"good": 1.0, "poor": 1.0, "toxic": 0.0}
+
+
 def test_mixing_meets_targets_and_spares_clean_documents(spark):
     docs, labels, toxic = labelled(spark)
-    rows = mix_to_targets(docs.drop("tokens", "rate"), labels).collect()
+    rows = mix_to_targets(docs, labels, targets=WHOLE).collect()
     held_out = {r.doc_id for r in rows} - {r.doc_id for r in labels.collect()}
     gone = {r.doc_id for r in rows if r.copies == 0}
     assert gone == toxic
@@ -344,19 +390,61 @@ def test_mixing_drops_rare_toxic_documents(spark, clean_words):
     toxic = set(range(0, 2000, 200))
     rows = [(i, " ".join([*random.choices(names, k=20 if i in toxic else clean_words), *(["grobian", "lummox", "oaf"] if i in toxic else [])])) for i in range(2000)]
     labels = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(2000)], "doc_id long, quality int, toxic int")
-    got = mix_to_targets(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    got = mix_to_targets(spark.createDataFrame(rows, "doc_id long, text string"), labels, targets=WHOLE).collect()
     assert {r.doc_id for r in got if r.copies == 0} == toxic
-    assert all(r.rate >= 0.5 for r in got if r.doc_id not in toxic)
+    assert all(r.rate >= 1 for r in got if r.doc_id not in toxic)
     tokens = sum(r.tokens for r in got)
     assert abs(sum(r.tokens * r.rate * (1 - r.p_toxic) for r in got) - sum(r.tokens * (1 - r.p_toxic) for r in got)) <= 0.01 * tokens
 
 
 def test_mixing_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, None, None), (2, 1, 0), (None, 0, 1), (4, 0, 0), (5, 1, 1), (5, None, 0)], "doc_id long, quality int, toxic int")
-    plain = lambda df: df.drop("tokens", "rate")
-    assert mix_to_targets(plain(odd), labels).count() == len(ODD)
-    assert mix_to_targets(plain(odd), labels.limit(0)).where("rate <> 1").count() == 0
-    assert mix_to_targets(plain(none), labels).count() == 0
+    mixed = mix_to_targets(odd, labels)
+    assert mixed.columns == [c for c in odd.columns if c not in ("tokens", "rate")] + ["tokens", "p_good", "p_poor", "p_toxic", "rate", "copies"]
+    assert dict(mixed.dtypes)["tokens"] == "bigint"
+    assert mixed.count() == len(ODD)
+    assert mix_to_targets(odd, labels.limit(0)).where("abs(rate - 1.25) > 1e-6").count() == 0
+    assert mix_to_targets(none, labels).count() == 0
+    again = mix_to_targets(odd.withColumnsRenamed({"x": "_mix", "row": "copies", "d": "p_good"}), labels)
+    assert again.count() == len(ODD)
+    assert again.where("doc_id = 5").select("rate", "copies").distinct().count() == 1
+
+
+def best_totals(tokens, p, want, floor):
+    """Least squares in the metric of the fit, by very many plain projected steps."""
+    inverse = np.linalg.inv((tokens[:, None] * p).T @ p)
+    r = np.ones(len(tokens))
+    for _ in range(20_000):
+        r = np.maximum(floor, r - p @ (inverse @ ((tokens * r) @ p - want)))
+    return (tokens * r) @ p
+
+
+@pytest.mark.parametrize("targets", [{"good": 1.0, "poor": 1.5, "toxic": 0.5}, {"good": 0.2, "poor": 3.0, "toxic": 0.0}, WHOLE])
+def test_rates_equal_brute_force_least_squares(spark, targets):
+    from archloom.llm.mixing import fit_rates, rate_column
+
+    rng = np.random.default_rng(8)
+    tokens = rng.integers(1, 400, 50).astype(float)
+    p = rng.dirichlet([0.4, 0.3, 0.2], 50)
+    df = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p, strict=True)], "tokens long, p array<double>").repartition(3)
+    steps = fit_rates(df, targets, most_steps=60, close=1e-3)
+    rows = df.withColumn("r", rate_column(F.col("p"), steps, targets)).collect()
+    got = sum(r.tokens * r.r * np.array(r.p) for r in rows)
+    whole = p[:, [i for i, d in enumerate(("good", "poor", "toxic")) if targets[d] >= 1]].sum(axis=1)
+    want = tokens @ p * np.array(list(targets.values()))
+    best = best_totals(tokens, p, want, np.where(whole >= 0.5, 1.0, 0.0))
+    assert got == pytest.approx(best, abs=0.01 * (tokens @ p).max())
+
+
+def test_copies_meet_the_targets_as_the_rates_do(spark):
+    docs, labels, _ = labelled(spark)
+    many = docs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("doc_id", F.col("doc_id") + 1000 * F.col("k"))
+    rows = mix_to_targets(many, labels, targets={"good": 1.6, "poor": 1.0, "toxic": 0.5}).collect()
+    for weight, want in ((lambda r: 1 - r.p_toxic, 1.6), (lambda r: r.p_toxic, 0.5)):
+        whole = sum(r.tokens * weight(r) for r in rows)
+        by_rate, by_copies = (sum(r.tokens * weight(r) * x(r) for r in rows) / whole for x in (lambda r: r.rate, lambda r: r.copies))
+        assert by_rate == pytest.approx(want, abs=0.02)
+        assert by_copies == pytest.approx(by_rate, abs=0.03)
 
 
 # -- 6 LM scoring
