@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archloom.llm.columns import let
+from archloom.llm.trigram_query import ALWAYS, trigram_clauses
 
 
 @dataclass(frozen=True)
@@ -15,50 +16,40 @@ class Rule:
     """One kind of secret.
 
     pattern: matched leftmost, without overlap. least: characters that group ``group`` needs, else the
-    match is dropped. literals: alternatives, each a list of literal strings that any match holds in
-    this case or, with ``any_case``, in any; empty if no match must hold a literal of three characters.
+    match is dropped. The trigrams that a match must hold are read off the pattern (``trigram_query.py``).
     """
 
     kind: str
     pattern: str
-    literals: tuple[tuple[str, ...], ...]
     group: int = 0
     least: int = 0
-    any_case: bool = False
     base: bool = False
 
 
 #: The base kinds come first, as their order breaks ties between spans.
 RULES = (
-    Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", (("password",), ("passwd",), ("secret",), ("token",), ("api_key",), ("apikey",)), group=2, least=8, any_case=True, base=True),
-    Rule("access", r"AKIA[A-Z0-9]+", (("AKIA",),), least=16, base=True),
-    Rule("hex", r"[0-9a-f]{32,}", (), base=True),  # runs are maximal, so the length can stand in the pattern
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",))),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", (("xoxa-",), ("xoxb-",), ("xoxp-",), ("xoxr-",), ("xoxs-",))),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", (("eyJ",),)),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", (("-----BEGIN ", "PRIVATE KEY-----"),)),
+    Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", group=2, least=8, base=True),
+    Rule("access", r"AKIA[A-Z0-9]+", least=16, base=True),
+    Rule("hex", r"[0-9a-f]{32,}", base=True),  # runs are maximal, so the length can stand in the pattern
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 
 
-def trigrams(literals: tuple[str, ...], any_case: bool) -> frozenset[str]:
-    """The trigrams that a text must hold where it holds all ``literals``; folded to lower case, as the index is."""
-    del any_case  # the index is folded, so both cases ask for the same trigrams
-    return frozenset(x[i : i + 3].lower() for x in literals for i in range(len(x) - 2))
-
-
-def trigram_query(rules: tuple[Rule, ...]) -> list[tuple[str, str, int, int]]:
-    """(trigram, kind, clause, trigrams of the clause): each rule is an OR of clauses, a clause an AND of trigrams."""
+def trigram_rows(rules: tuple[Rule, ...]) -> list[tuple[str, str, int, int]]:
+    """(trigram, kind, clause, trigrams of the clause) of the rules' queries: an OR of clauses, each an AND of trigrams."""
     out = []
     for rule in rules:
-        for i, literals in enumerate(rule.literals):
-            found = trigrams(literals, rule.any_case)
-            out += [(t, rule.kind, i, len(found)) for t in sorted(found)]
+        for i, clause in enumerate(sorted(map(sorted, trigram_clauses(rule.pattern)))):
+            out += [(t, rule.kind, i, len(clause)) for t in clause]
     return out
 
 
-def _full_scans(rules: tuple[Rule, ...]) -> list[str]:
-    """Rules with a clause that names no trigram (or with none at all) look at every text."""
-    return [r.kind for r in rules if not r.literals or any(not trigrams(x, r.any_case) for x in r.literals)]
+def full_scans(rules: tuple[Rule, ...]) -> list[str]:
+    """Rules of which a match need not hold any trigram: they look at every text."""
+    return [r.kind for r in rules if trigram_clauses(r.pattern) == ALWAYS]
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
@@ -81,8 +72,8 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
 
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """The inverted index (trigram, _id, text_key), of the trigrams that some rule asks for."""
-    asked = sorted({t for t, *_ in trigram_query(rules)})
+    """The inverted index (trigram, _id, text_key), of the trigrams that some rule's query asks for."""
+    asked = sorted({t for t, *_ in trigram_rows(rules)})
     held = let(F.lower("_text"), lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in asked])))
     return docs.select("_id", "text_key", F.explode(held).alias("trigram"))
 
@@ -93,7 +84,7 @@ def _quoted(text: str) -> str:
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(_id, text_key, kinds): the rules of which some clause has all its trigrams in the text."""
-    values = ", ".join(f"({_quoted(t)}, {_quoted(k)}, {i}, {n})" for t, k, i, n in trigram_query(rules))
+    values = ", ".join(f"({_quoted(t)}, {_quoted(k)}, {i}, {n})" for t, k, i, n in trigram_rows(rules))
     asked = docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS q(trigram, kind, clause, need)")
     hits = postings(docs, rules).distinct().join(F.broadcast(asked), "trigram")  # as many rows as the rules have trigrams
     whole = hits.groupBy("_id", "text_key", "kind", "clause", "need").agg(F.count("*").alias("n")).where("n = need")
@@ -109,7 +100,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rul
     read = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("text_key", F.xxhash64("_text"))
     chosen = candidates(read, rules).select(F.col("_id").alias("c_id"), F.col("text_key").alias("c_key"), "kinds").hint("shuffle_hash")
     joined = read.join(chosen, F.col("_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key")), "left")
-    always = _full_scans(rules)
+    always = full_scans(rules)
     nothing = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     found = [
         _spans(F.col("_text"), r, i) if r.kind in always else F.when(F.array_contains("kinds", r.kind), _spans(F.col("_text"), r, i)).otherwise(nothing)
