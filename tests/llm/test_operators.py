@@ -9,6 +9,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from archloom.llm import line_quality, secret_scan
@@ -17,6 +19,7 @@ from archloom.llm.line_dedup import dedup_lines
 from archloom.llm.lm import Model, lm_scores, start_model
 from archloom.llm.mixing import mix_to_targets
 from archloom.llm.pieces import best_losses, decode, encode, encode_and_check, piece_model
+from archloom.llm.trigram_query import admits, trigram_clauses
 from archloom.llm.token_counts import MARK, MODEL, automaton, load_pieces, token_counts
 from archloom.llm.url_rules import judge_urls
 from archloom.llm.vantage import cosines, nearest
@@ -608,9 +611,33 @@ def test_secret_scan_equals_brute_force(spark, docs, texts, odd, none):
 
 
 def test_trigram_queries():
-    q = secret_scan.trigram_query(secret_scan.RULES)
+    q = secret_scan.trigram_rows(secret_scan.RULES)
     assert {t for t, kind, clause, _ in q if kind == "access"} == {"aki", "kia"}
-    assert secret_scan._full_scans(secret_scan.RULES) == ["hex"]
+    assert len({clause for _, kind, clause, _ in q if kind == "assign"}) == 6
+    assert secret_scan.full_scans(secret_scan.RULES) == ["hex"]
+    clauses = lambda p: sorted(map(sorted, trigram_clauses(p)))
+    assert clauses("abc|de") == [[]]
+    assert clauses("(?i)KEY-[0-9]{4}") == [["ey-", "key"]]
+    assert clauses("a(bc)?def") == [["abc", "bcd", "cde", "def"], ["ade", "def"]]
+    assert clauses("ab[cd]*efg") == [["efg"]]
+
+
+PATTERNS = ["abc", "a(bc)?def", "(foo|bar)+baz", "x[ab]{2}y", "a.*bcd", "(ab){3}", "q(a|bcd)(e|fgh)z", "(abc|x?y)z*end", "^ab(?:cd|ef)?g{2,}h$", "a?b?c?ddd", "(?i)Ab-[cd]e+f", "[^a]bcd|efg", "(a|b|cc)(a|b|cc)(a|b|cc)(a|b|cc)", r"\babc\b", "ab(?=cd)cde"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(PATTERNS), st.data())
+def test_whatever_matches_is_admitted(pattern, data):
+    text = data.draw(st.from_regex(pattern))
+    if re.search(pattern, text):
+        assert admits(trigram_clauses(pattern), text)
+
+
+def test_a_rule_needs_its_pattern_only(spark):
+    rules = (secret_scan.Rule("ticket", "TCK-[0-9]{4}(-(red|blue))?"), secret_scan.Rule("pin", "[0-9]{6}"))
+    rows = [(1, "see TCK-1234-red", "s"), (2, "tck-1234", "s"), (3, "654321 and TCK-0000", "s")]
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.found] for r in secret_scan.scan(clashing(spark, rows), rules=rules).collect()}
+    assert got == {1: [("ticket", 4, 16)], 2: [], 3: [("pin", 0, 6), ("ticket", 11, 19)]}
 
 
 # -- 10 URL filters
@@ -651,6 +678,46 @@ def test_mined_combinations_block(spark):
     assert judge_urls(df.limit(0), bad).count() == 0
 
 
+def brute_mined(rows, labels, support, confidence):
+    """Pages with some set of tokens that is frequent and sure enough, by trying all sets that blocked pages hold."""
+    said = [(rows[i], bad) for i, bad in labels.items()]
+    least = math.ceil(support * len(said))
+    rules = set()
+    for tokens, bad in said:
+        for k in range(1, len(tokens) + 1) if bad else ():
+            for x in map(frozenset, itertools.combinations(sorted(tokens), k)):
+                if x not in rules and not any(r < x for r in rules):
+                    n_all = sum(x <= t for t, _ in said)
+                    n_bad = sum(x <= t and b for t, b in said)
+                    if n_bad >= least and n_bad / n_all >= confidence:
+                        rules.add(x)
+    return {i for i, t in rows.items() if any(r <= t for r in rules)}
+
+
+def test_mining_equals_brute_force(spark):
+    random.seed(6)
+    words_, rows, labels = list("pqrstu"), {}, {}
+    for i in range(200):
+        rows[i] = frozenset(random.sample(words_, random.randint(0, 5)) + random.choice([[], ["x", "y"]]))
+        labels[i] = ({"p", "q", "r"} <= rows[i] or {"s", "x"} <= rows[i]) and random.random() < 0.9 or random.random() < 0.15
+    df = pages(spark, ["http://h.zz/" + "/".join(sorted(rows[i])) for i in range(200)])
+    said = spark.createDataFrame([(i, 1, int(b)) for i, b in labels.items()], "doc_id long, quality int, toxic int")
+    got = judge_urls(df, said, fixed=(), min_support=0.03, min_confidence=0.7)
+    want = brute_mined({i: t | {"host=h", "host=zz"} for i, t in rows.items()}, labels, 0.03, 0.7)
+    assert {r.page_id for r in got.where("mined").collect()} == want
+    assert 0 < len(want) < 200
+
+
+def test_long_urls_that_share_their_tokens_are_mined(spark):
+    path = "/".join(f"seg{k}x" for k in range(200))
+    nested = ["/".join(f"d{k}" for k in range(n)) for n in range(1, 41)]
+    urls = [f"http://a.zz/{path}/{i}" for i in range(60)] + [f"http://b.zz/{n}" for n in nested for _ in range(3)] + [f"http://c.zz/{i}" for i in range(60)]
+    df = pages(spark, urls)
+    bad = df.select(F.col("page_id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("page_id") % 4 > 0).cast("int").alias("toxic"))
+    got = judge_urls(df, bad, fixed=(), min_support=0.05, min_confidence=0.74)
+    assert got.where("page_id < 60").where("not mined").count() == 0
+
+
 # -- the pipeline
 
 
