@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from archloom.llm import line_quality, secret_scan
 from archloom.llm.jaccard_join import jaccard_classes, keep_first, prefix_length
 from archloom.llm.line_dedup import dedup_lines
-from archloom.llm.lm import Model, lm_scores, start_model
+from archloom.llm.lm import END_WORD, FORMS, WIDE, Lexicon, Model, cluster, lm_scores, make_classes, start_model
 from archloom.llm.mixing import mix_to_targets
 from archloom.llm.pieces import best_losses, decode, encode, encode_and_check, piece_model
 from archloom.llm.trigram_query import admits, trigram_clauses
@@ -454,7 +454,7 @@ def test_copies_meet_the_targets_as_the_rates_do(spark):
 
 
 def test_lm_base_equals_brute_force(docs, texts):
-    rows = lm_scores(docs, classes=512, frequent=2000).collect()
+    rows = lm_scores(docs, classes=512, clusters=100, frequent=2000).collect()
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = {i: [*words((t or "").translate(low)), None] for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
@@ -467,7 +467,8 @@ def test_lm_base_equals_brute_force(docs, texts):
         assert r.base_score == pytest.approx(base, rel=1e-9)
         assert math.isfinite(r.score)
     out = [r for r in rows if r.held_out]
-    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    gain = sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out)
+    assert gain > 0.1  # in log10 for each held-out token
 
 
 def test_lm_probabilities_sum_to_one():
@@ -479,6 +480,38 @@ def test_lm_probabilities_sum_to_one():
     assert all(np.array_equal(a, b) for a, b in zip((m.r, m.c1, m.c2, m.b), (again.r, again.c1, again.c2, again.b), strict=True))
 
 
+def test_scores_do_not_depend_on_partitions(spark, docs):
+    some = docs.where("n_chars < 4000")
+    options = {"classes": 256, "clusters": 60, "frequent": 1000, "shard_tokens": 20_000}
+    one, many = ({r.doc_id: r.score for r in lm_scores(some.repartition(n), **options).collect()} for n in (1, 16))
+    assert one == pytest.approx(many, rel=1e-6)
+
+
+def test_shares_within_classes_sum_to_one():
+    rng = np.random.default_rng(2)
+    counts = rng.integers(1, 50, 300)
+    words_ = np.sort(np.append(rng.integers(0, 1 << 60, 299), END_WORD))
+    lexicon = Lexicon(words_, counts)
+    form_words = rng.integers(0, 4, FORMS)
+    form_counts = form_words * 2
+    made = make_classes(lexicon, rng.normal(size=(300 + FORMS, WIDE)), form_counts, form_words, 64, 20)
+    size = len(made.counts)
+    assert size == 64
+    assert made.of[lexicon.end] == 0
+    share = np.bincount(made.of[:300], (counts + 1) / made.norm[made.of[:300]], size)
+    share += np.bincount(made.of[300:], 3 * form_words / made.norm[made.of[300:]], size)  # each such word twice
+    share[np.unique(made.of[300:])] += 1 / made.norm[np.unique(made.of[300:])]  # and one that was never seen
+    assert share == pytest.approx(np.ones(size))
+
+
+def test_words_that_stand_alike_cluster_together():
+    rng = np.random.default_rng(3)
+    kind = rng.integers(0, 4, 400)
+    x = np.eye(4)[kind] + rng.normal(0, 0.1, (400, 4))
+    got = cluster(x, np.ones(400), 12)
+    assert all(len(set(kind[got == c])) <= 1 for c in range(12))
+
+
 def test_lm_on_odd_rows(odd, none):
     rows = lm_scores(odd).collect()
     assert len(rows) == len(ODD)
