@@ -127,3 +127,33 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         F.when(F.col("x").isNotNull(), F.col("x.text")).otherwise(F.col("_text")).alias("clean_text"),
         *(["row"] if carry else []),
     )
+
+
+#: The same rows from DuckDB. A run of 50 words or more that stands earlier is the union of its least runs of
+#: 50 words from each first line on, and back from each last line; those are compared as text.
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM (SELECT DISTINCT doc_id, text FROM documents)
+), f AS (
+  SELECT rid, doc_id, text, i, trim(ls[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS c, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS w
+  FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d WHERE text IS NOT NULL)
+), g AS (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) AS pos, sum(w) OVER (PARTITION BY rid ORDER BY i) AS cum FROM f WHERE w > 0
+), cs AS (
+  SELECT rid, list(c ORDER BY pos) AS c, list(i ORDER BY pos) AS places FROM g GROUP BY rid
+), win AS (
+  SELECT DISTINCT a.rid, a.doc_id, a.text, a.pos AS p, b.pos AS q FROM g a JOIN g b ON a.rid = b.rid AND a.pos <= b.pos
+  WHERE b.cum - a.cum + a.w >= 50 AND (b.cum - b.w - a.cum + a.w < 50 OR b.cum - a.cum < 50)
+), keyed AS (
+  SELECT win.*, array_to_string(list_slice(c, p, q), chr(10)) AS run, min({'a': coalesce(win.doc_id, -9223372036854775808), 'b': win.text, 'c': p}) OVER (PARTITION BY array_to_string(list_slice(c, p, q), chr(10))) AS first
+  FROM win JOIN cs USING (rid)
+), gone AS (
+  SELECT DISTINCT rid, unnest(list_slice(places, p, q)) AS i FROM keyed JOIN cs USING (rid) WHERE first <> {'a': coalesce(doc_id, -9223372036854775808), 'b': text, 'c': p}
+), cut AS (
+  SELECT rid, list((i - 1)::INTEGER ORDER BY i) AS removed, sum(w)::BIGINT AS words FROM gone JOIN f USING (rid, i) GROUP BY rid
+)
+SELECT x.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(removed), 0)::BIGINT AS n_removed_lines, coalesce(words, 0)::BIGINT AS n_removed_words,
+  coalesce(removed, []::INTEGER[]) AS removed,
+  CASE WHEN removed IS NULL THEN x.text ELSE array_to_string(list_filter(ls, lambda v, i: NOT list_contains(removed, (i - 1)::INTEGER)), chr(10)) END AS clean_text
+FROM documents x JOIN d ON x.doc_id IS NOT DISTINCT FROM d.doc_id AND x.text IS NOT DISTINCT FROM d.text LEFT JOIN cut USING (rid)
+"""

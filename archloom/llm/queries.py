@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archloom.llm import line_quality, secret_scan
+from archloom.llm import line_dedup, line_quality, secret_scan
 from archloom.llm.jaccard_join import jaccard_classes
 from archloom.llm.url_rules import judge_urls
 from archloom.llm.line_dedup import dedup_lines
@@ -68,6 +68,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_line_dedup"] = op8_line_dedup
+ORACLE_SQL["op8_line_dedup"] = line_dedup.SQL
 
 
 def op7_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
