@@ -251,7 +251,7 @@ def _neighbours(size: int, end: int, blocks: int):
         for k, part in enumerate(np.array_split(np.arange(size), blocks)):
             rows = part[total[part].any(axis=1)]
             if len(rows):
-                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([rows.astype(np.int32).tobytes()], pa.binary()), pa.array([total[rows].astype(np.int64).tobytes()], pa.binary())], names=["block", "rows", "sums"])
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([rows.astype(np.int32).tobytes()], pa.binary()), pa.array([total[rows].astype(np.int32).tobytes()], pa.binary())], names=["block", "rows", "sums"])
 
     return sums
 
@@ -261,7 +261,7 @@ def _add_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, dict] = {}
     for batch in batches:
         for block, rows, sums in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            rows, sums = np.frombuffer(rows, np.int32), np.frombuffer(sums, np.int64).reshape(-1, WIDE)
+            rows, sums = np.frombuffer(rows, np.int32), np.frombuffer(sums, np.int32).reshape(-1, WIDE).astype(np.int64)
             had = held.get(block)
             if had is not None:
                 rows, sums = np.concatenate([had[0], rows]), np.concatenate([had[1], sums])
@@ -444,7 +444,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     start = start_model(made.counts, width)
     flat = np.concatenate([start.flat(), np.full(len(start.flat()), 1e-6, np.float32)])
     shards = max(1, -(-total // shard_tokens))
-    dealt = training.select(F.pmod("deal", F.lit(shards)).alias("shard"), "tokens", F.xxhash64("deal").alias("place")).repartition("shard").sortWithinPartitions("shard", "place").select("shard", "tokens")
+    dealt = training.select(F.pmod("deal", F.lit(shards)).alias("shard"), "tokens", F.xxhash64("deal").alias("place")).repartition(shards, "shard").sortWithinPartitions("shard", "place").select("shard", "tokens")
     for k in range(rounds):
         learner = _learn(shared, sc.broadcast(flat), width, batch_tokens, blocks, k)
         parts = dealt.mapInArrow(learner, "block int, shard long, tokens long, values binary")
