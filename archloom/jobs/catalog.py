@@ -9,6 +9,8 @@ from archloom.functions import text as X
 from archloom.sources.tables import table
 
 DAY = "1998-06-15"
+#: Years without an entry from which on a gap is shown.
+GAP_YEARS = 5
 
 
 def shelf_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def year_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def year_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of one year in each customer's orders by key, gaps of two years or more, anchors, first-of-date flags."""
+    """Runs of one year in each customer's orders by key, gaps of ``GAP_YEARS`` or more, anchors, first-of-date flags."""
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("year"), F.to_date("o_orderdate").alias("day"))
     line = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     rows = rows.withColumn("before", F.lag("year").over(line))
@@ -62,7 +64,7 @@ def year_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     nth = F.sum(F.col("head").cast("int")).over(Window.partitionBy("o_custkey", "year").orderBy("o_orderkey"))
     anchor = F.concat(F.lit("y"), F.col("year").cast("string"), F.when(nth > 1, F.concat(F.lit("-"), nth.cast("string"))).otherwise(""))
     shown = F.row_number().over(Window.partitionBy("o_custkey", "day").orderBy("o_orderkey")) == 1
-    gap = F.when(F.col("head") & (F.abs(F.col("year") - F.col("before")) >= 2), F.abs(F.col("year") - F.col("before")))
+    gap = F.when(F.col("head") & (F.abs(F.col("year") - F.col("before")) >= GAP_YEARS), F.abs(F.col("year") - F.col("before")))
     return rows.select("o_custkey", "o_orderkey", F.col("band").cast("long").alias("band"), gap.cast("long").alias("gap"), anchor.alias("anchor"), shown.alias("date_shown"))
 
 
@@ -80,10 +82,14 @@ def run_board(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def closing_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first fifty open runs by closing date, open ends last (M5)."""
-    d = F.lit(DAY).cast("date")
-    rows = _runs(spark, sf_dir).where(X.run_status(F.col("start"), F.col("end"), d) == "now")
-    return rows.orderBy(F.asc_nulls_last("end"), "o_orderkey").limit(50).select("o_orderkey", F.col("end").cast("string").alias("closes"))
+    """All open runs by closing date, open ends last, and all coming runs by opening date, each with its place among those of its month (M5)."""
+    rows = _runs(spark, sf_dir)
+    status = X.run_status(F.col("start"), F.col("end"), F.lit(DAY).cast("date"))
+    rows = rows.select("o_orderkey", status.alias("status"), "start", "end").where(F.col("status").isin("now", "soon"))
+    day = F.when(F.col("status") == "now", F.col("end")).otherwise(F.col("start"))
+    rows = rows.select("o_orderkey", "status", day.alias("day"), F.coalesce(F.date_format(day, "yyyy-MM"), F.lit("open")).alias("month"))
+    place = F.row_number().over(Window.partitionBy("status", "month").orderBy("day", "o_orderkey"))
+    return rows.select("o_orderkey", "status", "month", F.col("day").cast("string").alias("day"), place.cast("long").alias("place"))
 
 
 def running_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,11 +139,13 @@ WITH a AS (
 ), d AS (
   SELECT *, sum(head::INT) OVER (PARTITION BY o_custkey, y ORDER BY o_orderkey) AS nth FROM c
 )
-SELECT o_custkey, o_orderkey, band::BIGINT AS band, CASE WHEN head AND abs(y - b) >= 2 THEN abs(y - b) END::BIGINT AS gap,
+SELECT o_custkey, o_orderkey, band::BIGINT AS band, CASE WHEN head AND abs(y - b) >= 5 THEN abs(y - b) END::BIGINT AS gap,
   'y' || y || CASE WHEN nth > 1 THEN '-' || nth ELSE '' END AS anchor, row_number() OVER (PARTITION BY o_custkey, day ORDER BY o_orderkey) = 1 AS date_shown
 FROM d""",
     "run_board": f"SELECT o_orderkey, CASE WHEN s IS NULL AND e IS NULL THEN 'any' WHEN {_NOW} THEN 'now' WHEN s > DATE '{DAY}' THEN 'soon' ELSE 'closed' END AS status, CASE WHEN e - s > 0 THEN least(100, greatest(0, round(100.0::DOUBLE * (DATE '{DAY}' - s) / (e - s))::INT)) END::BIGINT AS progress FROM {_RUNS}",
-    "closing_first": f"SELECT o_orderkey, e::VARCHAR AS closes FROM {_RUNS} WHERE (s IS NOT NULL OR e IS NOT NULL) AND {_NOW} ORDER BY e NULLS LAST, o_orderkey LIMIT 50",
+    "closing_first": f"""SELECT *, row_number() OVER (PARTITION BY status, month ORDER BY day, o_orderkey) AS place FROM (
+  SELECT o_orderkey, status, coalesce(strftime(d, '%Y-%m'), 'open') AS month, d::VARCHAR AS day FROM (
+    SELECT o_orderkey, CASE WHEN {_NOW} THEN 'now' ELSE 'soon' END AS status, CASE WHEN {_NOW} THEN e ELSE s END AS d FROM {_RUNS} WHERE (s IS NOT NULL OR e IS NOT NULL) AND ({_NOW} OR s > DATE '{DAY}')))""",
     "running_calendar": f"""
 WITH m AS (SELECT unnest(generate_series(DATE '1990-01-01', DATE '2005-12-01', INTERVAL 1 MONTH))::DATE AS day)
 SELECT day::VARCHAR AS day, count(*) AS open_runs FROM m JOIN {_RUNS} ON day BETWEEN s AND e GROUP BY day""",

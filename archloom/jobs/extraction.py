@@ -61,7 +61,7 @@ def kept_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paired_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of two documents side by side where they make a table."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.slice(F.split("text", "\n"), 1, 3), lambda x: F.substring(x, 1, 90)).alias("x"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("x"))
     right = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y"))
     return d.join(right, "doc_id").select("doc_id", F.size(B.pair_columns(F.col("x"), F.col("y"))).alias("n")).select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_rows")).withColumn("n_rows", F.greatest("n_rows", F.lit(0)))
 
@@ -116,7 +116,7 @@ SELECT page_id, string_agg(key || '=v' || pos, ';' ORDER BY key) AS facts FROM o
 )
 SELECT page_id, pos, rank::BIGINT AS rank FROM b x WHERE rank IS NULL OR EXISTS (
   SELECT 1 FROM b y WHERE y.page_id = x.page_id AND y.pos > x.pos AND y.rank IS NULL AND NOT EXISTS (SELECT 1 FROM b z WHERE z.page_id = x.page_id AND z.pos > x.pos AND z.pos < y.pos AND z.rank <= x.rank))""",
-    "paired_columns": r"""WITH d AS (SELECT doc_id, list_transform(string_split(text, chr(10))[1:3], lambda v: left(v, 90)) AS x FROM documents)
+    "paired_columns": r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)
 SELECT a.doc_id, CASE WHEN len(a.x) = len(b.x) AND len(a.x) >= 3 AND (len(list_filter(a.x, lambda v: NOT regexp_matches(v, ':\**\s*$'))) = 0 OR len(list_filter(list_concat(a.x, b.x), lambda v: length(v) > 80)) = 0) THEN len(a.x) ELSE 0 END::BIGINT AS n_rows
 FROM d a JOIN d b ON b.doc_id = a.doc_id + 1""",
     "prose_kinds": """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'record' WHEN 1 THEN 'cast' WHEN 2 THEN 'quotation' WHEN 3 THEN 'question' WHEN 4 THEN 'note' ELSE 'prose' END AS kind,

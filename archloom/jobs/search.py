@@ -18,7 +18,7 @@ def tokens(text: str) -> F.Column:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One searchable corpus of documents and benchmark items (S3): id, title, section, body."""
-    title = F.substring(F.substring_index("text", ".", 1), 1, 60)
+    title = F.substring_index("text", ".", 1)
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("id"), title.alias("title"), F.col("lang").alias("section"), F.col("text").alias("body"))
     items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("plays/"), F.col("item_id").cast("string")).alias("id"), title.alias("title"), F.lit("works").alias("section"), F.col("text").alias("body"))
     return docs.unionByName(items)
@@ -84,8 +84,8 @@ def search_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CORPUS = """corpus AS (
-  SELECT 'doc/' || doc_id AS id, left(string_split(text, '.')[1], 60) AS title, lang AS section, text AS body FROM documents
-  UNION ALL SELECT 'plays/' || item_id, left(string_split(text, '.')[1], 60), 'works', text FROM benchmark
+  SELECT 'doc/' || doc_id AS id, string_split(text, '.')[1] AS title, lang AS section, text AS body FROM documents
+  UNION ALL SELECT 'plays/' || item_id, string_split(text, '.')[1], 'works', text FROM benchmark
 ), tok AS (SELECT id, regexp_extract_all(lower(body), '[a-z0-9]+') AS t FROM corpus)"""
 _ASKED = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{t}')" for q, t in QUERIES_ASKED) + ") v(query, words))"
 _BM25 = f"""{_CORPUS}, {_ASKED}, terms AS (SELECT DISTINCT query, unnest(string_split(words, ' ')) AS term FROM asked),

@@ -27,15 +27,15 @@ def word_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title from heading, label or nothing; year in parentheses; is the text usable as a label; excerpt."""
-    heading = F.concat(F.substring(F.substring_index("text", ".", 1), 1, 50), F.lit(" ("), (1900 + F.col("doc_id") % 120).cast("string"), F.lit(")"))
+    heading = F.concat(F.substring_index("text", ".", 1), F.lit(" ("), (1900 + F.col("doc_id") % 120).cast("string"), F.lit(")"))
     override = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("Fixed "), F.col("doc_id").cast("string"))).otherwise("")
     first = F.substring_index("text", " ", 1)
-    return table(spark, sf_dir, "documents").select("doc_id", X.page_title(override, heading, F.col("lang")).alias("title"), X.title_year(heading).cast("long").alias("year"), X.usable_label(first).alias("usable"), X.excerpt(F.concat(F.substring(F.substring_index("text", "\n", 1), 1, 80), F.lit(" […] Continue reading more"))).alias("excerpt"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.page_title(override, heading, F.col("lang")).alias("title"), X.title_year(heading).cast("long").alias("year"), X.usable_label(first).alias("usable"), X.excerpt(F.concat(F.substring_index("text", "\n", 1), F.lit(" […] Continue reading more"))).alias("excerpt"))
 
 
 def markdown_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Escaped, plain and link-only forms of the first line."""
-    line = F.regexp_replace(F.substring(F.substring_index("text", "\n", 1), 1, 200), " ", "  ")
+    """Escaped, plain and link-only forms of the whole text."""
+    line = F.regexp_replace("text", " ", "  ")
     md = F.concat(F.lit("![alt](/a.png) ["), F.translate(line, "[]()", ""), F.lit("](/x) *b* https://e.org/p."))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.escape_md(line)).alias("escaped"), F.md5(X.plain(md)).alias("plain"), X.link_text_length(md).cast("long").alias("link_chars"), F.md5(X.linked(md)).alias("linked"), F.md5(X.link_markdown(md)).alias("anchored"), F.md5(X.description(md, F.col("lang"))).alias("described"))
 
@@ -138,8 +138,8 @@ _DEC = "x"
 for _a, _b in X.ENTITIES:
     _DEC = f"replace({_DEC}, '{_a}', '{_b.replace(chr(39), chr(39) * 2)}')"
 _VIS = r"regexp_replace(" + _DEC.replace("(x,", rf"(regexp_replace({_ART}, '<[^>]+>', '', 'g'),", 1) + r", '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
-_HEAD = "left(string_split(text, '.')[1], 50)"
-_LINE = "regexp_replace(left(string_split(text, chr(10))[1], 200), ' ', '  ', 'g')"
+_HEAD = "string_split(text, '.')[1]"
+_LINE = "regexp_replace(text, ' ', '  ', 'g')"
 _MD = f"('![alt](/a.png) [' || translate({_LINE}, '[]()', '') || '](/x) *b* https://e.org/p.')"
 _RAW = """(SELECT *, o_orderdate::DATE AS d, CASE o_orderkey % 8 WHEN 0 THEN '○ ' || day(o_orderdate) || ' ' || monthname(o_orderdate) || ' ' || year(o_orderdate) || ':' WHEN 1 THEN year(o_orderdate)::VARCHAR
   WHEN 2 THEN year(o_orderdate) || '-' || (year(o_orderdate) + 3) || ':' WHEN 3 THEN '• Mid-' || monthname(o_orderdate) || ' ' || year(o_orderdate) WHEN 4 THEN 'prior to ' || year(o_orderdate)
@@ -150,7 +150,7 @@ ORACLE_SQL = {
     "visible_text": f"SELECT page_id, md5(v) AS text_md5, length(v)::BIGINT AS n, md5(trim(regexp_replace(lower(v), '[^a-z0-9]+', ' ', 'g'))) AS normal_md5 FROM (SELECT page_id, {_VIS} AS v FROM pages)",
     "word_retention": f"SELECT page_id, s AS source_words, k AS kept_words, round(k::DOUBLE / nullif(s, 0), 4) AS share FROM (SELECT page_id, len(regexp_extract_all(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[^\\s]+'))::BIGINT AS s, len(regexp_extract_all(regexp_replace({_ART}, '<[^>]+>', ' ', 'g'), '[^\\s]+'))::BIGINT AS k FROM pages)",
     "titles": f"""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'Fixed ' || doc_id ELSE coalesce(nullif(trim(regexp_replace({_HEAD}, '^[A-Z]\\w+: ', '')), ''), lang) END AS title, (1900 + doc_id % 120)::BIGINT AS year,
-  trim(f) <> '' AND length(trim(f)) <= 60 AND NOT regexp_matches(trim(f), '(?i)^(here|click|button|this|more|link)\\b') AS usable, trim(left(string_split(text, chr(10))[1], 80) || ' …') AS excerpt FROM (SELECT *, string_split(text, ' ')[1] AS f FROM documents)""",
+  trim(f) <> '' AND length(trim(f)) <= 60 AND NOT regexp_matches(trim(f), '(?i)^(here|click|button|this|more|link)\\b') AS usable, trim(string_split(text, chr(10))[1] || ' …') AS excerpt FROM (SELECT *, string_split(text, ' ')[1] AS f FROM documents)""",
     "markdown_runs": f"""SELECT doc_id, md5(regexp_replace(regexp_replace({_LINE}, '\\s+', ' ', 'g'), '([\\\\*_\\[\\]`])', '\\\\\\1', 'g')) AS escaped, md5(trim(regexp_replace(regexp_replace({_MD}, '[\\\\*]', '', 'g'), '\\s+', ' ', 'g'))) AS plain,
   length(translate({_LINE}, '[]()', ''))::BIGINT AS link_chars,
   md5(regexp_replace(replace(replace(replace({_MD}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(https?://)([^\\s<]+[^\\s<.,;:!?)])', '<a href="\\1\\2">\\2</a>', 'g')) AS linked,

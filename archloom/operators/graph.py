@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archloom.functions.urls import slugify
@@ -21,8 +21,9 @@ def host_closure(edges: DataFrame, start: DataFrame, prefixes: DataFrame, scratc
     frontier = known
     while True:
         named = frontier.join(prefixes, "host", "left")
-        first = F.row_number().over(Window.partitionBy("prefix").orderBy("pos", "host")) == 1
-        named = named.withColumn("first", first)
+        # the first to ask for each prefix, by an aggregation that combines before the shuffle
+        first = named.where("prefix is not null").groupBy("prefix").agg(F.min(F.struct("pos", "host")).alias("x")).select("prefix", F.col("x.host").alias("first_host"))
+        named = named.join(first, "prefix", "left").withColumn("first", F.col("host") == F.col("first_host"))
         if done is not None:
             taken = done.where("status = 'crawled'").select("prefix").distinct().withColumn("taken", F.lit(True))
             named = named.join(taken, "prefix", "left")
@@ -39,25 +40,63 @@ def host_closure(edges: DataFrame, start: DataFrame, prefixes: DataFrame, scratc
             return done
 
 
+ROUTES = "id string, route string, depth int"
+
+
+def _place_routes(level: DataFrame, taken: DataFrame, scratch: Scratch, depth: int) -> DataFrame:
+    """(id, route, depth) for one level: every row gets a route that is in nobody's hands.
+
+    ``level``: id, ord, base, first (the route by title), second (that by heading, or null). Rounds: by
+    title, by heading, then numbers. Of rows that ask for one route the first by (ord, id) gets it. The
+    numbers asked for grow by the rows still waiting, so a round settles all but those that meet a taken one.
+    """
+    todo = scratch.keep(level.withColumn("number", F.lit(0).cast("long")))
+    done = None
+    turn = 0
+    while not todo.isEmpty():
+        if turn == 0:
+            asked = todo.withColumn("route", F.col("first"))
+        elif turn == 1:
+            asked = todo.withColumn("route", F.col("second"))
+        else:
+            waiting = Window.partitionBy("first").orderBy("ord", "id")
+            asked = todo.withColumn("number", F.greatest("number", F.lit(1).cast("long")) + F.row_number().over(waiting))
+            asked = asked.withColumn("route", F.concat("first", F.lit("-"), F.col("number").cast("string")))
+        used = taken.select("route") if done is None else taken.select("route").unionByName(done.select("route"))
+        free = asked.where("route is not null").join(used.distinct(), "route", "left_anti")
+        won = free.withColumn("n", F.row_number().over(Window.partitionBy("route").orderBy("ord", "id"))).where("n = 1")
+        won = scratch.keep(won.select("id", "route", F.lit(depth).alias("depth")))
+        done = won if done is None else done.unionByName(won)
+        rest = asked.join(won.select("id"), "id", "left_anti")
+        if turn > 1:  # all numbers that were asked for are spent
+            rest = rest.withColumn("number", F.max("number").over(Window.partitionBy("first")))
+        todo = scratch.keep(rest.select(*todo.columns))
+        turn += 1
+    return taken.limit(0) if done is None else done
+
+
 def build_routes(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, route, depth): a readable route for each page, parents before children.
+    """(id, route, depth): a readable route for each page, parents before children; no two pages share one.
 
-    ``pages``: id, parent, title, ord. The slug of the title goes under the parent's route; a slug that
-    repeats the parent's is left out; of children that would share a route, those after the first by
-    (ord, id) get ``-2``, ``-3`` and so on.
+    ``pages``: id, parent, title, ord, and heading if there is one. The slug of the title goes under the
+    parent's route; a slug that repeats the parent's is left out. Where a route is taken, the slug of the
+    heading is tried, then ``-2``, ``-3`` and so on. No rows give no rows; rows whose parent is not there
+    are not reached.
     """
-    level = pages.where("parent is null").withColumn("base", F.lit(""))
-    out, depth = None, 0
+    heading = F.col("heading") if "heading" in pages.columns else F.lit(None).cast("string")
+    rows = pages.select(F.col("id").cast("string").alias("id"), F.col("parent").cast("string").alias("parent"), "title", "ord", heading.alias("heading"))
+    out = scratch.spark.createDataFrame([], ROUTES)
+    level, depth = rows.where("parent is null").withColumn("base", F.lit("")), 0
+
+    def under(words: Column) -> Column:
+        slug = slugify(words)
+        return F.when(F.col("base") == "", slug).when(F.substring_index("base", "/", -1) == slug, F.col("base")).otherwise(F.concat("base", F.lit("/"), slug))
+
     while True:
-        slug = slugify(F.col("title"))
-        path = F.when(F.col("base") == "", slug).when(F.substring_index("base", "/", -1) == slug, F.col("base")).otherwise(F.concat("base", F.lit("/"), slug))
-        same = F.row_number().over(Window.partitionBy("path").orderBy("ord", "id"))
-        repeated = (F.col("base") != "") & (F.col("path") == F.col("base"))
-        now = level.withColumn("path", path).withColumn("n", same)
-        now = now.withColumn("n", F.when(repeated, F.col("n") + 1).otherwise(F.col("n")))
-        now = scratch.keep(now.select("id", F.when(F.col("n") > 1, F.concat("path", F.lit("-"), F.col("n").cast("string"))).otherwise(F.col("path")).alias("route"), F.lit(depth).alias("depth")))
+        asked = level.select("id", "ord", under(F.col("title")).alias("first"), F.when(F.trim("heading") != "", under(F.col("heading"))).alias("second"))
+        now = _place_routes(asked, out, scratch, depth)
         if now.isEmpty():
             return out
-        out = now if out is None else out.unionByName(now)
-        level = pages.join(now.select(F.col("id").alias("parent"), F.col("route").alias("base")), "parent")
+        out = scratch.keep(out.unionByName(now))
+        level = rows.join(now.select(F.col("id").alias("parent"), F.col("route").alias("base")), "parent")
         depth += 1
