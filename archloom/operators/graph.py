@@ -62,14 +62,17 @@ def _place_routes(level: DataFrame, taken: DataFrame, scratch: Scratch, depth: i
             waiting = Window.partitionBy("first").orderBy("ord", "id")
             asked = todo.withColumn("number", F.greatest("number", F.lit(1).cast("long")) + F.row_number().over(waiting))
             asked = asked.withColumn("route", F.concat("first", F.lit("-"), F.col("number").cast("string")))
+            # whoever asks again begins after all numbers that were asked for
+            most = asked.groupBy("first").agg(F.max("number").alias("most"))
+            asked = scratch.keep(asked.join(most, "first"))
         used = taken.select("route") if done is None else taken.select("route").unionByName(done.select("route"))
         free = asked.where("route is not null").join(used.distinct(), "route", "left_anti")
         won = free.withColumn("n", F.row_number().over(Window.partitionBy("route").orderBy("ord", "id"))).where("n = 1")
         won = scratch.keep(won.select("id", "route", F.lit(depth).alias("depth")))
         done = won if done is None else done.unionByName(won)
         rest = asked.join(won.select("id"), "id", "left_anti")
-        if turn > 1:  # all numbers that were asked for are spent
-            rest = rest.withColumn("number", F.max("number").over(Window.partitionBy("first")))
+        if turn > 1:
+            rest = rest.withColumn("number", F.col("most"))
         todo = scratch.keep(rest.select(*todo.columns))
         turn += 1
     return taken.limit(0) if done is None else done

@@ -140,3 +140,42 @@ def test_streamed_pages_come_once(spark, tmp_path):
     for k in range(2):
         stream_new_pages(spark.readStream.schema(one.schema).parquet(str(src)), out, str(tmp_path / f"c{k}")).awaitTermination()
     assert sorted(r.url for r in spark.read.parquet(out).collect()) == ["u1", "u2"]
+
+
+def routed(spark, rows):
+    df = spark.createDataFrame(rows, "id string, parent string, title string, ord int, heading string")
+    return {r.id: r.route for r in build_routes(df, Scratch(spark, "t")).collect()}
+
+
+def test_no_two_pages_share_a_route(spark):
+    rows = [("a", None, "Work", 1, None), ("b", None, "Work", 2, None), ("c", None, "Work 2", 3, None), ("d", None, "Work", 4, "Old Work"), ("e", None, "Work", 5, "Old Work")]
+    rows += [("f", "a", "Work", 1, None), ("g", "a", "Work", 2, None), ("h", "a", "Lot", 1, None), ("i", "gone", "Lost", 1, None), ("j", "b", "", 1, " ")]
+    got = routed(spark, rows)
+    assert got["a"] == "work"
+    assert got["c"] == "work-2"
+    assert got["d"] == "old-work"
+    assert got["b"] == "work-3" or got["e"] == "work-3"
+    assert got["h"] == "work/lot"
+    assert got["j"].endswith("/page")
+    assert "i" not in got
+    assert len(set(got.values())) == len(got) == 9
+    assert routed(spark, []) == {}
+
+
+def test_many_pages_of_one_title_get_all_numbers(spark):
+    got = routed(spark, [(f"p{i:03}", None, "Same" if i else "Same 7", i, None) for i in range(60)])
+    assert sorted(got.values()) == sorted(["same", *[f"same-{n}" for n in range(2, 61)]])
+
+
+def test_bodies_are_rewritten(spark):
+    from archloom.operators import rewrite as W
+
+    body = '<p>A <a class="k" href="/one?x=1#top"><b>link</b></a>, <A HREF="http://b.org/two/">b</A> <a href="/none">words <i>stay</i></a> <a href="http://x.org/">out</a> <a href="mailto:m@n">m</a> <a name="q">q</a> <a href="/f/Doc.PDF">f</a> <img alt="P" src="/p.jpg"><img src="/lost.jpg"> end'
+    pages = spark.createDataFrame([(1, "a.org", body), (2, "a.org", None), (3, "b.org", "no links"), (4, "b.org", '<a href="/one">other host</a>')], "page_id long, host string, body string")
+    routes = spark.createDataFrame([("http://a.org/one/", "first/one"), ("http://b.org/two/", "two")], "url string, route string")
+    media = spark.createDataFrame([("http://a.org/p.jpg", "m/p.jpg")], "url string, key string")
+    found = W.dispositions(W.link_targets(pages), routes, media)
+    kinds = {(r.page_id, r.ref): r.kind for r in found.collect()}
+    assert kinds == {(1, "/one?x=1#top"): "page", (1, "http://b.org/two/"): "page", (1, "/none"): "unresolved", (1, "http://x.org/"): "kept", (1, "mailto:m@n"): "kept", (1, "/f/Doc.PDF"): "document", (1, "/p.jpg"): "image", (1, "/lost.jpg"): "unresolved", (4, "/one"): "unresolved"}
+    got = {r.page_id: r.body for r in W.rewrite_bodies(pages, found).collect()}
+    assert got == {1: '<p>A <a href="/first/one#top"><b>link</b></a>, <a href="/two">b</a> words <i>stay</i> <a href="http://x.org/">out</a> <a href="mailto:m@n">m</a> q <a href="/files/doc.pdf">f</a> <img src="/m/p.jpg" alt="P"> end', 2: None, 3: "no links", 4: "other host"}
