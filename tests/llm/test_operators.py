@@ -767,3 +767,20 @@ def test_pipeline_stages(spark, sf, docs):
         now = after
     assert 0 < now.count() < docs.count()
     assert now.where("not round_trip").count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf):
+    """Nulls, empty and long texts, repeated rows and an empty table go through every stage; what has no words is rejected by the first."""
+    import corpus_pipeline as P
+
+    long = " ".join(f"w{k}" for k in range(3000))
+    rows = [(i, t, "en", s, 1) for i, t, s in ODD] + [(20, long, None, None, None), (20, long, None, None, None), (21, long + " end", "en", "a", 2), (None, " ".join(f"v{k}" for k in range(40)), "en", "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    now = docs
+    for _, stage in P.STAGES:
+        now = stage(spark, now, sf).cache()
+    assert {r.doc_id for r in now.collect()} == {20, None}
+    assert now.where("not round_trip").count() == 0
+    empty = docs.limit(0)
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, sf).count() == 0
