@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of ``documents``. ``run`` writes each stage's rows and reads them again, so that a lost executor costs
 one stage at most.
+
+Every stage takes nulls in any column, empty and very long texts, rows that repeat and empty tables, and
+ignores further columns. Texts that are null, empty or of fewer than 20 words are rejected by the first
+stage. Rows with equal id and text are one document: the Jaccard stage leaves one of them. Rows without
+an id are judged like others, but are nobody's near copies. Without labels nothing is toxic.
 """
 
 from __future__ import annotations
