@@ -64,5 +64,12 @@ def has_caption(next_line: Column, credit: str) -> Column:
 
 
 def kind(text: Column) -> Column:
-    """The first that holds of: record, cast, quotation, question, note; else prose."""
-    return F.when(is_record(text), "record").when(cast_header(text).isNotNull(), "cast").when(source_of(text).isNotNull(), "quotation").when(is_question(text), "question").when(is_note(text), "note").otherwise("prose")
+    """The first that holds of: record, cast, quotation, question, extract, note; else prose.
+
+    A quotation begins with a quotation mark. Other text is an extract where its source is shorter than it.
+    """
+    source = source_of(text)["source"]
+    body = F.char_length(F.regexp_replace(F.array_join(lines(text), ""), r"[*]", "")) - F.char_length(source) - 2
+    extract = F.coalesce(F.char_length(source) < body, F.lit(False))
+    quoted = F.ltrim(F.regexp_replace(text, "[*]", "")).rlike('^["“]')
+    return F.when(is_record(text), "record").when(cast_header(text).isNotNull(), "cast").when(quoted, "quotation").when(is_question(text), "question").when(extract, "extract").when(is_note(text), "note").otherwise("prose")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from archloom.functions import prose as P
 from archloom.operators import blocks as B
+from archloom.sources.feeds import FEED_NODE, feed_columns
 from archloom.sources.tables import table
 
 NOTICE = r"(?i)(copyright|all rights reserved|do not reproduce)"
@@ -67,16 +68,17 @@ def paired_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 7
+    k = F.col("p_partkey") % 8
     body = F.concat(F.col("p_name"), F.lit("\n"))
     text = (
         F.when(k == 0, F.concat(F.lit("**Director:** A\n**Design:** "), F.col("p_brand"), F.lit("\nand more")))
         .when(k == 1, F.concat(F.lit("By "), F.col("p_brand"), F.lit("\n**Character** **Actor**\n**Anna** "), F.col("p_name")))
-        .when(k == 2, F.concat(body, F.lit("(The Times (London), 1972, 1985)")))
+        .when(k == 2, F.concat(F.lit('"'), F.col("p_name"), F.lit('"\n(The Times (London), 1972, 1985)')))
         .when(k == 3, F.concat(F.lit("**Why "), F.col("p_name"), F.lit("?**\nBecause.")))
         .when(k == 4, F.concat(F.lit("*"), F.col("p_name"), F.lit("*")))
         .when(k == 5, F.concat(body, F.lit("(not closed")))
-        .otherwise(F.col("p_name"))
+        .when(k == 6, F.concat(body, F.lit("(The Times (London), 1972, 1985)")))
+        .otherwise(F.concat(F.col("p_name"), F.lit(" in a long notice of "), F.col("p_type"), F.lit("\n(Observer, 1990)")))
     )
     return table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
 
@@ -97,13 +99,23 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON records of a feed by an explicit schema, projected with defaults (A6, D35), and totals per kind."""
-    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.from_json("props", "k INT, tag STRING").alias("p"), "props")
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count("props").alias("with_props"), F.count_if(F.col("props").startswith("{")).alias("objects"))
+    """JSON records of a feed by an explicit schema, projected with defaults."""
+    return table(spark, sf_dir, "events").select(*feed_columns(F.col("event_id"), F.unix_timestamp("ts"), F.from_json("props", FEED_NODE)))
 
 
+#: Blocks of an article as the given pages have them: a heading, then paragraphs, the lead's bold left open.
+BLOCKS_SQL = r"""(WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS art FROM pages),
+h AS (SELECT page_id, 'h' AS type, 1 AS level, regexp_extract(art, '(?s)<h1>(.*?)</h1>', 1) AS t, 0 AS n, false AS bold FROM a),
+q AS (SELECT page_id, generate_subscripts(x, 1) AS n, unnest(x) AS p FROM (SELECT page_id, regexp_extract_all(art, '(?s)<p>(?:<b>)?(?:[^<]*)(?:<br>)?(?:</p>)?') AS x FROM a)),
+r AS (SELECT *, p LIKE '%<b>%' OR coalesce(lag(p) OVER (PARTITION BY page_id ORDER BY n) LIKE '%<b>%' AND lag(p) OVER (PARTITION BY page_id ORDER BY n) NOT LIKE '%</p>', false) AS bold FROM q),
+u AS (SELECT page_id, type, level, t, n, bold FROM h UNION ALL SELECT page_id, 'p', NULL, regexp_replace(p, '<[^>]*>', '', 'g'), n, bold FROM r),
+v AS (SELECT *, trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS w FROM u)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS pos, type, level::INTEGER AS level, CASE WHEN bold THEN '**' || w || '**' ELSE w END AS text FROM v WHERE w <> '')"""
+
 QUERIES = {f.__name__: f for f in (page_blocks, page_bodies, page_headings, image_refs, fact_sheets, kept_labels, paired_columns, prose_kinds, captions, feed_events)}
 ORACLE_SQL = {
+    "page_blocks": f"SELECT page_id, pos, type, level, text FROM {BLOCKS_SQL} WHERE NOT regexp_matches(text, '(?i)(copyright|all rights reserved|do not reproduce)')",
+    "page_bodies": f"SELECT page_id, string_agg(CASE WHEN type = 'h' THEN '## ' ELSE '' END || text, chr(10) || chr(10) ORDER BY pos) AS body FROM {BLOCKS_SQL} GROUP BY page_id",
     "page_headings": r"""SELECT page_id, 1::BIGINT AS n, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<article>.*?<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages WHERE regexp_matches(html, '(?s)<article>.*?<h1>')""",
     "image_refs": """SELECT ref, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:src|href)="([^"]+)"', 1)) AS ref FROM pages) GROUP BY ref""",
     "fact_sheets": """WITH l AS (
@@ -119,10 +131,10 @@ SELECT page_id, pos, rank::BIGINT AS rank FROM b x WHERE rank IS NULL OR EXISTS
     "paired_columns": r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)
 SELECT a.doc_id, CASE WHEN len(a.x) = len(b.x) AND len(a.x) >= 3 AND (len(list_filter(a.x, lambda v: NOT regexp_matches(v, ':\**\s*$'))) = 0 OR len(list_filter(list_concat(a.x, b.x), lambda v: length(v) > 80)) = 0) THEN len(a.x) ELSE 0 END::BIGINT AS n_rows
 FROM d a JOIN d b ON b.doc_id = a.doc_id + 1""",
-    "prose_kinds": """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'record' WHEN 1 THEN 'cast' WHEN 2 THEN 'quotation' WHEN 3 THEN 'question' WHEN 4 THEN 'note' ELSE 'prose' END AS kind,
-  CASE WHEN p_partkey % 7 = 2 THEN 'The Times (London), 1972, 1985' END AS source, CASE WHEN p_partkey % 7 = 2 THEN 1985 END::BIGINT AS year,
-  CASE WHEN p_partkey % 7 = 0 THEN 'Director=A;Design=' || p_brand || ' and more' ELSE '' END AS entries FROM part""",
+    "prose_kinds": """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'record' WHEN 1 THEN 'cast' WHEN 2 THEN 'quotation' WHEN 3 THEN 'question' WHEN 4 THEN 'note' WHEN 6 THEN CASE WHEN length(p_name) > 30 THEN 'extract' ELSE 'prose' END WHEN 7 THEN 'extract' ELSE 'prose' END AS kind,
+  CASE WHEN p_partkey % 8 IN (2, 6) THEN 'The Times (London), 1972, 1985' WHEN p_partkey % 8 = 7 THEN 'Observer, 1990' END AS source, CASE WHEN p_partkey % 8 IN (2, 6) THEN 1985 WHEN p_partkey % 8 = 7 THEN 1990 END::BIGINT AS year,
+  CASE WHEN p_partkey % 8 = 0 THEN 'Director=A;Design=' || p_brand || ' and more' ELSE '' END AS entries FROM part""",
     "captions": """WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN '*' || CASE WHEN length(text) % 3 = 0 THEN 'Copyright: ' ELSE 'A ' END || role || '*' ELSE role END AS line FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL)
 SELECT conv_id, turn, coalesce(nxt LIKE '*%' AND nxt NOT LIKE '*Copyright%', false) AS captioned FROM (SELECT *, lead(line) OVER (PARTITION BY conv_id ORDER BY turn, line) AS nxt FROM r)""",
-    "feed_events": "SELECT event_type, count(*) AS n, count(props) AS with_props, count(*) FILTER (props LIKE '{%') AS objects FROM events GROUP BY event_type",
+    "feed_events": """SELECT event_id::VARCHAR AS id, '/p/' || event_id || '/' AS permalink, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS date, '' AS title, coalesce(json_extract(props, '$.k')::BIGINT, 0) AS views, '' AS badge FROM events""",
 }

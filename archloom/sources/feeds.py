@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archloom.functions.text import pictures_of
@@ -27,6 +27,41 @@ def read_photos(spark: SparkSession, folder: str) -> DataFrame:
     return items.select(F.col("x.id").alias("id"), F.timestamp_seconds("x.taken_at").alias("date"), F.trim(F.coalesce("x.caption", F.lit(""))).alias("caption"), pictures_of(F.col("x.carousel"), F.col("x.own")).alias("pictures"))
 
 
+#: A feed's node: the count of views, a nested title, overlays of which one holds the length.
+FEED_NODE = "k BIGINT, title STRUCT<text: STRING>, overlays ARRAY<STRUCT<badge: STRING>>"
+
+
+def feed_columns(key: Column, taken: Column, node: Column) -> list[Column]:
+    """id, permalink, date (of epoch seconds, UTC text), title, views and badge (the first overlay's that has one) of a feed node; absent ones are empty or 0."""
+    badge = F.get(F.filter(node["overlays"], lambda o: F.coalesce(o["badge"], F.lit("")) != ""), 0)["badge"]
+    return [
+        key.cast("string").alias("id"),
+        F.concat(F.lit("/p/"), key.cast("string"), F.lit("/")).alias("permalink"),
+        F.date_format(F.timestamp_seconds(taken), "yyyy-MM-dd HH:mm:ss").alias("date"),
+        F.trim(F.coalesce(node["title"]["text"], F.lit(""))).alias("title"),
+        F.coalesce(node["k"], F.lit(0)).alias("views"),
+        F.coalesce(badge, F.lit("")).alias("badge"),
+    ]
+
+
+def read_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """(slug, content, modified) of curated pages: one JSON object or array to a file."""
+    rows = spark.read.schema("slug STRING, content STRUCT<rendered: STRING>, modified TIMESTAMP").option("multiLine", True).json(folder)
+    return rows.select("slug", F.coalesce("content.rendered", F.lit("")).alias("content"), "modified")
+
+
+def video_details(pages: DataFrame) -> DataFrame:
+    """(id, published, description) of video pages (id, html): the upload date, and the text that the page's script holds as a JSON string."""
+    raw = F.regexp_extract("html", r'"shortDescription":"((?:[^"\\]|\\.)*)"', 1)
+    said = F.from_json(F.concat(F.lit('{"x":"'), raw, F.lit('"}')), "x STRING")["x"]
+    return pages.select("id", F.nullif(F.regexp_extract("html", r'"uploadDate":"([^"]+)"', 1), F.lit("")).alias("published"), F.coalesce(F.trim(said), F.lit("")).alias("description"))
+
+
+def write_feed(rows: DataFrame, folder: str, updated: str) -> None:
+    """The rows as JSON lines, each with the time of the run."""
+    rows.withColumn("updated", F.lit(updated)).write.mode("overwrite").json(folder)
+
+
 def find_nodes(pages: DataFrame, key: str, *, order: str = "page", body: str = "json") -> DataFrame:
     """(id, pos, node): every object under ``key`` at any depth, once for each id: the last value, at the first place.
 
