@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archloom.functions import text as X
+from archloom.operators.ranking import numbered
+from archloom.sources.scratch import Scratch
 from archloom.sources.tables import table
 
 DAY = "1998-06-15"
@@ -16,8 +18,15 @@ GAP_YEARS = 5
 def shelf_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of a brand by shelf key, each with the next on its shelf."""
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.lower(X.sort_key(F.concat(F.lit("The "), "p_name"))).alias("shelf"))
-    shelf = Window.partitionBy("p_brand").orderBy("shelf", "p_partkey")
-    return rows.select("p_partkey", "p_brand", "shelf", F.row_number().over(shelf).cast("long").alias("place"), F.lead("p_partkey").over(shelf).alias("next_key"))
+    # one order over all shelves, by ranges: a shelf may hold a third of all rows
+    scratch = Scratch(spark, "shelf")
+    rows = scratch.keep(numbered(rows, scratch, "p_brand", "shelf", "p_partkey"))
+    first = rows.groupBy("p_brand").agg(F.min("n").alias("first"))
+    after = rows.select((F.col("n") - 1).alias("n"), F.col("p_brand").alias("next_brand"), F.col("p_partkey").alias("next_key"))
+    next_key = F.when(F.col("next_brand").eqNullSafe(F.col("p_brand")), F.col("next_key"))
+    placed = rows.join(after, "n", "left").select("p_partkey", "p_brand", "shelf", "n", next_key.alias("next_key"))
+    same = F.col("p_brand").eqNullSafe(F.col("of_brand"))
+    return placed.join(first.withColumnRenamed("p_brand", "of_brand"), same).select("p_partkey", "p_brand", "shelf", (F.col("n") - F.col("first") + 1).alias("place"), "next_key")
 
 
 def newest_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archloom.functions import urls as U
 from archloom.jobs.tree import parent_id, place_pages
 from archloom.operators.graph import build_routes
 from archloom.operators.graph import host_closure as closure
+from archloom.operators.ranking import numbered
 from archloom.sources.scratch import Scratch
 from archloom.sources.tables import table
 
@@ -42,10 +43,8 @@ def host_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page that names each subdomain, and the order of the names (G7, K1): smallest (page) by partial aggregation."""
     h = _hosts(spark, sf_dir).withColumn("sub", F.substring_index("host", ".", 1))
     first = h.groupBy("sub").agg(F.min(F.struct("page_id", "host")).alias("x"))
-    # the rank within its domain, so that no task holds all names
-    domain = F.substring_index("x.host", ".", -1)
-    place = F.row_number().over(Window.partitionBy(domain).orderBy("x.page_id"))
-    return first.select("sub", F.col("x.host").alias("host"), F.col("x.page_id").alias("page_id"), place.cast("long").alias("place"))
+    rows = first.select("sub", F.col("x.host").alias("host"), F.col("x.page_id").alias("page_id"))
+    return numbered(rows, Scratch(spark, "catalogue"), "page_id", "sub").withColumnRenamed("n", "place")
 
 
 def stand_ins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +125,7 @@ ORACLE_SQL = {
   SELECT arg_min(host, page_id) AS host, 0::BIGINT AS hop FROM h UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.host WHERE r.hop < 60
 ) SELECT host, min(hop) AS hop, 'crawled' AS status FROM r GROUP BY host""",
     "host_catalogue": f"""WITH {_H}, f AS (SELECT string_split(host, '.')[1] AS sub, min(page_id) AS page_id, arg_min(host, page_id) AS host FROM h GROUP BY ALL)
-SELECT sub, host, page_id, row_number() OVER (PARTITION BY string_split(host, '.')[-1] ORDER BY page_id) AS place FROM f""",
+SELECT sub, host, page_id, row_number() OVER (ORDER BY page_id, sub) AS place FROM f""",
     "stand_ins": f"""WITH p AS (SELECT DISTINCT {_canon('url')} AS url, 'http://' || lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) || regexp_replace(regexp_replace({_PATH.format(u='url')}, '/$', ''), '[^/]*$', '') AS dir FROM pages)
 SELECT dir, min(url) AS url FROM p WHERE dir NOT IN (SELECT url FROM p) GROUP BY dir HAVING count(*) = 1""",
     "routes": """WITH s AS (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from archloom.functions import prose as P
 from archloom.operators import crawl as C
 from archloom.operators import lines as L
+from archloom.operators.ranking import numbered
 from archloom.sources import feeds
 from archloom.sources.scratch import Scratch
 
@@ -105,3 +106,11 @@ def test_curated_pages_and_feed_file(spark, tmp_path):
     assert got == {"news": ("<p>x</p>", "2030-01-02 03:04:05"), "empty": ("", "None")}
     feeds.write_feed(spark.createDataFrame([("a",)], "id string"), str(tmp_path / "out"), "2030-01-01")
     assert [tuple(r) for r in spark.read.json(str(tmp_path / "out")).select("id", "updated").collect()] == [("a", "2030-01-01")]
+
+
+def test_numbered(spark):
+    rows = [(None, 7), ("b", 1), ("b", 0), ("a", 3)] + [("c", i) for i in range(200)]
+    df = spark.createDataFrame(rows, "s string, k int").repartition(5)
+    out = numbered(df, Scratch(spark, "t"), "s", "k").orderBy("n").collect()
+    assert [(r.s, r.k) for r in out] == sorted(rows, key=lambda r: (r[0] or "", r[1])) and [r.n for r in out] == list(range(1, 205))
+    assert numbered(df.limit(0), Scratch(spark, "t"), "s", "k").count() == 0
