@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archloom.llm import line_dedup, line_quality, secret_scan
+from archloom.llm import exact_dedup, line_dedup, line_quality, secret_scan, source_audit
 from archloom.llm.jaccard_join import jaccard_classes
 from archloom.llm.url_rules import judge_urls
 from archloom.llm.line_dedup import dedup_lines
@@ -13,6 +13,7 @@ from archloom.llm.mixing import mix_to_targets
 from archloom.llm.pieces import encode_and_check
 from archloom.llm.token_counts import token_counts
 from archloom.llm.vantage import nearest
+from archloom.llm.whitening import whiten
 from archloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -102,3 +103,26 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_lm"] = op6_lm
+
+
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op11_source_audit"] = op11_source_audit
+ORACLE_SQL["op11_source_audit"] = source_audit.SQL
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_exact_dedup"] = op12_exact_dedup
+ORACLE_SQL["op12_exact_dedup"] = exact_dedup.SQL
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op13_whitening"] = op13_whitening
