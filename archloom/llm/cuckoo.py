@@ -83,7 +83,10 @@ class CuckooFilter:
 
 
 class LiveKeys:
-    """A filter with the keys that are live in it; an overflow builds a filter of twice the width from the keys."""
+    """A filter with the keys that are live in it; an overflow builds a filter of twice the width from the keys.
+
+    A key may be live several times (different texts can have one key); the filter holds it once.
+    """
 
     def __init__(self, slots: bytes | None = None, keys: bytes = b"") -> None:
         self.filter = CuckooFilter(slots=slots)
@@ -94,13 +97,12 @@ class LiveKeys:
         self.keys = [np.concatenate(self.keys)]
         return self.keys[0]
 
-    def insert(self, keys: np.ndarray) -> None:
-        if not len(keys):
-            return
+    def insert(self, keys: np.ndarray, again: bool = False) -> None:
+        """Adds keys, no two the same and none live; ``again``: all are live already."""
         self.keys.append(keys)
-        if self.filter.insert(keys):
+        if again or self.filter.insert(keys):
             return
-        every, buckets = self.stored(), self.filter.buckets
+        every, buckets = np.unique(self.stored()), self.filter.buckets
         while True:
             buckets *= 2
             self.resized += 1
@@ -109,9 +111,10 @@ class LiveKeys:
                 return
 
     def delete(self, keys: np.ndarray) -> None:
-        """One live copy of each key goes."""
-        self.filter.delete(keys)
+        """One live copy of each key goes; the filter loses the keys of which none is left."""
         left = np.sort(self.stored())
         keys = np.sort(keys)
         nth = np.arange(len(keys)) - np.searchsorted(keys, keys)
-        self.keys = [np.delete(left, np.searchsorted(left, keys) + nth)]
+        left = np.delete(left, np.searchsorted(left, keys) + nth)
+        self.keys = [left]
+        self.filter.delete(np.setdiff1d(keys, left))

@@ -99,7 +99,7 @@ class _Shard:
                 stored[2] += n
                 return
         self.false_hits += 1
-        self.live.insert(key)
+        self.live.insert(key, again=bool(bucket))
         bucket.append([digest, top, n, text, True])
 
     def found(self, whole: bool) -> pa.RecordBatch:

@@ -93,8 +93,8 @@ def _apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 class _Tile:
     """Pairs between two blocks of groups of a language, over one slab of its terms."""
 
-    def __init__(self, key: tuple) -> None:
-        self.key = key
+    def __init__(self, key: tuple, block: int) -> None:
+        self.key, self.block = key, block
         self.lang, self.a, self.b, self.slab = key
         self.names: list[list[str]] = [[], []]
         self.totals: list[list[int]] = [[], []]
@@ -107,7 +107,7 @@ class _Tile:
         for r in rows:
             self.terms, self.first = r["v"], r["first"]
             for side, block in enumerate((self.a, self.b)):
-                if r["g"] // BLOCK == block:
+                if r["g"] // self.block == block:
                     self.places[side][r["g"]] = len(self.names[side])
                     self.names[side].append(r["source"])
                     self.totals[side].append(r["total"] + 2 * r["v"])
@@ -144,7 +144,7 @@ class _Tile:
         return pa.RecordBatch.from_arrays([pa.array([self.lang] * len(i), pa.string()), left, right, pa.array(sums[i, j])], ["lang", "source", "item", "value"])
 
 
-def _tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiles(batches: Iterable[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by tile and chunk; a tile's groups come first, as chunk -1."""
     tile: _Tile | None = None
     chunk, held = -1, []
@@ -161,7 +161,7 @@ def _tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if tile is not None:
                     close()
                     yield tile.pairs()
-                tile, chunk = _Tile(key), row["chunk"]
+                tile, chunk = _Tile(key, block), row["chunk"]
             elif row["chunk"] != chunk:
                 close()
                 chunk = row["chunk"]
@@ -171,9 +171,9 @@ def _tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield tile.pairs()
 
 
-def _to_tiles(rows: DataFrame) -> DataFrame:
+def _to_tiles(rows: DataFrame, size: int) -> DataFrame:
     """Each row once for every tile that its group's block is a side of."""
-    block = F.floor(F.col("g") / BLOCK)
+    block = F.floor(F.col("g") / size)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("_other")
     return rows.select("*", block.alias("_block"), other).withColumn("a", F.least("_block", "_other")).withColumn("b", F.greatest("_block", "_other")).drop("_block", "_other", "blocks")
 
@@ -184,7 +184,7 @@ def _exact_share(count: Column, total: Column, terms: Column) -> Column:
     return (F.call_function("div", F.lit(SCALE).cast(wide) * (count + 2).cast(wide), (total + 2 * terms).cast(wide)) + 1).cast("long")
 
 
-def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -> DataFrame:
+def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS, block: int = BLOCK) -> DataFrame:
     """(lang, source, part, item, value, rank): part ``pair`` against the other sources, part ``term`` against the language."""
     scratch = Scratch(docs.sparkSession, "source-audit")
     read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
@@ -196,7 +196,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -
     totals = used.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = counted.where("term IS NULL").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "v"])
     groups = scratch.keep(numbered(groups, scratch, "lang", "source").withColumnRenamed("n", "_place"))
-    starts = groups.groupBy("lang").agg(F.min("_place").alias("_start"), F.floor((F.count("*") + BLOCK - 1) / BLOCK).alias("blocks"))
+    starts = groups.groupBy("lang").agg(F.min("_place").alias("_start"), F.ceil(F.count("*") / block).alias("blocks"))
     groups = groups.join(starts, "lang").withColumn("g", F.col("_place") - F.col("_start"))
 
     slab = CHUNK * SLAB
@@ -210,8 +210,8 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -
         "chunk", F.col("_terms.at").alias("at"), F.col("_terms.n").alias("n"),
     )
     tile = ["lang", "a", "b", "slab"]
-    dealt = _to_tiles(heads.unionByName(rows)).repartition(*tile).sortWithinPartitions(*tile, "chunk")
-    half = dealt.mapInArrow(_tiles, "lang string, source string, item string, value long").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    dealt = _to_tiles(heads.unionByName(rows), block).repartition(*tile).sortWithinPartitions(*tile, "chunk")
+    half = dealt.mapInArrow(lambda batches: _tiles(batches, block), "lang string, source string, item string, value long").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     ways = F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))).alias("_way")
     pairs = half.select("lang", "value", ways).select("lang", "_way.source", F.lit("pair").alias("part"), "_way.item", "value")
 
