@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archloom.functions import text as X
+from archloom.operators.lines import with_dates
 from archloom.sources.tables import table
 
 
@@ -50,7 +51,7 @@ def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 1, F.year(day).cast("string"))
         .when(k == 2, F.concat(F.year(day).cast("string"), F.lit("-"), (F.year(day) + 3).cast("string"), F.lit(":")))
         .when(k == 3, F.concat(F.lit("• Mid-"), F.date_format(day, "MMMM"), F.lit(" "), F.year(day).cast("string")))
-        .when(k == 4, F.concat(F.lit("prior to "), F.year(day).cast("string")))
+        .when(k == 4, F.concat(F.lit("late "), F.year(day).cast("string"), F.lit(" / early "), (F.year(day) + 1).cast("string")))
         .when(k == 5, F.concat(F.year(day).cast("string"), F.lit(" (a cast list)")))
         .when(k == 6, F.col("o_orderstatus"))
         .otherwise(long)
@@ -60,13 +61,13 @@ def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chronology_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Date labels, their years and what is left beside a year band."""
-    rows = _dated(spark, sf_dir).select("o_orderkey", X.date_of(F.col("raw")).alias("d"))
+    rows = with_dates(_dated(spark, sf_dir), "raw")
     return rows.select("o_orderkey", F.col("d.label").alias("label"), F.col("d.year").cast("long").alias("year"), X.when_of(F.col("d.label"), F.col("d.year")).alias("shown"))
 
 
 def chronology_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each customer's chronology (E12): a date opens an entry, other lines belong to it; only where six lines are dated."""
-    rows = _dated(spark, sf_dir).withColumn("d", X.date_of(F.col("raw")))
+    rows = with_dates(_dated(spark, sf_dir), "raw")
     line = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     dated = F.col("d").isNotNull()
     rows = rows.withColumn("n", F.count_if(dated).over(Window.partitionBy("o_custkey"))).where("n >= 6")
@@ -75,7 +76,7 @@ def chronology_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs written as text and read back as dates (D11): several forms, years left out in some."""
+    """Runs written as text and read back as dates (D11): several forms, years left out in some, runs over New Year too."""
     a = F.to_date("o_orderdate")
     b = F.date_add(a, (F.col("o_orderkey") % 60).cast("int"))
     say = lambda d, fmt: F.concat(F.dayofmonth(d).cast("string"), F.lit(" "), F.date_format(d, fmt))
@@ -87,8 +88,7 @@ def listing_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 3, F.concat(say(a, "MMMM yyyy"), F.lit(", 7.30pm")))
         .otherwise("Streaming")
     )
-    same = F.year(a) == F.year(b)
-    rows = table(spark, sf_dir, "orders").where((k != 0) | same).select("o_orderkey", X.run_dates(when, F.lit("1998-06-15").cast("date")).alias("r"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", X.run_dates(when, F.lit("1998-06-15").cast("date")).alias("r"))
     return rows.select("o_orderkey", F.col("r.from").cast("string").alias("from_day"), F.col("r.to").cast("string").alias("to_day"))
 
 
@@ -142,7 +142,7 @@ _HEAD = "string_split(text, '.')[1]"
 _LINE = "regexp_replace(text, ' ', '  ', 'g')"
 _MD = f"('![alt](/a.png) [' || translate({_LINE}, '[]()', '') || '](/x) *b* https://e.org/p.')"
 _RAW = """(SELECT *, o_orderdate::DATE AS d, CASE o_orderkey % 8 WHEN 0 THEN '○ ' || day(o_orderdate) || ' ' || monthname(o_orderdate) || ' ' || year(o_orderdate) || ':' WHEN 1 THEN year(o_orderdate)::VARCHAR
-  WHEN 2 THEN year(o_orderdate) || '-' || (year(o_orderdate) + 3) || ':' WHEN 3 THEN '• Mid-' || monthname(o_orderdate) || ' ' || year(o_orderdate) WHEN 4 THEN 'prior to ' || year(o_orderdate)
+  WHEN 2 THEN year(o_orderdate) || '-' || (year(o_orderdate) + 3) || ':' WHEN 3 THEN '• Mid-' || monthname(o_orderdate) || ' ' || year(o_orderdate) WHEN 4 THEN 'late ' || year(o_orderdate) || ' / early ' || (year(o_orderdate) + 1)
   WHEN 5 THEN year(o_orderdate) || ' (a cast list)' WHEN 6 THEN o_orderstatus ELSE day(o_orderdate) || ' ' || monthname(o_orderdate) || ' ' || year(o_orderdate) END AS raw FROM orders)"""
 _LAB = """(SELECT *, CASE o_orderkey % 8 WHEN 0 THEN rtrim(substr(raw, 3), ':') WHEN 2 THEN year(o_orderdate) || ' – ' || (year(o_orderdate) + 3) WHEN 3 THEN 'Mid ' || substr(raw, 7) WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE raw END AS label FROM """ + _RAW + ")"
 QUERIES = {f.__name__: f for f in (visible_text, word_retention, titles, markdown_runs, chronology_labels, chronology_events, listing_dates, listing_lines, heading_ranks, carried_headings, post_kinds, structured_data)}
@@ -161,7 +161,7 @@ ORACLE_SQL = {
     "chronology_events": f"""WITH a AS (SELECT *, count(label) OVER (PARTITION BY o_custkey) AS n, count(label) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS entry FROM {_LAB})
 SELECT o_custkey, entry, max(label) AS label, max(CASE WHEN label IS NOT NULL THEN year(o_orderdate) END)::BIGINT AS year, count(*) FILTER (label IS NULL) AS events FROM a WHERE n >= 6 AND entry > 0 GROUP BY o_custkey, entry""",
     "listing_dates": """SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 2, 3) THEN a END::VARCHAR AS from_day, CASE o_orderkey % 5 WHEN 0 THEN b WHEN 1 THEN b WHEN 3 THEN a END::VARCHAR AS to_day
-FROM (SELECT o_orderkey, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 60)::INTEGER AS b FROM orders) WHERE o_orderkey % 5 <> 0 OR year(a) = year(b)""",
+FROM (SELECT o_orderkey, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 60)::INTEGER AS b FROM orders)""",
     "listing_lines": """SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS title, 'The ' || p_brand AS venue, p_type AS dates,
   '2026-06-' || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') AS posted, p_partkey % 3 = 0 AS revised FROM part""",
     "heading_ranks": """WITH RECURSIVE l AS (

@@ -12,6 +12,12 @@ _BULLET = r"^[\s○◦•*]+"
 _BOLD = r"(?s)<(?:strong|b)\b[^>]*>(.*?)</(?:strong|b)>"
 
 
+def with_dates(rows: DataFrame, column: str, name: str = "d") -> DataFrame:
+    """``rows`` with the date (label, year) that ``column`` states, or null. Each different text is read once."""
+    texts = rows.select(column).where(F.col(column).rlike(X.HAS_YEAR)).distinct()
+    return rows.join(texts.select(column, X.date_of(F.col(column)).alias(name)), column, "left")
+
+
 def listing_rows(paragraphs: DataFrame, *, most: int = 40) -> DataFrame:
     """(page_id, pos, kind, heading, title, venue, dates, detail, href) of curated pages' paragraphs (page_id, pos, markup).
 
@@ -55,7 +61,8 @@ def timeline_rows(paragraphs: DataFrame, *, least: int = 6) -> DataFrame:
     lines = paragraphs.select("page_id", "pos", F.posexplode(P.lines(F.col("text"))).alias("i", "line"))
     head = F.regexp_extract("line", r"^\*\*([^*]+)\*\*", 1)
     rest = F.trim(F.regexp_replace("line", r"^\*\*[^*]+\*\*", ""))
-    lines = lines.select("page_id", "pos", "i", "line", head.alias("head"), rest.alias("rest")).withColumn("d", F.when(F.col("head") != "", X.date_of(F.col("head"))))
+    lines = lines.select("page_id", "pos", "i", "line", head.alias("head"), rest.alias("rest"))
+    lines = with_dates(lines, "head")
     dated = F.col("d").isNotNull()
     only_mark = F.col("head").rlike(r"^[\s○◦•]+$")
     marked = F.col("head").rlike(r"^\s*[○◦•]")

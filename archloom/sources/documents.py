@@ -12,12 +12,20 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return split_front(raw, F.col("path"), folder)
 
 
+#: The front matter between the fences of a document's first lines, and the body below them.
+_FENCED = r"(?s)^\x{FEFF}?---[ \t]*\r?\n(.*?)(?:^|(?<=\n))---[ \t]*(?:\r?\n|$)(.*)$"
+
+
 def split_front(raw: DataFrame, path: Column, folder: str) -> DataFrame:
-    """``raw`` (value) split at its ``---`` fences; id from the path below ``folder``."""
-    parts = F.split("value", r"(?m)^---\n", 3)
+    """``raw`` (value) split at its ``---`` fences; id from the path below ``folder``.
+
+    A document that doesn't begin with a fence, or whose fence isn't closed, is all body and its front is null.
+    """
+    fenced = F.col("value").rlike(_FENCED)
     below = F.substring_index(path, folder.rstrip("/") + "/", -1)
     name = F.regexp_replace(F.regexp_replace(below, r"\.md$", ""), "(^|/)index$", "")
-    return raw.select(F.when(name == "", "welcome").otherwise(name).alias("id"), F.get(parts, 1).alias("front"), F.coalesce(F.get(parts, 2), F.lit("")).alias("body"))
+    front, body = (F.regexp_extract("value", _FENCED, i) for i in (1, 2))
+    return raw.select(F.when(name == "", "welcome").otherwise(name).alias("id"), F.when(fenced, front).alias("front"), F.when(fenced, body).otherwise(F.coalesce("value", F.lit(""))).alias("body"))
 
 
 def front_field(name: str) -> Column:

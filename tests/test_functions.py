@@ -56,6 +56,8 @@ def test_dates(spark):
             ("between 1640 and 1641", Row(label="between 1640 and 1641", year=1640)),
             ("autumn 1650", Row(label="autumn 1650", year=1650)),
             ("1650 [a fire]", None),
+            ("late 1802 / early 1803", Row(label="late 1802 / early 1803", year=1802)),
+            ("winter 1802/03", None),
             ("room 1650", None),
             ("12 May", None),
             ("1599", None),
@@ -79,6 +81,13 @@ def test_dates(spark):
         ("2 January", "2025-01-02", "2025-01-02"),
         ("8 June 2024 at 11 a.m.", "2024-06-08", "2024-06-08"),
         ("31 June 2024", None, None),
+        ("27 December – 6 January 2001", "2000-12-27", "2001-01-06"),
+        ("27 December – 6 January", "2024-12-27", "2025-01-06"),
+        ("27 December 1998 – 6 January", "1998-12-27", "2025-01-06"),
+        ("May 6 and 9", "2024-05-06", "2024-05-09"),
+        ("4 and 6 May, 1 June 2023", "2023-05-04", "2023-06-01"),
+        ("8 p.m. from 4 May 2024", "2024-05-04", "2024-05-04"),
+        (None, None, None),
         ("every week", None, None),
         ("June 2024", None, None),
     ],
@@ -115,4 +124,8 @@ def test_markup(spark):
     each(spark, X.seconds, [("3:05", 185), ("1:00:01", 3601)])
     each(spark, X.posted, [("Updated: 31/12/24", Row(posted=dt.date(2024, 12, 31), revised=True)), ("on 01/02/03", Row(posted=dt.date(2003, 2, 1), revised=False)), ("30/02/24", Row(posted=None, revised=False)), ("soon", Row(posted=None, revised=False))])
     assert run(spark, X.listing_line(F.lit("◦ Maps of Sand at the Old Mill (1 May 2024)"), F.lit("◦ Maps of Sand"))) == Row(title="Maps of Sand", where="The Old Mill", when="1 May 2024")
+    listed = lambda lead, bold: tuple(run(spark, X.listing_line(F.lit(lead), F.lit(bold))))
+    assert listed("◦ Salt (a study) at Pier Nine (2 May) new", "◦ Salt (a study) at") == ("Salt (a study)", "Pier Nine", "2 May")
+    assert listed("◦ An evening of songs", "") == ("An evening of songs", "", "")
+    assert listed("◦ With Salt (May)", "Salt") == ("With Salt", "", "May")
     assert run(spark, X.json_ld(F.struct(F.lit("</script>").alias("name")))) == '{"name":"\\u003c/script>"}'
