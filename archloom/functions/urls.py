@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 _ORIGIN = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)"
 #: Latin letters with marks, made from their decompositions rather than listed.
@@ -29,18 +27,44 @@ def path(url: Column) -> Column:
     return F.when(found == "", "/").otherwise(found)
 
 
-@F.pandas_udf(StringType())
-def resolve(href: pd.Series, base: pd.Series) -> pd.Series:
-    """``href`` as seen from ``base``; null where it can't be read."""
-    from urllib.parse import urljoin
+#: A reference: scheme, authority, path, query and fragment, each with its sign or absent.
+_REFERENCE = r"(?s)^([a-zA-Z][a-zA-Z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
 
-    def one(h, b):
-        try:
-            return urljoin(b or "", h) if h is not None else None
-        except ValueError:
-            return None
 
-    return pd.Series([one(h, b) for h, b in zip(href, base, strict=True)], dtype="object")
+def without_dots(p: Column) -> Column:
+    """A path that begins with ``/`` without its ``.`` and ``..`` segments, by a fold that keeps a stack of segments."""
+    parts = F.slice(F.split(p, "/", -1), 2, 1 << 30)
+    one, two = r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
+
+    def step(stack: Column, x: Column) -> Column:
+        up = F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
+        return F.when(x.rlike(two), up).when(x.rlike(one), stack).otherwise(F.array_append(stack, x))
+
+    folder = F.when(p.rlike(r"(?i)/(\.|%2e){1,2}$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    folded = F.aggregate(parts, F.array().cast("array<string>"), step, lambda stack: F.concat(F.lit("/"), F.array_join(F.concat(stack, folder), "/")))
+    return F.when(p.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), folded).otherwise(p)
+
+
+def resolve(href: Column, base: Column) -> Column:
+    """``href`` as seen from the absolute url ``base``, dot segments removed.
+
+    White space around it doesn't count, and ``\\`` before the query is read as ``/``. A reference with a scheme
+    other than http and https stays as it is; null stays null, and so does what is relative to no http(s) base.
+    """
+    bare = F.regexp_replace(href, r"^[\s\x00-\x20]+|[\s\x00-\x20]+$", "")
+    cut = F.regexp_extract(bare, r"(?s)^[^?#]*", 0)
+    other = bare.rlike(r"^(?!(?i:https?):)[a-zA-Z][a-zA-Z0-9+.-]*:")
+    read = F.concat(F.translate(cut, "\\", "/"), F.substr(bare, F.char_length(cut) + 1))
+    part = lambda i: F.regexp_extract(read, _REFERENCE, i)
+    own, authority, p, query, fragment = (part(i) for i in range(1, 6))
+    near = scheme(base).isin("http", "https") & (host(base) != "")
+    named = F.char_length(authority) > 2
+    asked = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)?", 1)
+    before = F.when(named, F.concat(F.when(own == "", F.concat(scheme(base), F.lit(":"))).otherwise(F.lower(own)), authority)).otherwise(F.concat(scheme(base), F.lit("://"), F.regexp_extract(base, _ORIGIN, 2)))
+    merged = F.when(named & (p == ""), "/").when(named | p.startswith("/"), p).when(p != "", F.concat(F.regexp_extract(path(base), r"(?s)^.*/", 0), p)).otherwise(path(base))
+    tail = F.when(~named & (p == "") & (query == ""), asked).otherwise(query)
+    readable = F.when(named, (own != "") | near).otherwise((own == "") & near)
+    return F.when(other, bare).when(readable, F.concat(before, without_dots(merged), tail, fragment))
 
 
 def canonical(url: Column, host_alias: Column | None = None) -> Column:

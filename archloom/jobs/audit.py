@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from archloom.sources.scratch import Scratch
 from archloom.sources.tables import table
 
 
@@ -34,16 +35,18 @@ def broken_links(targets: DataFrame, served: DataFrame, samples: int = 5) -> Dat
     """(host, target, refs, pages, sample_pages) of the targets that no page of their host serves.
 
     ``targets``: page_id, host, pos, target. ``served``: host, path. References are summed for each page
-    before the join, and pages are scanned once; only the ``samples`` smallest page ids of a target are
-    ever held together.
+    before the join, and pages are scanned once: what is broken is written. Counts combine before the shuffle,
+    and of a target's pages each task passes on only its ``samples`` smallest ids, so a broken link in
+    the navigation of all pages is no large group.
     """
+    scratch = Scratch(targets.sparkSession, "audit")
     refs = targets.groupBy("host", "target", "page_id").agg(F.count("*").alias("n")).withColumn("path", served_path(F.col("target")))
-    broken = refs.join(served.select("host", "path").distinct(), ["host", "path"], "left_anti")
-    place = Window.partitionBy("host", "target").orderBy("page_id")
-    few = F.when(F.col("place") <= samples, F.col("page_id"))
-    ranked = broken.withColumn("place", F.row_number().over(place))
-    counts = ranked.groupBy("host", "target").agg(F.sum("n").alias("refs"), F.count("*").alias("pages"), F.array_sort(F.collect_list(few)).alias("few"))
-    return counts.select("host", "target", "refs", "pages", F.array_join(F.transform("few", lambda x: x.cast("string")), ",").alias("sample_pages"))
+    broken = scratch.keep(refs.join(served.select("host", "path").distinct(), ["host", "path"], "left_anti"))
+    counts = broken.groupBy("host", "target").agg(F.sum("n").alias("refs"), F.count("*").alias("pages"))
+    place = F.row_number().over(Window.partitionBy("host", "target").orderBy("page_id"))
+    first = broken.select("host", "target", "page_id").withColumn("place", place).where(F.col("place") <= samples)
+    few = first.groupBy("host", "target").agg(F.array_sort(F.collect_list("page_id")).alias("few"))
+    return counts.join(few, ["host", "target"]).select("host", "target", "refs", "pages", F.array_join(F.transform("few", lambda x: x.cast("string")), ",").alias("sample_pages"))
 
 
 def link_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

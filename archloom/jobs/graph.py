@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archloom.functions import text as X
 from archloom.functions import urls as U
+from archloom.jobs.urls import ORACLE_SQL as URL_SQL
+from archloom.jobs.urls import page_anchors
 from archloom.jobs.tree import parent_id, place_pages
-from archloom.operators.graph import build_routes
+from archloom.operators.graph import build_routes, routes_of_urls
 from archloom.operators.graph import host_closure as closure
 from archloom.operators.ranking import numbered
 from archloom.sources.scratch import Scratch
@@ -62,6 +65,23 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_routes(with_parent, Scratch(spark, "routes")).select("id", "route", F.col("depth").cast("long").alias("depth"))
 
 
+def first_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first link to each url calls it (K1): the least (page, place) of its usable texts, by partial aggregation."""
+    links = page_anchors(spark, sf_dir).where(X.usable_label(F.col("text")) & F.col("target").isNotNull())
+    first = links.groupBy("target").agg(F.min(F.struct("page_id", "pos", "text")).alias("x"))
+    return first.select(F.col("target").alias("url"), F.trim("x.text").alias("label"))
+
+
+def url_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of the pages' own urls (G5): ancestors that nobody crawled, stand-ins, and hosts that share a prefix."""
+    heading = F.trim(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1))
+    read = table(spark, sf_dir, "pages").select(U.canonical(F.col("url")).alias("url"), F.struct("page_id", X.visible(heading).alias("title")).alias("x")).where("url is not null")
+    pages = read.groupBy("url").agg(F.min("x").alias("x")).select("url", "x.title", F.col("x.page_id").alias("ord"))
+    hosts = pages.select(U.host(F.col("url")).alias("host")).distinct()
+    prefixes = hosts.withColumn("prefix", F.when(F.col("host").startswith("www."), "").otherwise(F.concat(F.lit("plays/"), U.slugify(F.regexp_replace("host", r"^(m|blog)\.|\.example\.\w+$", "")))))
+    return routes_of_urls(pages, first_labels(spark, sf_dir), prefixes, Scratch(spark, "url-routes")).select("url", "route", F.col("depth").cast("long").alias("depth"))
+
+
 def link_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each distinct link target becomes, with its references (J1, K3): kept, document, route of a page, host's prefix, else unresolved.
 
@@ -118,7 +138,7 @@ def _canon(u: str) -> str:
     return f"('http://' || lower(regexp_extract({u}, '^[a-z]+://([^/?#]*)', 1)) || CASE WHEN {p} NOT LIKE '%.%' AND {p} NOT LIKE '%/' THEN {p} || '/' ELSE {p} END)"
 
 
-QUERIES = {f.__name__: f for f in (host_edges, host_closure, host_catalogue, stand_ins, routes, link_disposition, unvisited_hosts, unlabelled, labelled_order, category_names)}
+QUERIES = {f.__name__: f for f in (host_edges, host_closure, host_catalogue, stand_ins, routes, first_labels, url_routes, link_disposition, unvisited_hosts, unlabelled, labelled_order, category_names)}
 ORACLE_SQL = {
     "host_edges": f"WITH {_H}, {_E} SELECT * FROM e",
     "host_closure": f"""WITH RECURSIVE {_H}, {_E}, r AS (
@@ -128,6 +148,8 @@ ORACLE_SQL = {
 SELECT sub, host, page_id, row_number() OVER (ORDER BY page_id, sub) AS place FROM f""",
     "stand_ins": f"""WITH p AS (SELECT DISTINCT {_canon('url')} AS url, 'http://' || lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) || regexp_replace(regexp_replace({_PATH.format(u='url')}, '/$', ''), '[^/]*$', '') AS dir FROM pages)
 SELECT dir, min(url) AS url FROM p WHERE dir NOT IN (SELECT url FROM p) GROUP BY dir HAVING count(*) = 1""",
+    "first_labels": """SELECT target AS url, arg_min(trim(text), (page_id, pos)) AS label FROM (""" + URL_SQL["page_anchors"] + """)
+WHERE trim(text) <> '' AND length(trim(text)) <= 60 AND NOT regexp_matches(trim(text), '(?i)^(here|click|button|this|more|link)\\b') GROUP BY target""",
     "routes": """WITH s AS (
   SELECT lower(r_name) AS id, regexp_replace(regexp_replace(lower(r_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, NULL AS parent, 0::BIGINT AS depth FROM region
   UNION ALL SELECT lower(r_name) || '/' || lower(n_name), regexp_replace(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), lower(r_name), 1 FROM nation JOIN region ON n_regionkey = r_regionkey

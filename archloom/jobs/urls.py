@@ -71,12 +71,19 @@ def page_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r'(<a href="[^"]*">[^<]*)</a>'), F.lit(1))).alias("pos", "a"))
     href = F.regexp_extract("a", 'href="([^"]*)"', 1)
-    origin = F.concat(F.lit("http://"), U.host(F.col("url")))
-    # root-relative links need no general resolution
-    absolute = F.when(href.startswith("/"), F.concat(origin, href)).otherwise(href)
+    absolute = U.resolve(href, F.col("url"))
     return found.select("page_id", F.col("pos").cast("long").alias("pos"), F.regexp_extract("a", ">([^<]*)$", 1).alias("text"), U.canonical(absolute).alias("target"))
 
 
+def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's links, written in eight ways as relative references, as seen from the page (C1): distinct and with their count."""
+    refs = table(spark, sf_dir, "pages").select("url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    bare = F.substr("href", F.lit(2))
+    ways = [F.col("href"), bare, F.concat(F.lit(".."), F.col("href")), F.concat(F.lit("./x/../../"), bare, F.lit("/.")), F.concat(F.lit("?q="), bare), F.concat(F.lit("#"), bare), F.concat(F.lit("//other.org/a/../../"), bare), F.concat(F.lit("mailto:"), bare)]
+    each = refs.select("url", F.posexplode(F.array(*ways)).alias("way", "ref"))
+    return each.select(F.col("way").cast("long").alias("way"), U.resolve(F.col("ref"), F.col("url")).alias("target")).groupBy("way", "target").agg(F.count("*").alias("n"))
+
+
 _CANON = """CASE WHEN regexp_matches(url, '^https?://[^/?#]+') THEN 'http://' || lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) ||
   CASE WHEN p NOT LIKE '%.%' AND p NOT LIKE '%/' THEN p || '/' ELSE p END END"""
 _P = "(SELECT *, CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END AS p, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS h FROM pages)"
@@ -91,7 +98,7 @@ def slug_sql(x: str) -> str:
     return f"CASE WHEN {s} = '' THEN 'page' ELSE left({s}, 70) END"
 
 
-QUERIES = {f.__name__: f for f in (url_spelling, url_segments, host_alias, route_prefix, url_names, text_slugs, page_anchors)}
+QUERIES = {f.__name__: f for f in (url_spelling, url_segments, host_alias, route_prefix, url_names, text_slugs, page_anchors, resolved_links)}
 ORACLE_SQL = {
     "url_spelling": f"""
 SELECT page_id, {_CANON} AS canonical, h AS host, replace(h, '.{DOMAIN}', '') AS sub, h LIKE '%{DOMAIN}' AS internal,
@@ -114,6 +121,21 @@ SELECT page_id, ({slug_sql("CASE WHEN regexp_matches(b, '^.+\\.') THEN regexp_re
   'news/undated/' || ({slug_sql("regexp_replace(l, '\\.[A-Za-z0-9]+$', '')")}) || CASE WHEN regexp_extract(l, '(\\.[A-Za-z0-9]+)$', 1) = '' THEN '.jpg' ELSE lower(regexp_extract(l, '(\\.[A-Za-z0-9]+)$', 1)) END AS media_key
 FROM (SELECT *, string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1] AS b, string_split(p, '/')[-1] AS l FROM {_P})""",
     "text_slugs": f"SELECT doc_id, {slug_sql('string_split(text, chr(10))[1]')} AS slug FROM documents",
+    "resolved_links": r"""
+WITH r AS (
+  SELECT url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages
+), w AS (
+  SELECT url, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS way, unnest([href, href[2:], '..' || href, './x/../../' || href[2:] || '/.', '?q=' || href[2:], '#' || href[2:], '//other.org/a/../../' || href[2:], 'mailto:' || href[2:]]) AS ref,
+    regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS q FROM r
+), c AS (
+  SELECT *, CASE way WHEN 0 THEN ref WHEN 6 THEN regexp_replace(ref, '^//other.org', '') WHEN 4 THEN p WHEN 5 THEN p ELSE regexp_extract(p, '^.*/', 0) || ref END AS path FROM w
+), d AS (
+  SELECT *, list_reduce(list_concat([[]::VARCHAR[]], list_transform(string_split(path, '/')[2:], lambda x: [x])), lambda a, x: CASE WHEN x[1] = '..' THEN a[1:-2] WHEN x[1] = '.' THEN a ELSE list_concat(a, x) END) AS kept FROM c
+), e AS (
+  SELECT *, '/' || array_to_string(CASE WHEN string_split(path, '/')[-1] IN ('.', '..') THEN list_append(kept, '') ELSE kept END, '/') AS clean FROM d
+)
+SELECT way, CASE WHEN way = 7 THEN ref WHEN way = 6 THEN scheme || '://other.org' || clean WHEN way = 4 THEN origin || clean || ref WHEN way = 5 THEN origin || clean || q || ref ELSE origin || clean END AS target, count(*) AS n
+FROM e GROUP BY ALL""",
     "page_anchors": r"""
 WITH a AS (
   SELECT page_id, url, unnest(regexp_extract_all(html, '(<a href="[^"]*">[^<]*)</a>', 1)) AS a, generate_subscripts(regexp_extract_all(html, '(<a href="[^"]*">[^<]*)</a>', 1), 1) - 1 AS pos FROM pages
