@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from archloom.functions import prose as P
 from archloom.operators import blocks as B
+from archloom.operators.layout import BULLET, PROSE, SHEET, page_tree, pair_boxes, without_furniture
 from archloom.sources.feeds import FEED_NODE, feed_columns
+from archloom.sources.scratch import Scratch
 from archloom.sources.tables import table
 
 NOTICE = r"(?i)(copyright|all rights reserved|do not reproduce)"
@@ -60,11 +62,58 @@ def kept_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.drop_empty_labels(rows, 3).select("page_id", "pos", F.col("rank").cast("long").alias("rank"))
 
 
+def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, html): a page for each customer, its finished orders set in columns of ten kinds, with lists, asides and navigation around them."""
+    prose = F.concat(F.lit("Sold at "), F.col("o_totalprice").cast("int").cast("string"), F.lit(". Then sent on."))
+    order = F.struct("o_orderkey", F.col("o_orderpriority").alias("a"), F.col("o_orderstatus").alias("b"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), prose.alias("s"), (F.col("o_totalprice") >= 200000).alias("dear"))
+    lists = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.array_sort(F.collect_list(order)).alias("o"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").join(lists, F.col("c_custkey") == F.col("o_custkey"), "left")
+    k = F.col("c_custkey") % 10
+
+    def lines(fn, head: str = "") -> F.Column:
+        made = F.coalesce(F.transform("o", fn), F.array().cast("array<string>"))
+        return F.array_join(F.concat(F.array(F.lit(head)), made) if head else made, "<br>")
+
+    def row(left: F.Column, right: F.Column) -> F.Column:
+        return F.concat(F.lit('<div class="row"><div class="column">'), left, F.lit('</div><div class="column">'), right, F.lit("</div></div>"))
+
+    wide = F.lit(" of the lot that was packed and weighed and stored and sealed and sent and counted and kept")
+    a, b, d = lines(lambda x: x["a"]), lines(lambda x: x["b"]), lines(lambda x: x["d"])
+    box = (
+        F.when(k == 0, row(a, F.concat(F.lit("<div>"), b, F.lit("</div>"))))
+        .when(k == 1, row(a, lines(lambda x: F.when(x["dear"], x["d"]).otherwise(""))))
+        .when(k == 2, row(lines(lambda x: F.concat(x["a"], F.lit(":"))), lines(lambda x: x["s"])))
+        .when(k == 3, row(a, lines(lambda x: x["s"])))
+        .when(k == 4, row(lines(lambda x: F.concat(x["a"], wide), "<b>Order</b>"), lines(lambda x: x["d"], "<b>Day</b>")))
+        .when(k == 5, row(lines(lambda x: F.concat(F.lit("Status: "), x["b"])), d))
+        .when(k == 6, row(lines(lambda x: F.concat(F.lit("• "), x["a"])), lines(lambda x: F.concat(F.when(F.col("c_custkey") % 20 < 10, "• ").otherwise(""), x["d"]))))
+        .when(k == 7, F.concat(F.lit("<h3>Priority</h3><h3>Status</h3><h3>Day</h3>"), row(row(a, b), d)))
+        .when(k == 8, row(row(lines(lambda x: F.concat(x["a"], F.lit(":"))), b), d))
+        .otherwise(row(lines(lambda x: F.concat(x["a"], wide)), d))
+    )
+    more = F.concat(F.lit("<h2>Links</h2><p><a href='/a'>one</a> <a href='/b'>two</a></p><ul><li>"), F.col("c_mktsegment"), F.lit("</li><li>of "), F.col("c_name"), F.lit("</li></ul><img src='/"), F.col("c_custkey").cast("string"), F.lit(".png' alt='chart'>"))
+    aside = F.concat(F.lit("<aside><h3>Note</h3>"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("<p>In "), F.col("c_mktsegment"), F.lit(".</p>"))).when(F.col("c_custkey") % 3 == 1, "<p><b>Press a button</b></p>").otherwise("<p><a href='/a'>one</a><br><a href='/b'>two</a></p>"), F.lit("</aside>"))
+    html = F.concat(F.lit("<article><h1>"), F.col("c_name"), F.lit("</h1>"), box, F.lit("<p>Copyright: the firm</p>"), more, aside, F.lit("</article>"))
+    return rows.select(F.col("c_custkey").alias("page_id"), html.alias("html"), F.col("c_name").alias("title"))
+
+
 def paired_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of two documents side by side where they make a table."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("x"))
-    right = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y"))
-    return d.join(right, "doc_id").select("doc_id", F.size(B.pair_columns(F.col("x"), F.col("y"))).alias("n")).select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_rows")).withColumn("n_rows", F.greatest("n_rows", F.lit(0)))
+    """What the columns of each page come to (E2): for each row of columns, from the first on, whether it is a table, its rows and their cells."""
+    found = pair_boxes(B.page_blocks(layout_pages(spark, sf_dir)), Scratch(spark, "pairs"))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
+    said = F.array_join(F.transform("lines", lambda x: F.array_join(x["cells"], "|")), ";")
+    return found.select("page_id", place.cast("long").alias("box"), "paired", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_rows"), F.coalesce(said, F.lit("")).alias("cells")).withColumn("n_rows", F.greatest("n_rows", F.lit(0).cast("long")))
+
+
+def tree_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the same pages as a tree without furniture (E3-E6): tables with their heads, lists, images, asides."""
+    pages, scratch = layout_pages(spark, sf_dir), Scratch(spark, "tree")
+    tree = page_tree(B.page_blocks(pages), scratch).join(pages.select("page_id", "title"), "page_id")
+    kept = without_furniture(tree, NOTICE, scratch)
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
+    cells = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";")
+    said = F.coalesce(F.when(F.col("type") == "img", F.col("src")).otherwise(F.col("text")), F.array_join("items", ";"), cells, F.lit(""))
+    return kept.select("page_id", place.cast("long").alias("n"), F.col("aside").isNotNull().alias("in_aside"), "type", said.alias("said"))
 
 
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +161,55 @@ u AS (SELECT page_id, type, level, t, n, bold FROM h UNION ALL SELECT page_id, '
 v AS (SELECT *, trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS w FROM u)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS pos, type, level::INTEGER AS level, CASE WHEN bold THEN '**' || w || '**' ELSE w END AS text FROM v WHERE w <> '')"""
 
-QUERIES = {f.__name__: f for f in (page_blocks, page_bodies, page_headings, image_refs, fact_sheets, kept_labels, paired_columns, prose_kinds, captions, feed_events)}
+_LONG = " of the lot that was packed and weighed and stored and sealed and sent and counted and kept"
+
+
+def _table_sql(l: str, r: str, bold: str, nested: str) -> str:
+    """The tests of two lists of lines; ``bold``: the first lines, and no others, are bold."""
+    def share(x: str, test: str) -> str:
+        return f"len(list_filter({x}, lambda v: {test})) * 2 > len({x})"
+
+    label, prose = "v LIKE '%:'", f"regexp_matches(v, '{PROSE.replace(chr(39), chr(39) * 2)}')"
+    sheet, bullet = f"regexp_matches(v, '{SHEET.replace(chr(39), chr(39) * 2)}')", f"regexp_matches(v, '{BULLET}')"
+    both = f"list_concat({l}, {r})"
+    return f"""(len({l}) >= 3 AND len({l}) = len({r}) AND (len(list_filter({l}, lambda v: NOT {label})) = 0 OR NOT ({share(l, prose)} OR {share(r, prose)}) AND ({bold} OR len(list_filter({both}, lambda v: length(v) > 80)) = 0))
+  AND NOT ({share(l, sheet)} OR {share(r, sheet)}) AND len(list_filter({both}, lambda v: NOT {bullet})) > 0 AND NOT ({nested} AND ({share(l, label)} OR {share(r, label)})))"""
+
+
+#: Lines of the columns of each page (l and r, blank ones at the ends gone), what they come to, and the blocks before lists and asides.
+_COLUMNS_SQL = rf"""o AS (
+  SELECT c_custkey AS page_id, c_custkey % 10 AS k, c_name, coalesce(list(o_orderpriority ORDER BY o_orderkey) FILTER (o_orderkey IS NOT NULL), []) AS a, coalesce(list(o_orderstatus ORDER BY o_orderkey) FILTER (o_orderkey IS NOT NULL), []) AS b,
+    coalesce(list(strftime(o_orderdate, '%Y-%m-%d') ORDER BY o_orderkey) FILTER (o_orderkey IS NOT NULL), []) AS d, coalesce(list('Sold at ' || trunc(o_totalprice)::INT || '. Then sent on.' ORDER BY o_orderkey) FILTER (o_orderkey IS NOT NULL), []) AS s,
+    coalesce(list(CASE WHEN o_totalprice >= 200000 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END ORDER BY o_orderkey) FILTER (o_orderkey IS NOT NULL), []) AS e
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey, c_name
+), x AS (
+  SELECT *, CASE WHEN k IN (2, 8) THEN list_transform(a, lambda v: v || ':') WHEN k = 4 THEN list_concat(['Order'], list_transform(a, lambda v: v || '{_LONG}')) WHEN k = 5 THEN list_transform(b, lambda v: 'Status: ' || v)
+      WHEN k = 6 THEN list_transform(a, lambda v: '• ' || v) WHEN k = 9 THEN list_transform(a, lambda v: v || '{_LONG}') ELSE a END AS l,
+    CASE k WHEN 0 THEN b WHEN 1 THEN e WHEN 2 THEN s WHEN 3 THEN s WHEN 4 THEN list_concat(['Day'], d) WHEN 6 THEN list_transform(d, lambda v: CASE WHEN page_id % 20 < 10 THEN '• ' ELSE '' END || v) WHEN 7 THEN b WHEN 8 THEN b ELSE d END AS r FROM o
+), y AS (
+  SELECT *, CASE WHEN r[1] = '' OR r[-1] = '' THEN list_filter(r, lambda v: v <> '') ELSE r END AS q FROM x
+), z AS (
+  SELECT *, {_table_sql("l", "q", "k = 4", "false")} AS inner_paired, {_table_sql("l", "d", "false", "true")} AS outer_table FROM y
+), w AS (SELECT *, inner_paired AND outer_table AS outer_paired FROM z
+), boxes AS (
+  SELECT page_id, CASE WHEN k IN (7, 8) THEN 2 ELSE 1 END::BIGINT AS box, inner_paired AS paired, list_transform(generate_series(1, len(l)), lambda i: CASE WHEN k = 4 AND i = 1 THEN '**Order**|**Day**' ELSE l[i] || '|' || q[i] END) AS cells FROM w
+  UNION ALL SELECT page_id, 1, outer_paired, list_transform(generate_series(1, len(l)), lambda i: l[i] || '|' || b[i] || '|' || d[i]) FROM w WHERE k IN (7, 8)
+), split AS (
+  SELECT page_id, side, list_filter(list_transform(regexp_split_to_array(array_to_string(CASE WHEN k = 4 THEN list_concat(['**' || x[1] || '**'], x[2:]) ELSE x END, chr(10)), '\n\n+'), lambda v: trim(v, chr(10))), lambda v: v <> '') AS said
+  FROM (SELECT page_id, k, 10 AS side, l AS x FROM w WHERE NOT inner_paired UNION ALL SELECT page_id, k, 20, r FROM w WHERE NOT inner_paired)
+), paras AS (
+  SELECT page_id, unnest(said) AS said, side + 0.01 * generate_subscripts(said, 1) AS "at" FROM split
+  UNION ALL SELECT page_id, array_to_string(list_transform(generate_series(1, len(l)), lambda i: CASE WHEN k = 4 AND i = 1 THEN '**Order** **Day**' ELSE '**' || l[i] || '**' || CASE WHEN q[i] = '' THEN '' ELSE ' ' || q[i] END END), chr(10)), 10 FROM w WHERE inner_paired AND (k NOT IN (7, 8) OR NOT outer_paired)
+  UNION ALL SELECT page_id, array_to_string(d, chr(10)), 30 FROM w WHERE k IN (7, 8) AND NOT outer_paired AND len(d) > 0
+), heads AS (
+  SELECT page_id, unnest(['Priority', 'Status', 'Day']) AS said, unnest([1, 2, 3]) AS i FROM w WHERE k = 7 AND NOT outer_paired
+), pieces AS (
+  SELECT page_id, 'p' AS type, said, false AS in_aside, "at" FROM paras
+  UNION ALL SELECT page_id, 'h', said, false, i FROM heads WHERE i = 3
+  UNION ALL SELECT page_id, 'table', 'Priority|Status|Day;' || array_to_string(list_transform(generate_series(1, len(l)), lambda i: l[i] || '|' || b[i] || '|' || d[i]), ';'), false, 10 FROM w WHERE k IN (7, 8) AND outer_paired
+)"""
+
+QUERIES = {f.__name__: f for f in (page_blocks, page_bodies, page_headings, image_refs, fact_sheets, kept_labels, paired_columns, tree_blocks, prose_kinds, captions, feed_events)}
 ORACLE_SQL = {
     "page_blocks": f"SELECT page_id, pos, type, level, text FROM {BLOCKS_SQL} WHERE NOT regexp_matches(text, '(?i)(copyright|all rights reserved|do not reproduce)')",
     "page_bodies": f"SELECT page_id, string_agg(CASE WHEN type = 'h' THEN '## ' ELSE '' END || text, chr(10) || chr(10) ORDER BY pos) AS body FROM {BLOCKS_SQL} GROUP BY page_id",
@@ -128,9 +225,15 @@ SELECT page_id, string_agg(key || '=v' || pos, ';' ORDER BY key) AS facts FROM o
 )
 SELECT page_id, pos, rank::BIGINT AS rank FROM b x WHERE rank IS NULL OR EXISTS (
   SELECT 1 FROM b y WHERE y.page_id = x.page_id AND y.pos > x.pos AND y.rank IS NULL AND NOT EXISTS (SELECT 1 FROM b z WHERE z.page_id = x.page_id AND z.pos > x.pos AND z.pos < y.pos AND z.rank <= x.rank))""",
-    "paired_columns": r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)
-SELECT a.doc_id, CASE WHEN len(a.x) = len(b.x) AND len(a.x) >= 3 AND (len(list_filter(a.x, lambda v: NOT regexp_matches(v, ':\**\s*$'))) = 0 OR len(list_filter(list_concat(a.x, b.x), lambda v: length(v) > 80)) = 0) THEN len(a.x) ELSE 0 END::BIGINT AS n_rows
-FROM d a JOIN d b ON b.doc_id = a.doc_id + 1""",
+    "paired_columns": f"""WITH {_COLUMNS_SQL}
+SELECT page_id, box, paired, CASE WHEN paired THEN len(cells) ELSE 0 END AS n_rows, CASE WHEN paired THEN array_to_string(cells, ';') ELSE '' END AS cells FROM boxes""",
+    "tree_blocks": f"""WITH {_COLUMNS_SQL}, p AS (SELECT page_id, type, said, in_aside, "at" FROM pieces
+  UNION ALL SELECT c_custkey, 'list', c_mktsegment || ';of ' || c_name, false, 1000 FROM customer
+  UNION ALL SELECT c_custkey, 'img', '/' || c_custkey || '.png', false, 1001 FROM customer
+  UNION ALL SELECT c_custkey, 'aside', '', false, 1002 FROM customer WHERE c_custkey % 3 = 0
+  UNION ALL SELECT c_custkey, 'h', 'Note', true, 1003 FROM customer WHERE c_custkey % 3 = 0
+  UNION ALL SELECT c_custkey, 'p', 'In ' || c_mktsegment || '.', true, 1004 FROM customer WHERE c_custkey % 3 = 0)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY "at") AS n, in_aside, type, said FROM p""",
     "prose_kinds": """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'record' WHEN 1 THEN 'cast' WHEN 2 THEN 'quotation' WHEN 3 THEN 'question' WHEN 4 THEN 'note' WHEN 6 THEN CASE WHEN length(p_name) > 30 THEN 'extract' ELSE 'prose' END WHEN 7 THEN 'extract' ELSE 'prose' END AS kind,
   CASE WHEN p_partkey % 8 IN (2, 6) THEN 'The Times (London), 1972, 1985' WHEN p_partkey % 8 = 7 THEN 'Observer, 1990' END AS source, CASE WHEN p_partkey % 8 IN (2, 6) THEN 1985 WHEN p_partkey % 8 = 7 THEN 1990 END::BIGINT AS year,
   CASE WHEN p_partkey % 8 = 0 THEN 'Director=A;Design=' || p_brand || ' and more' ELSE '' END AS entries FROM part""",

@@ -13,27 +13,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "page_id long, pos int, type string, level int, text string, src string, ordered boolean, items array<string>, rows array<array<string>>"
+#: ``parent`` is the row or aside that holds a block, ``side`` its column in a row, ``aside`` the aside around it, ``depth`` how many rows are around it.
+SCHEMA = "page_id long, pos int, type string, level int, text string, src string, ordered boolean, items array<string>, rows array<array<string>>, parent int, side int, aside int, depth int, bold boolean, plain string"
 
 _TEXTS = pa.list_(pa.string())
-_ARROW = pa.schema([("page_id", pa.int64()), ("pos", pa.int32()), ("type", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("src", pa.string()), ("ordered", pa.bool_()), ("items", _TEXTS), ("rows", pa.list_(_TEXTS))])
+_ARROW = pa.schema([("page_id", pa.int64()), ("pos", pa.int32()), ("type", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("src", pa.string()), ("ordered", pa.bool_()), ("items", _TEXTS), ("rows", pa.list_(_TEXTS))] + [(c, pa.int32()) for c in ("parent", "side", "aside", "depth")] + [("bold", pa.bool_()), ("plain", pa.string())])
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Which element holds the content, and which elements and classes are furniture."""
+    """Which element holds the content, which elements and classes are furniture, and which classes set text beside text."""
 
     content: str = "article"
     skip: frozenset[str] = field(default_factory=lambda: frozenset({"script", "style", "nav", "footer", "header", "form"}))
     skip_classes: frozenset[str] = field(default_factory=lambda: frozenset({"ad", "menu", "sidebar"}))
+    rows: frozenset[str] = field(default_factory=lambda: frozenset({"row", "columns"}))
+    columns: frozenset[str] = field(default_factory=lambda: frozenset({"column", "col"}))
+    asides: frozenset[str] = field(default_factory=lambda: frozenset({"float", "box"}))
 
 
 _VOID = {"br", "img", "hr", "meta", "link", "input", "source", "wbr"}
-_BREAKS = {"p", "div", "section", "article", "ul", "ol", "li", "table", "tr", "td", "th", "blockquote", "figure", "h1", "h2", "h3", "h4", "h5", "h6"}
+_BOXES = {"div", "section", "aside"}
+_BREAKS = _BOXES | {"p", "article", "ul", "ol", "li", "table", "tr", "td", "th", "blockquote", "figure", "h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class _Reader(HTMLParser):
-    """Blocks of one page. Runs of text carry their marks; a block ends at a block element or a double break."""
+    """Blocks of one page. Runs of text carry their marks; a block ends at a block element or a double break.
+
+    A row of columns is a block, and so is each line in its columns, blank ones too; whether the columns are a
+    table is for Spark to say. An aside is a block that others name as their parent.
+    """
 
     def __init__(self, layout: Layout) -> None:
         super().__init__(convert_charrefs=True)
@@ -43,26 +52,75 @@ class _Reader(HTMLParser):
         self.items: list | None = None
         self.rows: list | None = None
         self.ordered = False
+        self.open: list[tuple[str, str, int, int]] = []  # open boxes: tag, kind, block, side
 
-    def line(self) -> str:
-        out = ""
+    def lines(self) -> list[tuple[str, str, bool]]:
+        """The runs as lines: markdown, plain text, and whether all of it is bold."""
+        split: list[list] = [[]]
         for text, bold, italic, href in self.runs:
             for i, part in enumerate(text.split("\n")):
                 if i:
-                    out = out.rstrip() + "\n"
-                bare = " ".join(part.split())
-                if not bare:
-                    out += " " if part and out and not out.endswith((" ", "\n")) else ""
-                    continue
-                mark = "" if self.level else "**" * bool(bold) + "*" * bool(italic)
-                shown = f"[{bare}]({href})" if href else bare
-                lead = " " if part[0].isspace() and out and not out.endswith((" ", "\n")) else ""
-                out += f"{lead}{mark}{shown}{mark}" + (" " if part[-1].isspace() else "")
+                    split.append([])
+                split[-1].append((part, bold, italic, href))
         self.runs = []
-        return "\n".join(x.strip() for x in out.strip().split("\n") if x.strip())
+        return [self.line(runs) for runs in split]
+
+    def line(self, runs: list) -> tuple[str, str, bool]:
+        out, plain, strong = "", "", True
+        for part, bold, italic, href in runs:
+            plain += part
+            bare = " ".join(part.split())
+            if not bare:
+                out += " " if part and out and not out.endswith(" ") else ""
+                continue
+            strong = strong and bool(bold)
+            mark = "" if self.level else "**" * bool(bold) + "*" * bool(italic)
+            shown = f"[{bare}]({href})" if href else bare
+            lead = " " if part[0].isspace() and out and not out.endswith(" ") else ""
+            out += f"{lead}{mark}{shown}{mark}" + (" " if part[-1].isspace() else "")
+        return out.strip(), " ".join(plain.split()), strong
+
+    def add(self, block: dict) -> None:
+        rows, asides = ([x for x in self.open if x[1] == kind] for kind in ("row", "aside"))
+        inner = next((x for x in reversed(self.open) if x[1] in ("column", "aside")), None)
+        if inner:
+            block |= {"parent": inner[2], "side": inner[3] if inner[1] == "column" else None}
+        self.blocks.append(block | {"aside": asides[-1][2] if asides else None, "depth": len(rows)})
+
+    def in_column(self) -> bool:
+        kinds = [x[1] for x in self.open if x[1] in ("column", "aside")]
+        return bool(kinds) and kinds[-1] == "column"
+
+    def enter(self, tag: str, classes: set[str]) -> None:
+        row = self.open[-1] if self.open and self.open[-1][1] == "row" else None
+        if classes & self.layout.rows:
+            self.open.append((tag, "row", len(self.blocks), 0))
+            self.add({"type": "row", "level": 0})
+        elif row and classes & self.layout.columns:
+            side = self.blocks[row[2]]["level"]
+            self.blocks[row[2]]["level"] += 1
+            self.open.append((tag, "column", row[2], side))
+        elif tag == "aside" or classes & self.layout.asides:
+            at = len(self.blocks)
+            self.add({"type": "aside"})
+            self.open.append((tag, "aside", at, 0))
+        else:
+            self.open.append((tag, "", 0, 0))
+
+    def leave(self, tag: str) -> None:
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        if at is not None:
+            del self.open[at:]
 
     def flush(self) -> None:
-        text = self.line()
+        found = self.lines()
+        if self.in_column() and self.rows is None and self.items is None:
+            if found and not found[-1][0]:
+                found.pop()
+            for text, plain, bold in found:
+                self.add({"type": "line", "text": text, "plain": plain, "bold": bold or bool(self.level), "level": self.level or None})
+            return
+        text = "\n".join(x[0] for x in found if x[0])
         if not text:
             return
         if self.rows is not None and self.rows:
@@ -70,9 +128,9 @@ class _Reader(HTMLParser):
         elif self.items is not None:
             self.items.append(text)
         elif self.level:
-            self.blocks.append({"type": "h", "level": self.level, "text": text})
+            self.add({"type": "h", "level": self.level, "text": text})
         else:
-            self.blocks.append({"type": "p", "text": text})
+            self.add({"type": "p", "text": text})
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
@@ -84,6 +142,8 @@ class _Reader(HTMLParser):
             return
         if tag in _BREAKS:
             self.flush()
+        if tag in _BOXES:
+            self.enter(tag, set((a.get("class") or "").split()))
         if tag in ("b", "strong"):
             self.bold += 1
         elif tag in ("i", "em"):
@@ -91,13 +151,16 @@ class _Reader(HTMLParser):
         elif tag == "a":
             self.href = a.get("href")
         elif tag == "br":
-            if self.runs and self.runs[-1][0].endswith("\n") and not self.runs[-1][0].strip():
+            if not self.in_column() and self.runs and self.runs[-1][0].endswith("\n") and not self.runs[-1][0].strip():
                 self.flush()
             else:
                 self.runs.append(("\n", 0, 0, None))
         elif tag == "img":
+            if self.in_column():
+                self.runs.append((f"![{a.get('alt') or ''}]({a.get('src') or ''})", 0, 0, None))
+                return
             self.flush()
-            self.blocks.append({"type": "img", "src": a.get("src"), "text": a.get("alt") or ""})
+            self.add({"type": "img", "src": a.get("src"), "text": a.get("alt") or ""})
         elif tag in ("ul", "ol"):
             self.items, self.ordered = [], tag == "ol"
         elif tag == "table":
@@ -116,6 +179,8 @@ class _Reader(HTMLParser):
         if tag in _BREAKS:
             self.flush()
             self.bold = self.italic = 0  # marks that were left open end with their block
+        if tag in _BOXES:
+            self.leave(tag)
         if tag in ("b", "strong"):
             self.bold = max(0, self.bold - 1)
         elif tag in ("i", "em"):
@@ -124,7 +189,7 @@ class _Reader(HTMLParser):
             self.href = None
         elif tag in ("ul", "ol") and self.items is not None:
             if self.items:
-                self.blocks.append({"type": "list", "items": self.items, "ordered": self.ordered})
+                self.add({"type": "list", "items": self.items, "ordered": self.ordered})
             self.items = None
         elif tag == "table" and self.rows is not None:
             self.table()
@@ -140,9 +205,9 @@ class _Reader(HTMLParser):
         if not rows:
             return
         if max(map(len, rows)) > 2:
-            self.blocks.append({"type": "table", "rows": rows})
+            self.add({"type": "table", "rows": rows})
         else:
-            self.blocks.append({"type": "p", "text": "\n".join(f"**{r[0].strip('*').rstrip(':')}:** {r[1]}" if len(r) == 2 else r[0] for r in rows)})
+            self.add({"type": "p", "text": "\n".join(f"**{r[0].strip('*').rstrip(':')}:** {r[1]}" if len(r) == 2 else r[0] for r in rows)})
 
     def handle_data(self, data: str) -> None:
         if self.inside and not self.skipped and data:
@@ -189,16 +254,17 @@ def is_navigation(text: Column, share: float = 0.6) -> Column:
 def drop_navigation(blocks: DataFrame) -> DataFrame:
     """(page_id, pos) of the blocks that stay: each navigation block goes and takes the heading kept last before it.
 
-    ``blocks``: page_id, pos, type, nav. That is bracket matching, so a page's blocks (a page is one
-    document) are folded in order with a stack.
+    ``blocks``: page_id, pos, type, nav, and perhaps skip: such headings go while nothing is kept yet. That is
+    bracket matching, so a page's blocks (a page is one document) are folded in order with a stack.
     """
-    rows = blocks.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "type", "nav"))).alias("x"))
+    skip = F.coalesce("skip", F.lit(False)) if "skip" in blocks.columns else F.lit(False)
+    rows = blocks.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "type", "nav", skip.alias("skip")))).alias("x"))
     empty = F.array().cast("array<struct<pos:int,type:string>>")
 
     def step(kept: Column, b: Column) -> Column:
         last = F.get(kept, F.size(kept) - 1)
         popped = F.when(F.coalesce(last["type"] == "h", F.lit(False)), F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
-        return F.when(b["nav"], popped).otherwise(F.concat(kept, F.array(F.struct(b["pos"].cast("int").alias("pos"), b["type"].alias("type")))))
+        return F.when(b["skip"] & (F.size(kept) == 0), kept).when(b["nav"], popped).otherwise(F.concat(kept, F.array(F.struct(b["pos"].cast("int").alias("pos"), b["type"].alias("type")))))
 
     return rows.select("page_id", F.explode(F.aggregate("x", empty, step)).alias("k")).select("page_id", F.col("k.pos").alias("pos"))
 
@@ -246,17 +312,3 @@ def render(blocks: DataFrame) -> DataFrame:
     )
     each = blocks.select("page_id", F.struct("pos", text.alias("t")).alias("x"))
     return each.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n\n").alias("body"))
-
-
-def pair_columns(left: Column, right: Column, most: int = 80) -> Column:
-    """Rows of two layout columns read side by side, null where they are not one table.
-
-    As many lines on both sides, three at least, and labels on the left or short cells throughout; not
-    where the left is already a sheet of labels and values, nor where both are lists of bullets.
-    """
-    labels = F.forall(left, lambda x: x.rlike(r":\**\s*$"))
-    short = F.forall(left, lambda x: F.char_length(x) <= most) & F.forall(right, lambda x: F.char_length(x) <= most)
-    sheet = F.forall(left, lambda x: x.rlike(r"^\*\*[^*]+:\*\*\s+\S"))
-    bullets = F.forall(left, lambda x: x.rlike("^[•◦○-]")) & F.forall(right, lambda x: x.rlike("^[•◦○-]"))
-    good = (F.size(left) == F.size(right)) & (F.size(left) >= 3) & (labels | short) & ~sheet & ~bullets
-    return F.when(good, F.zip_with(left, right, lambda a, b: F.array(a, b)))

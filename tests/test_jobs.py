@@ -179,3 +179,76 @@ def test_bodies_are_rewritten(spark):
     assert kinds == {(1, "/one?x=1#top"): "page", (1, "http://b.org/two/"): "page", (1, "/none"): "unresolved", (1, "http://x.org/"): "kept", (1, "mailto:m@n"): "kept", (1, "/f/Doc.PDF"): "document", (1, "/p.jpg"): "image", (1, "/lost.jpg"): "unresolved", (4, "/one"): "unresolved"}
     got = {r.page_id: r.body for r in W.rewrite_bodies(pages, found).collect()}
     assert got == {1: '<p>A <a href="/first/one#top"><b>link</b></a>, <a href="/two">b</a> words <i>stay</i> <a href="http://x.org/">out</a> <a href="mailto:m@n">m</a> q <a href="/files/doc.pdf">f</a> <img src="/m/p.jpg" alt="P"> end', 2: None, 3: "no links", 4: "other host"}
+
+
+def boxed(left, right):
+    return f"<div class='row'><div class='column'>{'<br>'.join(left)}</div><div class='column'>{'<br>'.join(right)}</div></div>"
+
+
+SHORT = ["1", "2", "3"]
+
+
+@pytest.mark.parametrize(
+    ("left", "right", "rows"),
+    [
+        (["a", "b", "c"], SHORT, [["a", "1"], ["b", "2"], ["c", "3"]]),
+        (["a", "b"], ["1", "2"], None),  # three lines at least
+        (["a", "b", "c"], ["1", "2"], None),
+        (["a", "", "b", "c"], ["1", "", "2", ""], None),  # three and two
+        (["", "a", "", "b", "c"], ["1", "2", "", "3", ""], [["a", "1"], ["", "2"], ["b", ""], ["c", "3"]]),  # blank lines align
+        (["a", "", "b", "c"], SHORT, [["a", "1"], ["b", "2"], ["c", "3"]]),  # they don't
+        (["a:", "b:", "c:"], ["One. Two is long. " * 9] * 3, [[f"{x}:", ("One. Two is long. " * 9).strip()] for x in "abc"]),
+        (["a", "b", "c"], ["It was one. It was two", "It was one. It was two", "3"], None),  # prose
+        (["a", "b", "c"], ["It was one. It was two", "2", "3"], [["a", "It was one. It was two"], ["b", "2"], ["c", "3"]]),
+        (["<b>A</b>", "b " * 60, "c"], ["<b>B</b>", "2", "3"], [["**A**", "**B**"], [("b " * 60).strip(), "2"], ["c", "3"]]),
+        (["<b>A</b>", "b " * 60, "<b>c</b>"], ["<b>B</b>", "2", "3"], None),  # bold below the head
+        (["a", "b " * 60, "c"], SHORT, None),
+        (["Place: Rome", "Time: noon", "c"], SHORT, None),  # finished labels and values
+        (["• a", "• b", "• c"], ["• d", "• e", "• f"], None),
+        (["• a", "• b", "• c"], ["• d", "e", "• f"], [["• a", "• d"], ["• b", "e"], ["• c", "• f"]]),
+        ([boxed(["a", "b", "c"], SHORT)], ["x", "y", "z"], [["a", "1", "x"], ["b", "2", "y"], ["c", "3", "z"]]),
+        ([boxed(["a:", "b:", "c:"], SHORT)], ["x", "y", "z"], None),  # labels that stand alone
+        ([boxed(["a", "b"], ["1", "2"])], ["x", "y"], None),  # what is inside is no table
+        ([boxed(["a", "", "b", "c"], ["1", "2", "", "3"])], ["x", "", "y", "z"], [["a", "1", "x"], ["", "2", ""], ["b", "", "y"], ["c", "3", "z"]]),
+        (["<h2>A</h2>b", "c"], ["<h3>B</h3>2", "3"], [["A", "B"], ["b", "2"], ["c", "3"]]),
+        ([f"a<br>{boxed(['p', 'q', 'r'], SHORT)}"], ["w", "x", "y", "z"], [["a", "w"], ["p", "1", "x"], ["q", "2", "y"], ["r", "3", "z"]]),
+        (["<ul><li>a</li></ul>"], ["1"], None),
+    ],
+)
+def test_columns_that_are_tables(spark, left, right, rows):
+    from archloom.operators.layout import pair_boxes
+
+    page = spark.createDataFrame([(1, f"<article>{boxed(left, right)}</article>"), (2, None)], "page_id long, html string")
+    found = pair_boxes(B.page_blocks(page), Scratch(spark, "t")).orderBy("pos").first()
+    assert found.paired == (rows is not None)
+    assert (found.lines and [x.cells for x in found.lines]) == rows
+
+
+def test_page_trees(spark):
+    from archloom.operators.layout import page_tree, without_furniture
+
+    three = boxed([boxed(["Ann", "Bo", "Cy"], SHORT)], ["x", "y", "z"])
+    html = f"""<article><h1>Title</h1><h2>Name</h2><h2>No</h2><h2>Key</h2>{three}<h2>Short</h2>{boxed(["a", "<b>b</b> c", ""], ["1", "", "3"])}
+      <div class='row'><div class='column'>one<br>two<br><br>three<h3>Under</h3>four</div><div class='column'>right</div></div>
+      <div class='box'><h4>Box</h4><p>kept</p><h4>Menu</h4><p><a href='/a'>a</a> <a href='/b'>b</a></p></div><aside><h4>Empty</h4><p><b>Only</b><br><b>labels</b></p></aside>
+      <h2>Go</h2><p><a href='/a'>a</a> <a href='/b'>b</a></p><p>end<br>Copyright: all</p></article>"""
+    pages = spark.createDataFrame([(1, html, "Title"), (2, None, "None")], "page_id long, html string, title string")
+    scratch = Scratch(spark, "t")
+    tree = page_tree(B.page_blocks(pages), scratch).join(pages.drop("html"), "page_id")
+    got = [(r.type, r.aside is not None, r.rows or r.text) for r in without_furniture(tree, "(?i)^copyright", scratch).orderBy("pos").collect()]
+    assert got == [
+        ("table", False, [["Name", "No", "Key"], ["Ann", "1", "x"], ["Bo", "2", "y"], ["Cy", "3", "z"]]),
+        ("h", False, "Short"),
+        ("p", False, "a\n**b** c"),
+        ("p", False, "1"),
+        ("p", False, "3"),
+        ("p", False, "one\ntwo"),
+        ("p", False, "three"),
+        ("h", False, "Under"),
+        ("p", False, "four"),
+        ("p", False, "right"),
+        ("aside", False, None),
+        ("h", True, "Box"),
+        ("p", True, "kept"),
+        ("p", False, "end"),
+    ]
