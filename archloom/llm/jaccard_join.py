@@ -3,10 +3,12 @@
 1. Each text becomes a node (equal word sequences are one node) with ``trees`` labels of ``depth``
    min-hashes. The nodes of a tree, sorted by label, are its prefix trie: nodes that agree on a
    prefix lie side by side.
-2. In each tree a node is matched at the shortest prefix whose trie node isn't crowded: in dense parts
-   of the trie that is a long one, so texts that share much but not enough don't meet (``cut_tries``).
-3. Nodes that were matched at long prefixes in so many trees that a pair at the threshold may have
-   been missed get shorter ones, level by level, until their recall is reached (``shortened``).
+2. The tries are sized from ``shortest`` down (``tries``): in a tree where a node is alone from some prefix on,
+   nobody has to be met there, and it counts as matched at that prefix.
+3. Elsewhere a node is matched at its whole label, the longest prefix, at first. As long as a pair at the
+   threshold could be missed more often than the target recall allows, the node's matches are shortened
+   level by level, in the trees where fewest others share the shorter prefix first, and only in
+   as many trees as the recall needs (``asked``). A node's recall doesn't rest on that of its partner.
 4. Nodes that share a matched prefix are compared by their signatures, in blocks, and yield a
    spanning set of candidate edges (never all pairs of a group).
 5. The texts of each candidate component are compared exactly, in blocks: every pair counts, and
@@ -101,52 +103,66 @@ def _levels(nodes: DataFrame, trees: int, depth: int, length: int, only: DataFra
     return each.select("node", "tree", prefix_key(F.col("tree"), depth, length).alias("key"))
 
 
-def cut_tries(nodes: DataFrame, scratch: Scratch, *, trees: int, depth: int, shortest: int, crowd: int) -> DataFrame:
-    """(node, tree, key, length, n): where each tree's trie is cut, and the number of nodes below that cut.
-
-    Prefixes of ``shortest`` min-hashes are lengthened where more than ``crowd`` nodes share one, at most to
-    whole labels. Nodes alone below their cut are left out: nothing meets them there.
-    """
-    parts, crowded = [], None
+def tries(nodes: DataFrame, scratch: Scratch, *, trees: int, depth: int, shortest: int) -> DataFrame:
+    """(node, tree, key, length, n): the prefixes that a node shares with others, with the number of nodes that do."""
+    parts, shared = [], None
     for length in range(shortest, depth + 1):
-        keys = _levels(nodes, trees, depth, length, crowded)
+        keys = _levels(nodes, trees, depth, length, shared)
         sizes = keys.groupBy("tree", "key").agg(F.count("*").alias("n")).where("n > 1")
-        met = scratch.keep(keys.join(sizes, ["tree", "key"]).withColumn("length", F.lit(length)))
-        last = length == depth
-        parts.append(met if last else met.where(F.col("n") <= crowd))
-        crowded = met.where(F.col("n") > crowd)
-        if last or crowded.isEmpty():
+        shared = scratch.keep(keys.join(sizes, ["tree", "key"]).withColumn("length", F.lit(length)))
+        parts.append(shared)
+        if shared.isEmpty():
             break
     return reduce(DataFrame.unionByName, parts)
 
 
-def shortened(nodes: DataFrame, cut: DataFrame, scratch: Scratch, *, threshold: float, recall: float, trees: int, depth: int, shortest: int) -> list[DataFrame]:
-    """Further matches (node, tree, key, n), of nodes whose cuts are too long for the recall.
+def matched_lengths(shared: np.ndarray, miss: np.ndarray, limit: float) -> np.ndarray:
+    """The length at which each node is matched in each tree, counted from the shortest.
 
-    A pair at the threshold shares a prefix of l min-hashes with probability threshold^l, so a node
-    misses such a partner with the product of 1 - threshold^l over its trees. Nodes over the limit are
-    matched at the next shorter level, among each other: any partner that is not among them has
-    reached the recall itself, and met this node as far as its own cuts go.
+    ``shared``: nodes by lengths by trees, how many nodes share that prefix. ``miss``: the logarithm of how often a
+    pair at the threshold shares no prefix of a length, ``limit``: of how often it may share none in any tree.
     """
-    miss = F.log(1 - F.pow(F.lit(threshold), F.least("length", F.lit(depth))))
-    # a tree where a node is alone at the shortest prefix counts at that length
-    default = float(np.log(1 - threshold**shortest))
-    known = cut.where(F.col("length") > shortest).groupBy("node").agg(F.sum(miss - default).alias("more"))
-    limit = float(np.log(1 - recall)) - trees * default
-    open_ = scratch.keep(known.where(F.col("more") > limit).select("node", "more"))
-    out = []
-    for length in range(depth - 1, shortest - 1, -1):
-        if open_.isEmpty():
-            break
-        # their trees that are cut below this level
-        long = cut.where(F.col("length") > length).join(open_.select("node"), "node").select("node", "tree")
-        keys = _levels(nodes, trees, depth, length, long)
-        sizes = keys.groupBy("tree", "key").agg(F.count("*").alias("n")).where("n > 1")
-        out.append(scratch.keep(keys.join(sizes, ["tree", "key"])))
-        gain = F.sum(F.when(F.col("length") > length, float(np.log(1 - threshold**length)) - default).otherwise(miss - default))
-        now = cut.where(F.col("length") > shortest).join(open_.select("node"), "node").groupBy("node").agg(gain.alias("more"))
-        open_ = scratch.keep(now.where(F.col("more") > limit))
-    return out
+    levels, trees = shared.shape[1:]
+    alone = shared <= 1
+    cut = np.where(alone.any(axis=1), alone.argmax(axis=1), levels - 1)
+    for level in range(levels - 2, -1, -1):
+        lacks = miss[cut].sum(axis=1) - limit
+        step = miss[level + 1] - miss[level]
+        need = np.where(lacks > 1e-12, np.ceil(lacks / step - 1e-9), 0)
+        can = cut == level + 1
+        few = np.argsort(np.where(can, shared[:, level], np.iinfo(np.int64).max), axis=1, kind="stable")
+        place = np.empty_like(few)
+        np.put_along_axis(place, few, np.broadcast_to(np.arange(trees), few.shape), axis=1)
+        cut[can & (place < need[:, None])] = level
+    return cut
+
+
+def asked(found: DataFrame, *, threshold: float, recall: float, trees: int, depth: int, shortest: int) -> DataFrame:
+    """(node, tree, length) of the prefixes at which nodes are matched; none where a node is alone. ``found``: as ``tries`` gives."""
+    miss = np.log(1 - threshold ** np.arange(shortest, depth + 1))
+    limit = np.log(1 - recall)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = batch.column("x")
+            flat = each.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(each.offsets.to_numpy()))
+            tree, length, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("tree", "length", "n"))
+            shared = np.ones((batch.num_rows, len(miss), trees), np.int64)
+            shared[row, length - shortest, tree] = n
+            cut = matched_lengths(shared, miss, limit)
+            others = np.take_along_axis(shared, cut[:, None, :], axis=1)[:, 0, :] > 1
+            at, tree = np.nonzero(others)
+            yield pa.record_batch([batch.column("node").take(pa.array(at)), pa.array(tree.astype(np.int32)), pa.array((cut[at, tree] + shortest).astype(np.int32))], names=["node", "tree", "length"])
+
+    sizes = found.groupBy("node").agg(F.collect_list(F.struct("tree", "length", "n")).alias("x"))
+    return sizes.mapInArrow(choose, "node long, tree int, length int")
+
+
+def meetings(found: DataFrame, asks: DataFrame) -> DataFrame:
+    """(node, key, n) of all nodes below the prefixes that some node is matched at."""
+    wanted = found.join(asks, ["node", "tree", "length"], "left_semi").select("tree", "key").distinct()
+    return found.join(wanted, ["tree", "key"], "left_semi").select("node", "key", "n")
 
 
 def _candidates(width: int, least: float):
@@ -241,7 +257,7 @@ def _in_blocks(df: DataFrame, rows: str, block: int) -> DataFrame:
     return own.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).drop("other")
 
 
-def _classes(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, shingle: int, threshold: float, trees: int, depth: int, recall: float, shortest: int, crowd: int, signature_share: float, prefix_block: int, text_block: int) -> DataFrame:
+def _classes(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, shingle: int, threshold: float, trees: int, depth: int, recall: float, shortest: int, signature_share: float, prefix_block: int, text_block: int) -> DataFrame:
     """(doc_id, tk, n, first, class_id, n_links, n_copies) for each different (id, text) with words: ``n`` rows; ``first``: the class's one to stay."""
     if prefix_length(threshold, trees, depth, recall) < shortest:
         raise ValueError(f"prefixes of {shortest} can't reach a recall of {recall} at {threshold}: use shorter ones, or more trees")
@@ -256,9 +272,9 @@ def _classes(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, s
     scratch.drop(signed)
 
     forest = {"trees": trees, "depth": depth, "shortest": shortest}
-    cut = cut_tries(nodes, scratch, crowd=crowd, **forest)
-    met = [cut.select("node", "key", "n"), *[x.select("node", "key", "n") for x in shortened(nodes, cut, scratch, threshold=threshold, recall=recall, **forest)]]
-    hits = _in_blocks(reduce(DataFrame.unionByName, met).distinct(), "n", prefix_block).join(nodes.select("node", "sig"), "node")
+    found = tries(nodes, scratch, **forest)
+    asks = asked(found, threshold=threshold, recall=recall, **forest)
+    hits = _in_blocks(meetings(found, asks), "n", prefix_block).join(nodes.select("node", "sig"), "node")
     hits = hits.select("key", "b1", "b2", "own", "node", "sig").repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2", "node")
     close = scratch.keep(hits.mapInArrow(_candidates(trees * depth, signature_share), "a long, b long").distinct())
 
@@ -271,9 +287,9 @@ def _classes(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, s
     texts = _in_blocks(texts, "n", text_block).select("component", "b1", "b2", "own", "node", "text")
     texts = texts.repartition("component", "b1", "b2").sortWithinPartitions("component", "b1", "b2", "node")
     num, den = _ratio(threshold)
-    found = scratch.keep(texts.mapInArrow(_verify(shingle, num, den), "node long, links long, root long"))
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = components(found.where("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b")), scratch)
+    verified = scratch.keep(texts.mapInArrow(_verify(shingle, num, den), "node long, links long, root long"))
+    links = verified.groupBy("node").agg(F.sum("links").alias("links"))
+    classes = components(verified.where("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b")), scratch)
     by_node = nodes.select("node", "rep", "rep_tk", "rows").join(links, "node", "left").join(classes, "node", "left")
     by_node = scratch.keep(by_node.select("node", F.struct("rep", "rep_tk").alias("head"), "rows", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")))
     first = by_node.groupBy("component").agg(F.min("head").alias("first"))
@@ -287,8 +303,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"))
 
 
-#: With these a pair at 0.8 that isn't crowded is missed once in 300,000 times, any pair once in 1,000 at most.
-FOREST = {"shingle": 5, "threshold": 0.8, "trees": 32, "depth": 8, "recall": 0.999, "shortest": 5, "crowd": 512, "signature_share": 0.68, "prefix_block": 1024, "text_block": 256}
+#: With these the tries miss a pair at 0.8 once in 10,000 times at most, others more rarely.
+FOREST = {"shingle": 5, "threshold": 0.8, "trees": 32, "depth": 8, "recall": 0.9999, "shortest": 5, "signature_share": 0.68, "prefix_block": 1024, "text_block": 256}
 
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from archloom.llm import line_quality, secret_scan
-from archloom.llm.jaccard_join import jaccard_classes, keep_first, prefix_length
+from archloom.llm.jaccard_join import FOREST, jaccard_classes, keep_first, prefix_length
 from archloom.llm.line_dedup import dedup_lines
 from archloom.llm.lm import END_WORD, FORMS, WIDE, Lexicon, Model, cluster, lm_scores, make_classes, start_model
 from archloom.llm.mixing import mix_to_targets
@@ -122,8 +122,8 @@ def test_jaccard_join_equals_brute_force(spark, texts):
         rows[10_000 + k] = " ".join(w)
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     want = brute_links(rows)
-    # crowded tries and small blocks; then cuts at whole labels that must be shortened for the recall
-    for options in ({}, {"prefix_block": 8, "text_block": 8, "crowd": 4}, {"trees": 16, "depth": 10, "shortest": 4, "crowd": 1}):
+    # small blocks; then long labels that must be shortened far for the recall
+    for options in ({}, {"prefix_block": 8, "text_block": 8}, {"trees": 16, "depth": 10, "shortest": 3}):
         got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(df, **options).collect()}
         assert got == want
 
@@ -139,32 +139,76 @@ def test_equal_rows_of_one_id_are_compared_once(spark):
     assert keep_first(df).columns == df.columns
 
 
-def test_crowded_tries_are_cut_lower_and_shortened_for_the_recall(spark, tmp_path):
-    from archloom.llm.jaccard_join import NODE_SCHEMA, _signer, cut_tries, shortened
+def lengths_asked(spark, df, **forest):
+    """Of each node that shares a prefix: the length that counts in each tree, and the sizes of the shared prefixes."""
+    from archloom.llm.jaccard_join import NODE_SCHEMA, _signer, asked, tries
     from archloom.sources.scratch import Scratch
 
-    common = [f"c{k}" for k in range(200)]
-    rows = [(i, i, " ".join([*common, *[f"x{i}y{k}" for k in range(i % 40)]])) for i in range(300)]
-    df = spark.createDataFrame(rows, "doc_id long, tk long, text string")
-    forest = {"trees": 8, "depth": 6, "shortest": 2}
+    shape = {k: forest[k] for k in ("trees", "depth", "shortest")}
     scratch = Scratch(spark, "test")
-    nodes = scratch.keep(df.mapInArrow(_signer(5, 8, 6), NODE_SCHEMA))
-    cut = cut_tries(nodes, scratch, crowd=20, **forest)
-    assert cut.where("length < 6 and n > 20").count() == 0
-    assert cut.where("length = 6").count() > 0
-    found = {(r.node, r.tree): r.length for r in cut.collect()}
-    more = shortened(nodes, cut, scratch, threshold=0.8, recall=0.99, **forest)
-    miss = {}
-    for n in {n for n, _ in found}:
-        miss[n] = math.prod(1 - 0.8 ** found.get((n, t), 2) for t in range(8))
-    assert max(miss.values()) > 0.01  # some are cut too low
-    short = {}
-    for level, x in zip(range(5, 1, -1), more):
-        for r in x.collect():
-            short[(r.node, r.tree)] = level
-    for n, x in miss.items():
-        if x > 0.01:
-            assert math.prod(1 - 0.8 ** short.get((n, t), min(found.get((n, t), 2), 6)) for t in range(8)) <= 0.011
+    rows = df.select("doc_id", F.xxhash64("text").alias("tk"), "text")
+    nodes = scratch.keep(rows.mapInArrow(_signer(5, forest["trees"], forest["depth"]), NODE_SCHEMA).dropDuplicates(["node"]))
+    found = scratch.keep(tries(nodes, scratch, **shape))
+    sizes = {(r.node, r.tree, r.length): r.n for r in found.collect()}
+    asks = {(r.node, r.tree): r.length for r in asked(found, threshold=0.8, recall=forest["recall"], **shape).collect()}
+    out = {}
+    for n in {n for n, _, _ in sizes}:
+        alone = [next((k for k in range(forest["shortest"], forest["depth"] + 1) if (n, t, k) not in sizes), None) for t in range(forest["trees"])]
+        out[n] = [asks.get((n, t), alone[t]) for t in range(forest["trees"])]
+    return out, asks, sizes
+
+
+def test_longest_prefixes_first_then_shortened_for_the_recall(spark):
+    common = [f"c{k}" for k in range(200)]
+    rows = [(i, " ".join([*common, *[f"x{i}y{k}" for k in range(i % 40)]])) for i in range(300)]
+    forest = {"trees": 8, "depth": 6, "shortest": 2, "recall": 0.99}
+    lengths, asks, sizes = lengths_asked(spark, spark.createDataFrame(rows, "doc_id long, text string"), **forest)
+    assert len(lengths) > 250 and len(set(asks.values())) > 1
+    for n, found in lengths.items():
+        missed = math.prod(1 - 0.8**k for k in found)
+        assert missed <= 0.01 * (1 + 1e-6) or found == [2] * 8
+        # no shorter than needed: with any one tree as long as the level above, the recall isn't reached
+        least = min((k for t, k in enumerate(found) if (n, t) in asks), default=6)
+        if least < 6:
+            assert missed / (1 - 0.8**least) * (1 - 0.8 ** (least + 1)) > 0.01 * (1 - 1e-6)
+            # of the trees that could be matched at that length those with fewer others are
+            here = [sizes[n, t, least] for t in range(8) if asks.get((n, t)) == least]
+            kept = [sizes[n, t, least] for t in range(8) if found[t] == least + 1]
+            assert not kept or max(here) <= min(kept)
+
+
+def test_the_defaults_shorten_on_the_given_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shape = {k: FOREST[k] for k in ("trees", "depth", "shortest", "recall")}
+    lengths, asks, _ = lengths_asked(spark, df, **shape)
+    counts = Counter(asks.values())
+    assert counts[8] and sum(counts[k] for k in (5, 6, 7)) > 0
+    assert max(math.prod(1 - 0.8**k for k in found) for found in lengths.values()) <= 1.0001e-4
+
+
+def test_planted_pairs_at_the_threshold_are_found(spark):
+    """400 pairs of similarity 0.8 to 0.85, all with one long common opening in groups of forty."""
+    r = random.Random(11)
+    rows = []
+    for pair in range(400):
+        opening = [f"o{pair // 40}w{k}" for k in range(40)]
+        own = [f"p{pair}w{k}" for k in range(160)]
+        other = list(own)
+        while True:
+            a, b = [*opening, *own], [*opening, *other]
+            x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+            share = len(x & y) / len(x | y)
+            if share < 0.85:
+                break
+            other[r.randrange(len(other))] = f"n{r.random()}"
+        if share >= 0.8:
+            rows += [(2 * pair, " ".join(a)), (2 * pair + 1, " ".join(b))]
+    assert len(rows) > 700
+    got = {x.doc_id: x.class_id for x in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[i] == got[i + 1] for i in got if i % 2 == 0)
+    print(f"planted pairs: {found} of {len(rows) // 2}")
+    assert found >= 0.99 * len(rows) / 2
+    assert all(c // 2 == i // 2 for i, c in got.items())
 
 
 def test_jaccard_join_on_odd_rows(odd, none):
