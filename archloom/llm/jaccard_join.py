@@ -3,12 +3,13 @@
 1. Each text becomes a node (equal word sequences are one node) with ``trees`` labels of ``depth``
    min-hashes. The nodes of a tree, sorted by label, are its prefix trie: nodes that agree on a
    prefix lie side by side.
-2. The tries are sized from ``shortest`` down (``tries``): in a tree where a node is alone from some prefix on,
-   nobody has to be met there, and it counts as matched at that prefix.
-3. Elsewhere a node is matched at its whole label, the longest prefix, at first. As long as a pair at the
+2. The tries are sized from ``shortest`` down (``tries``): how many nodes share each prefix of each node.
+3. A node is matched at its whole label, the longest prefix, in each tree at first. As long as a pair at the
    threshold could be missed more often than the target recall allows, the node's matches are shortened
-   level by level, in the trees where fewest others share the shorter prefix first, and only in
-   as many trees as the recall needs (``asked``). A node's recall doesn't rest on that of its partner.
+   level by level, and at the last level only in as many trees as the recall needs: crowded prefixes
+   are shortened last (``asked``). Below ``crowd`` nodes the size of a prefix doesn't matter for the choice: trees
+   in which the node is alone would else be preferred to those in which it meets its partner. A node's
+   recall doesn't rest on that of its partner.
 4. Nodes that share a matched prefix are compared by their signatures, in blocks, and yield a
    spanning set of candidate edges (never all pairs of a group).
 5. The texts of each candidate component are compared exactly, in blocks: every pair counts, and
@@ -116,29 +117,28 @@ def tries(nodes: DataFrame, scratch: Scratch, *, trees: int, depth: int, shortes
     return reduce(DataFrame.unionByName, parts)
 
 
-def matched_lengths(shared: np.ndarray, miss: np.ndarray, limit: float) -> np.ndarray:
+def matched_lengths(shared: np.ndarray, miss: np.ndarray, limit: float, crowd: int) -> np.ndarray:
     """The length at which each node is matched in each tree, counted from the shortest.
 
     ``shared``: nodes by lengths by trees, how many nodes share that prefix. ``miss``: the logarithm of how often a
     pair at the threshold shares no prefix of a length, ``limit``: of how often it may share none in any tree.
     """
-    levels, trees = shared.shape[1:]
-    alone = shared <= 1
-    cut = np.where(alone.any(axis=1), alone.argmax(axis=1), levels - 1)
+    n, levels, trees = shared.shape
+    cut = np.full((n, trees), levels - 1)
     for level in range(levels - 2, -1, -1):
         lacks = miss[cut].sum(axis=1) - limit
-        step = miss[level + 1] - miss[level]
-        need = np.where(lacks > 1e-12, np.ceil(lacks / step - 1e-9), 0)
+        need = np.where(lacks > 1e-12, np.ceil(lacks / (miss[level + 1] - miss[level]) - 1e-9), 0)
         can = cut == level + 1
-        few = np.argsort(np.where(can, shared[:, level], np.iinfo(np.int64).max), axis=1, kind="stable")
+        weight = np.where(shared[:, level] > crowd, shared[:, level], 0)
+        few = np.argsort(np.where(can, weight, np.iinfo(np.int64).max), axis=1, kind="stable")
         place = np.empty_like(few)
         np.put_along_axis(place, few, np.broadcast_to(np.arange(trees), few.shape), axis=1)
         cut[can & (place < need[:, None])] = level
     return cut
 
 
-def asked(found: DataFrame, *, threshold: float, recall: float, trees: int, depth: int, shortest: int) -> DataFrame:
-    """(node, tree, length) of the prefixes at which nodes are matched; none where a node is alone. ``found``: as ``tries`` gives."""
+def asked(found: DataFrame, *, threshold: float, recall: float, trees: int, depth: int, shortest: int, crowd: int) -> DataFrame:
+    """(node, tree, length) of the prefixes at which nodes are matched and not alone. ``found``: as ``tries`` gives."""
     miss = np.log(1 - threshold ** np.arange(shortest, depth + 1))
     limit = np.log(1 - recall)
 
@@ -150,7 +150,7 @@ def asked(found: DataFrame, *, threshold: float, recall: float, trees: int, dept
             tree, length, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("tree", "length", "n"))
             shared = np.ones((batch.num_rows, len(miss), trees), np.int64)
             shared[row, length - shortest, tree] = n
-            cut = matched_lengths(shared, miss, limit)
+            cut = matched_lengths(shared, miss, limit, crowd)
             others = np.take_along_axis(shared, cut[:, None, :], axis=1)[:, 0, :] > 1
             at, tree = np.nonzero(others)
             yield pa.record_batch([batch.column("node").take(pa.array(at)), pa.array(tree.astype(np.int32)), pa.array((cut[at, tree] + shortest).astype(np.int32))], names=["node", "tree", "length"])
@@ -257,7 +257,7 @@ def _in_blocks(df: DataFrame, rows: str, block: int) -> DataFrame:
     return own.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).drop("other")
 
 
-def _classes(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, shingle: int, threshold: float, trees: int, depth: int, recall: float, shortest: int, signature_share: float, prefix_block: int, text_block: int) -> DataFrame:
+def _classes(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, shingle: int, threshold: float, trees: int, depth: int, recall: float, shortest: int, crowd: int, signature_share: float, prefix_block: int, text_block: int) -> DataFrame:
     """(doc_id, tk, n, first, class_id, n_links, n_copies) for each different (id, text) with words: ``n`` rows; ``first``: the class's one to stay."""
     if prefix_length(threshold, trees, depth, recall) < shortest:
         raise ValueError(f"prefixes of {shortest} can't reach a recall of {recall} at {threshold}: use shorter ones, or more trees")
@@ -273,7 +273,7 @@ def _classes(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, s
 
     forest = {"trees": trees, "depth": depth, "shortest": shortest}
     found = tries(nodes, scratch, **forest)
-    asks = asked(found, threshold=threshold, recall=recall, **forest)
+    asks = asked(found, threshold=threshold, recall=recall, crowd=crowd, **forest)
     hits = _in_blocks(meetings(found, asks), "n", prefix_block).join(nodes.select("node", "sig"), "node")
     hits = hits.select("key", "b1", "b2", "own", "node", "sig").repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2", "node")
     close = scratch.keep(hits.mapInArrow(_candidates(trees * depth, signature_share), "a long, b long").distinct())
@@ -303,8 +303,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"))
 
 
-#: With these the tries miss a pair at 0.8 once in 10,000 times at most, others more rarely.
-FOREST = {"shingle": 5, "threshold": 0.8, "trees": 32, "depth": 8, "recall": 0.9999, "shortest": 5, "signature_share": 0.68, "prefix_block": 1024, "text_block": 256}
+#: With these the tries miss a pair at 0.8 once in 100,000 times at most, others more rarely.
+FOREST = {"shingle": 5, "threshold": 0.8, "trees": 32, "depth": 8, "recall": 0.99999, "shortest": 5, "crowd": 256, "signature_share": 0.68, "prefix_block": 1024, "text_block": 256}
 
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

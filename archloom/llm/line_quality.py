@@ -56,19 +56,20 @@ def base_columns(text: Column) -> dict[str, Column]:
     }
 
 
-def frequent_lines(rows: DataFrame, *, max_share: float, max_docs: int, min_docs: int) -> DataFrame:
+def frequent_lines(rows: DataFrame, *, max_share: float, max_docs: int, min_docs: int, copies_count: bool = False) -> DataFrame:
     """(host, line) of the line hashes in more than ``max_share`` of the host's documents, or in more than ``max_docs``, but in ``min_docs`` at least.
 
-    ``rows``: host, text_key, line. Exact copies are one document here, so that a much copied one
-    doesn't turn its own lines into boilerplate. Both counts combine before the shuffle.
+    ``rows``: _id, host, text_key, line. A document is a text, so that a much copied one doesn't turn its own
+    lines into boilerplate, or with ``copies_count`` an id and a text. Both counts combine before the shuffle.
     """
-    once = rows.select("host", "line", "text_key").distinct()
+    document = ["text_key", "_id"] if copies_count else ["text_key"]
+    once = rows.select("host", "line", *document).distinct()
     counts = once.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    hosts = rows.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    hosts = rows.select("host", *document).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     return counts.join(hosts, "host").where((F.col("n_docs") > F.lit(max_share) * F.col("host_docs")) | (F.col("n_docs") > max_docs)).select("host", "line")
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float = 0.01, max_docs: int = 1000, min_docs: int = 20, min_left: float = 0.3, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float = 0.01, max_docs: int = 1000, min_docs: int = 20, min_left: float = 0.3, copies_count: bool = False, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: base statistics, lines removed, and whether the document stays.
 
     (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines,
@@ -76,7 +77,8 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
     ``docs`` as the struct ``row``.)
 
     A line is removed where more than ``max_share`` of its host's documents hold it, or more than
-    ``max_docs``, whatever their share, but ``min_docs`` at least (exact copies count as one). A document is depleted, and rejected, where fewer than ``min_left`` of its words
+    ``max_docs``, whatever their share, but ``min_docs`` at least. Exact copies count as one document there, with
+    ``copies_count`` each by its id. A document is depleted, and rejected, where fewer than ``min_left`` of its words
     are left. A null text is an empty one and fails the base rules; null hosts are one host.
     Rows with equal id, host and text are one document: they get equal verdicts, each with that
     document's own counts. Other columns are ignored.
@@ -85,7 +87,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
     read = read.withColumn("text_key", F.xxhash64("_text"))
     parts = F.transform(F.filter(lines(F.col("_text")), has_word), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), word_count(x).alias("words")))
     rows = read.select("_id", "host", "text_key", F.posexplode(parts).alias("pos", "x")).select("_id", "host", "text_key", "pos", "x.line", "x.words")
-    often = frequent_lines(rows, max_share=max_share, max_docs=max_docs, min_docs=min_docs)
+    often = frequent_lines(rows, max_share=max_share, max_docs=max_docs, min_docs=min_docs, copies_count=copies_count)
     hit = rows.join(often, ["host", "line"])
     # a set, so that a document that stands in several rows has each of its lines once
     gone = hit.groupBy("_id", "host", "text_key").agg(F.collect_set(F.struct("pos", "line", "words")).alias("g"))

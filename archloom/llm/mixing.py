@@ -168,19 +168,19 @@ def with_posteriors(rows: DataFrame, model: Classifier) -> DataFrame:
     return rows.select("text", *[f.name for f in others]).mapInArrow(predict, T.StructType([*others, *made]))
 
 
-def floor_column(p: Column, targets: dict[str, float]) -> Column:
-    """The least rate of a document: one copy where it belongs, more likely than not, to domains that are wanted whole, else 0."""
+def floor_column(p: Column, targets: dict[str, float], least: float) -> Column:
+    """The least rate of a document: ``least`` where it belongs, more likely than not, to domains that are wanted whole, else 0."""
     whole = [F.get(p, i) for i, d in enumerate(DOMAINS) if targets[d] >= 1]
-    return F.when(sum(whole[1:], whole[0]) >= 0.5, 1.0).otherwise(0.0) if whole else F.lit(0.0)
+    return F.when(sum(whole[1:], whole[0]) >= 0.5, float(least)).otherwise(0.0) if whole and least else F.lit(0.0)
 
 
-def rate_column(p: Column, steps: list[list[float]], targets: dict[str, float]) -> Column:
+def rate_column(p: Column, steps: list[list[float]], targets: dict[str, float], least: float = 0.0) -> Column:
     """The rate of a document after the steps, from 1: less posterior times step, never below its floor, then on by the step's momentum."""
     if not steps:
         return F.lit(1.0)
     made = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")  # a constant of one literal
     dot = lambda s: sum((F.get(p, i) * F.get(s, i) for i in range(1, len(DOMAINS))), F.get(p, 0) * F.get(s, 0))
-    floor = floor_column(p, targets)
+    floor = floor_column(p, targets, least)
 
     def step(at: Column, s: Column) -> Column:
         # the new rate is used twice, so it is bound first
@@ -190,7 +190,7 @@ def rate_column(p: Column, steps: list[list[float]], targets: dict[str, float])
     return F.aggregate(made, F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead")), step, lambda at: at["rate"])
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float], *, most_steps: int = 60, close: float = 0.01) -> list[list[float]]:
+def fit_rates(table: DataFrame, targets: dict[str, float], *, least: float = 0.0, most_steps: int = 60, close: float = 0.01) -> list[list[float]]:
     """The steps of the fit over ``table`` (tokens, p): for each a number for each domain, and the momentum after it.
 
     Minimised: the squared difference of totals and targets in the metric of the domains' Gram matrix;
@@ -199,7 +199,7 @@ def fit_rates(table: DataFrame, targets: dict[str, float], *, most_steps: int =
     difference grows. Each domain is measured by its own tokens, so a rare one counts as much as a
     common one: the fit ends when all totals are within ``close`` of their domain's tokens from their
     targets, or hardly move (a fiftieth of that, three times). Unsure documents are spared by their
-    floor (``floor_column``), not by an early end.
+    floor (``floor_column``, with ``least`` above 0), not by an early end.
     """
     k = len(DOMAINS)
     p = [F.get("p", i) for i in range(k)]
@@ -219,7 +219,7 @@ def fit_rates(table: DataFrame, targets: dict[str, float], *, most_steps: int =
     t, quiet = 1.0, 0
     while len(steps) < most_steps and quiet < 3 and (np.abs(now - want) > close * total)[live].any():
         steps.append([*(inverse @ (ahead - want)).tolist(), 0.0])
-        rate = rate_column(F.col("p"), steps, targets)
+        rate = rate_column(F.col("p"), steps, targets, least)
         row = table.select("tokens", "p", rate.alias("r")).agg(*[F.sum(F.col("tokens") * F.col("r") * p[i]) for i in range(k)]).first()
         after = np.array(list(row))
         t, before = (1.0, 1.0) if off(after) > off(now) else ((1 + (1 + 4 * t * t) ** 0.5) / 2, t)
@@ -236,15 +236,15 @@ def copies_column(rate: Column, *of: Column) -> Column:
     return F.floor(rate + chance).cast("long")
 
 
-def mix_to_targets(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, max_train: int = MAX_TRAIN) -> DataFrame:
+def mix_to_targets(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, max_train: int = MAX_TRAIN, least: float = 0.0) -> DataFrame:
     """``docs`` (all columns) with: tokens, p_good, p_poor, p_toxic, rate, copies.
 
     ``labels``: doc_id, quality, toxic (a document labelled more than once counts by its worst). Domains:
     toxic; else of quality 0: poor; else good. ``targets``: multiples of the domains' expected tokens.
     copies: the rate, rounded up or down by a hash of id and text so that the copies' totals are those
-    of the rates on average. A document that is more likely than not of domains with targets of 1 or
-    more has a rate of 1 at least, so it keeps a copy however unsure it is; what such documents hold of
-    a domain with a lower target stays above it. A domain without labelled examples gets no documents;
+    of the rates on average. Rates are 0 at least. With ``least`` a document that is more likely than not of
+    domains with targets of 1 or more has that rate at least, with 1 it keeps a copy however unsure it is; what such
+    documents hold of a domain with a lower target then stays above it. A domain without labelled examples gets no documents;
     without any labels all are good, at the rate of that target. Null texts and texts without words
     have 0 tokens and the prior's posterior. Rows with one id are judged each by its text, and equal
     rows alike. A column of ``docs`` with the name of a result gives way to it.
@@ -254,11 +254,11 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     text = F.col(text_col).cast("string").alias("text")
     table = scratch.keep(with_posteriors(docs.select(text), model))
     targets = targets or TARGETS
-    steps = fit_rates(table, targets)
+    steps = fit_rates(table, targets, least=least)
     scratch.drop(table)
     new = ["tokens", *[f"p_{d}" for d in DOMAINS], "rate", "copies"]
     out = with_posteriors(docs.select(text, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), model)
-    out = out.withColumn("rate", rate_column(F.col("p"), steps, targets))
+    out = out.withColumn("rate", rate_column(F.col("p"), steps, targets, least))
     copies = copies_column(F.col("rate"), F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`"))
     kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in new]
     return out.select(*kept, "tokens", *[F.get("p", i).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", copies.alias("copies"))

@@ -84,6 +84,8 @@ def _quoted(text: str) -> str:
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(_id, text_key, kinds): the rules of which some clause has all its trigrams in the text."""
+    if not trigram_rows(rules):  # all rules scan all texts
+        return docs.select("_id", "text_key", F.array().cast("array<string>").alias("kinds")).limit(0)
     values = ", ".join(f"({_quoted(t)}, {_quoted(k)}, {i}, {n})" for t, k, i, n in trigram_rows(rules))
     asked = docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS q(trigram, kind, clause, need)")
     hits = postings(docs, rules).distinct().join(F.broadcast(asked), "trigram")  # as many rows as the rules have trigrams
