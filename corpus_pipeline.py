@@ -26,6 +26,8 @@ from archloom.sources.tables import table
 
 #: Multiples of the expected tokens of each domain; what toxic documents hold of the others is made up for.
 TARGETS = {"good": 1.0, "poor": 1.0, "toxic": 0.0}
+#: A document that is more likely clean than not keeps a copy, however unsure it is.
+LEAST = 1.0
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -51,7 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix gives it copies: those that are most likely toxic go, a few stand twice."""
-    mixed = mix_to_targets(docs, table(spark, sf_dir, "labels"), targets=TARGETS).where("copies > 0")
+    mixed = mix_to_targets(docs, table(spark, sf_dir, "labels"), targets=TARGETS, least=LEAST).where("copies > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 
