@@ -106,14 +106,16 @@ def _levels(nodes: DataFrame, trees: int, depth: int, length: int, only: DataFra
 
 def tries(nodes: DataFrame, scratch: Scratch, *, trees: int, depth: int, shortest: int) -> DataFrame:
     """(node, tree, key, length, n): the prefixes that a node shares with others, with the number of nodes that do."""
-    parts, shared = [], None
+    parts, shared, some = [], None, nodes
     for length in range(shortest, depth + 1):
-        keys = _levels(nodes, trees, depth, length, shared)
+        keys = _levels(some, trees, depth, length, shared)
         sizes = keys.groupBy("tree", "key").agg(F.count("*").alias("n")).where("n > 1")
         shared = scratch.keep(keys.join(sizes, ["tree", "key"]).withColumn("length", F.lit(length)))
         parts.append(shared)
         if shared.isEmpty():
             break
+        if length == shortest:  # few nodes share a prefix: only their labels are shuffled again
+            some = scratch.keep(nodes.select("node", "labels").join(shared.select("node").distinct(), "node", "left_semi"))
     return reduce(DataFrame.unionByName, parts)
 
 
