@@ -1,4 +1,4 @@
-"""Whitening of embeddings: MLlib's Gramian of exactly centred rows, a local eigh, projection in Arrow batches.
+"""Whitening of embeddings: MLlib's Gramian of exactly centred rows, a local eigh, broadcast whitening in mapInPandas.
 
 Entries become whole numbers x, so sums and centred rows ``n*x - S`` are exact. The fit list (each distinct x
 vector once; equal vectors combine before the shuffle) is written once; ``RowMatrix.computeGramianMatrix`` adds
@@ -17,7 +17,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
@@ -49,10 +50,6 @@ def _gramian(rows: DataFrame, column: str) -> np.ndarray:
     return np.asarray(RowMatrix(vectors).computeGramianMatrix().toArray(), np.float64)
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-
-
 def _deviations(x: np.ndarray, n: int, sums: np.ndarray) -> list[int | None]:
     """Exact sums of (n*x - S)**2: in longs where they surely fit, else in Python's whole numbers."""
     about = ((n * x.astype(np.float64) - sums.astype(np.float64)) ** 2).sum(axis=1)
@@ -66,16 +63,19 @@ def _deviations(x: np.ndarray, n: int, sums: np.ndarray) -> list[int | None]:
     return out.tolist()
 
 
-def _project(n: int, sums: np.ndarray, unit: np.ndarray):
-    """The task that whitens batches of x; ``unit`` has the components over their deviations, a column each."""
+def _project(shared: Broadcast):
+    """The task that whitens batches of (vec_id, x); ``shared``: n, sums, and the components over their deviations, a column each.
+
+    Ids come and go as text: as numbers with nulls pandas would round large ones.
+    """
 
-    def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column("x"), len(sums))
-            white = ((n * x - sums) / float(n)) @ unit
-            size, k = white.shape
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, size * k + 1, k, dtype=np.int32)), pa.array(white.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(_deviations(x, n, sums), pa.int64()), lists], ["vec_id", "deviation", "whitened"])
+    def project(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, sums, unit = shared.value
+        for frame in frames:
+            if len(frame):
+                x = np.stack(frame["x"].to_numpy()).astype(np.int64)
+                white = ((n * x - sums) / float(n)) @ unit
+                yield pd.DataFrame({"vec_id": frame["vec_id"], "deviation": pd.Series(_deviations(x, n, sums), dtype=object), "whitened": list(white)})
 
     return project
 
@@ -101,12 +101,12 @@ def whiten(embeddings: DataFrame, components: int = COMPONENTS) -> DataFrame:
     if not some:
         return spark.createDataFrame([], empty)
     unit = vectors[:, :some] / np.sqrt(values[:some])
-    project, kinds = _project(n, sums, unit), "vec_id long, deviation long, whitened array<double>"
+    project, kinds = _project(spark.sparkContext.broadcast((n, sums, unit))), "vec_id string, deviation long, whitened array<double>"
     # rows of the fit list sum to exactly n*S - n*S = 0 in every dimension, so what is projected is centred
-    again = _gramian(fit.select(F.lit(None).cast("long").alias("vec_id"), "x").mapInArrow(project, kinds), "whitened") / n
+    again = _gramian(fit.select(F.lit(None).cast("string").alias("vec_id"), "x").mapInPandas(project, kinds), "whitened") / n
     error = float(np.abs(again - np.eye(some)).max())
     explained = F.lit((values[:some] / np.trace(cov)).tolist())
-    out = rows.mapInArrow(project, kinds).select("vec_id", "deviation", F.posexplode("whitened").alias("_at", "whitened"))
+    out = rows.select(F.col("vec_id").cast("string").alias("vec_id"), "x").mapInPandas(project, kinds).select(F.col("vec_id").cast("long").alias("vec_id"), "deviation", F.posexplode("whitened").alias("_at", "whitened"))
     return out.select(
         "vec_id", (F.col("_at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, F.col("_at")).alias("explained"), F.lit(error).alias("identity_error")
     )
