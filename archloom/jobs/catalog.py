@@ -29,6 +29,19 @@ def shelf_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(first.withColumnRenamed("p_brand", "of_brand"), same).select("p_partkey", "p_brand", "shelf", (F.col("n") - F.col("first") + 1).alias("place"), "next_key")
 
 
+def collated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in catalogue order (M1, M2): by the year of their order, undated last, then by title as readers sort it.
+
+    A title is a text's first line, up to 60 characters, in the order of the UNICODE collation: marks and case count
+    only between titles that are else equal. Nulls are empty titles; equal titles go by id.
+    """
+    dated = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").groupBy(F.col("o_orderkey").alias("doc_id")).agg(F.year(F.min("o_orderdate")).cast("long").alias("year"))
+    title = F.substring(F.trim(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)), 1, 60)
+    docs = table(spark, sf_dir, "documents").select("doc_id", title.alias("title")).join(dated, "doc_id", "left")
+    keyed = docs.withColumn("undated", F.col("year").isNull()).withColumn("shelf", F.collate("title", "UNICODE"))
+    return numbered(keyed, Scratch(spark, "collated"), "undated", "year", "shelf", "doc_id").select("doc_id", "year", "title", F.col("n").alias("place"))
+
+
 def newest_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six newest orders of each year (M3, M4)."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")).withColumn("year", F.year("day"))
@@ -132,8 +145,11 @@ def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RUNS = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate::DATE END AS s, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderdate::DATE + (o_orderkey % 90)::INTEGER END AS e FROM orders)"
 _NOW = f"coalesce(e, DATE '9999-12-31') >= DATE '{DAY}' AND coalesce(s, DATE '0001-01-01') <= DATE '{DAY}'"
-QUERIES = {f.__name__: f for f in (shelf_order, newest_per_year, per_year, year_sheet, decades, year_neighbours, year_bands, run_board, closing_first, running_calendar, distinct_listings, hours_total, name_keys)}
+QUERIES = {f.__name__: f for f in (shelf_order, collated_titles, newest_per_year, per_year, year_sheet, decades, year_neighbours, year_bands, run_board, closing_first, running_calendar, distinct_listings, hours_total, name_keys)}
 ORACLE_SQL = {
+    "collated_titles": """WITH d AS (SELECT o_orderkey AS doc_id, min(year(o_orderdate))::BIGINT AS year FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderkey),
+t AS (SELECT doc_id, year, left(trim(split_part(coalesce(text, ''), chr(10), 1), ' '), 60) AS title FROM documents LEFT JOIN d USING (doc_id))
+SELECT doc_id, year, title, row_number() OVER (ORDER BY year NULLS LAST, icu_sort_key(title, 'und'), doc_id) AS place FROM t""",
     "shelf_order": "SELECT p_partkey, p_brand, shelf, row_number() OVER w AS place, lead(p_partkey) OVER w AS next_key FROM (SELECT p_partkey, p_brand, lower(regexp_replace('The ' || p_name, '(?i)^(the|a|an)\\s+', '')) AS shelf FROM part) WINDOW w AS (PARTITION BY p_brand ORDER BY shelf, p_partkey)",
     "newest_per_year": "SELECT o_orderkey, year, place FROM (SELECT o_orderkey, year(o_orderdate)::BIGINT AS year, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate::DATE DESC, o_orderkey) AS place FROM orders) WHERE place <= 6",
     "per_year": "SELECT year(o_orderdate)::BIGINT AS year, count(*) AS n FROM orders GROUP BY ROLLUP (year(o_orderdate))",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from archloom.functions import prose as P
 from archloom.operators import blocks as B
 from archloom.operators.layout import BULLET, PROSE, SHEET, page_tree, pair_boxes, without_furniture
-from archloom.sources.feeds import FEED_NODE, feed_columns
+from archloom.sources.feeds import FEED_NODE, feed_columns, find_nodes
 from archloom.sources.scratch import Scratch
 from archloom.sources.tables import table
 
@@ -152,6 +152,17 @@ def feed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(*feed_columns(F.col("event_id"), F.unix_timestamp("ts"), F.from_json("props", FEED_NODE)))
 
 
+def feed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos of listings at any depth (A7): each event's record is wrapped in one of four ways, two to seven levels deep; errors come as broken text."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    own = F.concat(F.lit('{"video": {"id": "u'), "user_id", F.lit('", "n": '), "event_id", F.lit(', "about": '), "props", F.lit(', "next": [{"video": {"id": '), F.get_json_object("props", "$.k"), F.lit(', "n": '), "event_id", F.lit("}}]}}"))
+    ways = [('{"items": [', "]}"), ('{"a": {"note": "video", "items": [', "]}}"), ('[[{"b": ', ', "a": {"video": "none"}}]]'), ('{"rows": [{"cells": [{"video": {"n": 1}}, {"list": [', "]}]}]}")]
+    text = F.when(F.col("event_type") == "error", '{"video": {"id": "broken"').otherwise(F.get(F.array(*[F.concat(F.lit(a), own, F.lit(b)) for a, b in ways]), (F.col("event_id") % 4).cast("int")))
+    nodes = find_nodes(e.select(F.col("event_id").alias("page"), text.alias("json")), "video", Scratch(spark, "nodes"))
+    said = lambda name: F.get_json_object("node", f"$.{name}").cast("long").alias(name)
+    return nodes.select("id", F.col("pos.page").alias("page"), F.size("pos.path").cast("long").alias("depth"), said("n"), F.get_json_object("node", "$.about.k").cast("long").alias("k"))
+
+
 #: Blocks of an article as the given pages have them: a heading, then paragraphs, the lead's bold left open.
 BLOCKS_SQL = r"""(WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS art FROM pages),
 h AS (SELECT page_id, 'h' AS type, 1 AS level, regexp_extract(art, '(?s)<h1>(.*?)</h1>', 1) AS t, 0 AS n, false AS bold FROM a),
@@ -209,8 +220,11 @@ _COLUMNS_SQL = rf"""o AS (
   UNION ALL SELECT page_id, 'table', 'Priority|Status|Day;' || array_to_string(list_transform(generate_series(1, len(l)), lambda i: l[i] || '|' || b[i] || '|' || d[i]), ';'), false, 10 FROM w WHERE k IN (7, 8) AND outer_paired
 )"""
 
-QUERIES = {f.__name__: f for f in (page_blocks, page_bodies, page_headings, image_refs, fact_sheets, kept_labels, paired_columns, tree_blocks, prose_kinds, captions, feed_events)}
+QUERIES = {f.__name__: f for f in (page_blocks, page_bodies, page_headings, image_refs, fact_sheets, kept_labels, paired_columns, tree_blocks, prose_kinds, captions, feed_events, feed_nodes)}
 ORACLE_SQL = {
+    "feed_nodes": """WITH e AS (SELECT event_id, user_id, json_extract_string(props, '$.k') AS k, [3, 4, 4, 7][(event_id % 4 + 1)::INTEGER] AS depth FROM events WHERE event_type <> 'error'),
+v AS (SELECT 'u' || user_id AS id, event_id, depth, k::BIGINT AS k FROM e UNION ALL SELECT k, event_id, depth + 3, NULL FROM e)
+SELECT id, min(event_id) AS page, arg_min(depth, event_id)::BIGINT AS depth, max(event_id) AS n, nullif(arg_max(coalesce(k, -1), event_id), -1) AS k FROM v GROUP BY id""",
     "page_blocks": f"SELECT page_id, pos, type, level, text FROM {BLOCKS_SQL} WHERE NOT regexp_matches(text, '(?i)(copyright|all rights reserved|do not reproduce)')",
     "page_bodies": f"SELECT page_id, string_agg(CASE WHEN type = 'h' THEN '## ' ELSE '' END || text, chr(10) || chr(10) ORDER BY pos) AS body FROM {BLOCKS_SQL} GROUP BY page_id",
     "page_headings": r"""SELECT page_id, 1::BIGINT AS n, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<article>.*?<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages WHERE regexp_matches(html, '(?s)<article>.*?<h1>')""",

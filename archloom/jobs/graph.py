@@ -22,24 +22,50 @@ def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def host_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, pos): each page's host links to that of the page after it; host pairs once, with their first place."""
-    p = _hosts(spark, sf_dir)
-    after = p.select((F.col("page_id") - 1).alias("page_id"), F.col("host").alias("dst"))
-    pairs = p.join(after, "page_id").where("host <> dst")
-    return pairs.groupBy(F.col("host").alias("src"), "dst").agg(F.min("page_id").alias("pos"))
+    """(src, dst, page, place, label): links between hosts; host pairs once, with the place and text of their first link.
+
+    A link of one word leads to the host of the first page whose heading begins with that word, if that is another host.
+    Links are brought to one row for each host and word before the join, so a word that all pages link to is no large group.
+    """
+    pages = table(spark, sf_dir, "pages").where("url is not null").select("page_id", U.host(F.col("url")).alias("host"), "html")
+    word = F.regexp_extract("html", r"<h1>([^\s<&]+)", 1)
+    homes = pages.select(word.alias("word"), "page_id", "host").where("word <> ''").groupBy("word").agg(F.min_by("host", F.struct("page_id", "host")).alias("dst"))
+    anchors = pages.select("page_id", "host", F.posexplode(F.regexp_extract_all("html", F.lit(r'(<a href="/[^"/?#]+">[^<]*)</a>'), F.lit(1))).alias("place", "a"))
+    each = anchors.select(F.col("host").alias("src"), F.regexp_extract("a", 'href="/([^"]*)"', 1).alias("word"), F.struct("page_id", F.col("place").cast("long").alias("place"), F.regexp_extract("a", ">([^<]*)$", 1).alias("label")).alias("x"))
+    first = each.groupBy("src", "word").agg(F.min("x").alias("x"))
+    pairs = first.join(homes, "word").where("src <> dst").groupBy("src", "dst").agg(F.min("x").alias("x"))
+    return pairs.select("src", "dst", F.col("x.page_id").alias("page"), "x.place", "x.label")
+
+
+def _start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mobile sites, which the crawl begins with."""
+    return _hosts(spark, sf_dir).where("host like 'm.%'").select("host").distinct()
+
+
+def _links(spark: SparkSession, sf_dir: str, scratch: Scratch) -> DataFrame:
+    return scratch.keep(host_edges(spark, sf_dir)).select("src", "dst", F.struct("page", "place").alias("pos"), "label")
 
 
 def host_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts reached from that of the first page, by hop (G1, G4). Each host has its own prefix here."""
-    hosts = _hosts(spark, sf_dir)
-    start = hosts.groupBy().agg(F.min_by("host", "page_id").alias("host"))
-    prefixes = hosts.select("host").distinct().withColumn("prefix", F.concat(F.lit("plays/"), F.translate("host", ".", "-")))
-    out = closure(scratch_edges(spark, sf_dir), start, prefixes, Scratch(spark, "closure"))
+    """Hosts reached from the mobile sites, by hop (G1), each host with its own prefix: ``host_claims`` is the crawl with prefixes by label."""
+    prefixes = _hosts(spark, sf_dir).select("host").distinct().withColumn("prefix", F.concat(F.lit("plays/"), F.translate("host", ".", "-")))
+    scratch = Scratch(spark, "closure")
+    out = closure(_links(spark, sf_dir, scratch), _start(spark, sf_dir), prefixes, scratch)
     return out.select("host", F.col("hop").cast("long").alias("hop"), "status")
 
 
-def scratch_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Scratch(spark, "edges").keep(host_edges(spark, sf_dir))
+#: Link texts that name nothing.
+STOP_WORDS = ("the", "of", "in", "de", "un", "is", "was")
+
+
+def host_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl of hosts in its order (G1, G4, K1): a host's shelf is the first two letters of the text of the first link to it; hosts without a usable text (stop words say nothing), and those whose shelf is taken, aren't followed."""
+    letters = lambda text: F.regexp_extract(U.slugify(text), "^[a-z]{2}", 0)
+    named = lambda text: F.when(X.usable_label(text, (*X.EMPTY_WORDS, *STOP_WORDS)) & (letters(text) != ""), F.concat(F.lit("plays/"), letters(text)))
+    start = _start(spark, sf_dir)
+    scratch = Scratch(spark, "claims")
+    out = closure(_links(spark, sf_dir, scratch), start, start.withColumn("prefix", F.concat(F.lit("sites/"), F.translate("host", ".", "-"))), scratch, named)
+    return out.select("host", F.col("hop").cast("long").alias("hop"), "place", "label", "prefix", "status")
 
 
 def host_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,10 +126,9 @@ def link_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unvisited_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts that are linked to, and whether they were visited as well: even page ids count as visited."""
-    h = _hosts(spark, sf_dir)
+    """Hosts that are linked to, and whether the crawl from the mobile sites visited them."""
     linked = host_edges(spark, sf_dir).select(F.col("dst").alias("host")).distinct()
-    visited = h.where("page_id % 2 = 0").select("host").distinct().withColumn("visited", F.lit(True))
+    visited = host_closure(spark, sf_dir).where("status = 'crawled'").select("host", F.lit(True).alias("visited"))
     return linked.join(visited, "host", "left").select("host", F.coalesce("visited", F.lit(False)).alias("visited"))
 
 
@@ -129,7 +154,11 @@ def category_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _H = "h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host FROM pages)"
-_E = "e AS (SELECT a.host AS src, b.host AS dst, min(a.page_id) AS pos FROM h a JOIN h b ON b.page_id = a.page_id + 1 WHERE a.host <> b.host GROUP BY ALL)"
+_E = """w AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, html, regexp_extract(html, '<h1>([^\\s<&]+)', 1) AS word FROM pages),
+m AS (SELECT word, arg_min(host, (page_id, host)) AS dst FROM w WHERE word <> '' GROUP BY word),
+n AS (SELECT page_id, host AS src, unnest(regexp_extract_all(html, '(<a href="/[^"/?#]+">[^<]*)</a>', 1)) AS a, generate_subscripts(regexp_extract_all(html, '(<a href="/[^"/?#]+">[^<]*)</a>', 1), 1) - 1 AS place FROM w),
+e AS (SELECT src, dst, arg_min((page_id, place, regexp_extract(a, '>([^<]*)$', 1)), (page_id, place)) AS x FROM n JOIN m ON m.word = regexp_extract(a, 'href="/([^"]*)"', 1) WHERE src <> dst GROUP BY ALL)"""
+_REACHED = "r AS (SELECT DISTINCT host, 0::BIGINT AS hop FROM h WHERE host LIKE 'm.%' UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.host WHERE r.hop < 60)"
 _PATH = "CASE WHEN regexp_extract({u}, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract({u}, '^[a-z]+://[^/?#]*([^?#]*)', 1) END"
 
 
@@ -138,12 +167,10 @@ def _canon(u: str) -> str:
     return f"('http://' || lower(regexp_extract({u}, '^[a-z]+://([^/?#]*)', 1)) || CASE WHEN {p} NOT LIKE '%.%' AND {p} NOT LIKE '%/' THEN {p} || '/' ELSE {p} END)"
 
 
-QUERIES = {f.__name__: f for f in (host_edges, host_closure, host_catalogue, stand_ins, routes, first_labels, url_routes, link_disposition, unvisited_hosts, unlabelled, labelled_order, category_names)}
+QUERIES = {f.__name__: f for f in (host_edges, host_closure, host_claims, host_catalogue, stand_ins, routes, first_labels, url_routes, link_disposition, unvisited_hosts, unlabelled, labelled_order, category_names)}
 ORACLE_SQL = {
-    "host_edges": f"WITH {_H}, {_E} SELECT * FROM e",
-    "host_closure": f"""WITH RECURSIVE {_H}, {_E}, r AS (
-  SELECT arg_min(host, page_id) AS host, 0::BIGINT AS hop FROM h UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.host WHERE r.hop < 60
-) SELECT host, min(hop) AS hop, 'crawled' AS status FROM r GROUP BY host""",
+    "host_edges": f"WITH {_E} SELECT src, dst, x[1] AS page, x[2]::BIGINT AS place, x[3] AS label FROM e",
+    "host_closure": f"WITH RECURSIVE {_H}, {_E}, {_REACHED} SELECT host, min(hop) AS hop, 'crawled' AS status FROM r GROUP BY host",
     "host_catalogue": f"""WITH {_H}, f AS (SELECT string_split(host, '.')[1] AS sub, min(page_id) AS page_id, arg_min(host, page_id) AS host FROM h GROUP BY ALL)
 SELECT sub, host, page_id, row_number() OVER (ORDER BY page_id, sub) AS place FROM f""",
     "stand_ins": f"""WITH p AS (SELECT DISTINCT {_canon('url')} AS url, 'http://' || lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) || regexp_replace(regexp_replace({_PATH.format(u='url')}, '/$', ''), '[^/]*$', '') AS dir FROM pages)
@@ -163,7 +190,7 @@ t AS (SELECT *, {_canon('u')} AS target FROM g), served AS (SELECT DISTINCT {_ca
 SELECT kind, count(*) AS targets, sum(refs)::BIGINT AS refs FROM (
   SELECT refs, CASE WHEN regexp_matches(href, '^(mailto|tel):') THEN 'kept' WHEN regexp_matches(target, '(?i)\\.(pdf|docx?|rtf|zip)$') THEN 'document' WHEN target IN (SELECT target FROM served) THEN 'page'
     WHEN lower(regexp_extract(target, '^[a-z]+://([^/?#]*)', 1)) IN (SELECT t_host FROM hosts) THEN 'prefix' ELSE 'unresolved' END AS kind FROM t) GROUP BY kind""",
-    "unvisited_hosts": f"WITH {_H}, {_E} SELECT DISTINCT dst AS host, dst IN (SELECT host FROM h WHERE page_id % 2 = 0) AS visited FROM e",
+    "unvisited_hosts": f"WITH RECURSIVE {_H}, {_E}, {_REACHED} SELECT DISTINCT dst AS host, dst IN (SELECT host FROM r) AS visited FROM e",
     "unlabelled": "SELECT doc_id, 'label' AS missing FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'document' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
     "labelled_order": "SELECT doc_id, coalesce(q, 9999)::BIGINT AS ord FROM documents LEFT JOIN (SELECT doc_id, min(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id)",
     "category_names": "SELECT c_custkey, string_agg(n_name, ',' ORDER BY pos) AS names FROM (SELECT c_custkey, unnest([c_nationkey, c_nationkey + 13, c_nationkey + 1]) AS k, unnest([0, 1, 2]) AS pos FROM customer) JOIN nation ON n_nationkey = k GROUP BY c_custkey",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,37 +13,44 @@ from archloom.operators.ranking import numbered
 from archloom.sources.scratch import Scratch
 
 
-def host_closure(edges: DataFrame, start: DataFrame, prefixes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, hop, prefix, status) of the hosts reached from ``start`` (host) over ``edges`` (src, dst, pos).
+def host_closure(edges: DataFrame, start: DataFrame, prefixes: DataFrame | None, scratch: Scratch, named: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(host, hop, place, label, prefix, status) of the hosts reached from ``start`` (host) over ``edges`` (src, dst, pos, and label if links have one).
 
-    A host is crawled if it has a prefix (``prefixes``: host, prefix) that no host took before it: within a
-    hop, hosts come in the order of (``pos``, host) of the link that found them. Others are failures, and
-    their links don't count.
+    Hosts are queued in one total order: those of a hop by the place of the host whose link found them first, then by
+    that link's ``pos`` (of any type with an order), then by name; ``label`` is that first link's. A host's prefix is that
+    in ``prefixes`` (host, prefix), else ``named`` of its label. It is crawled if it has a prefix that no host before it
+    in the queue took; others are failures (``no prefix``, ``claimed``), and their links don't count. A host that was
+    reached once isn't queued again. No start gives no rows.
     """
-    known = start.select("host", F.lit(0).alias("hop"), F.lit(0).cast("long").alias("pos"))
-    done = None
-    frontier = known
-    while True:
-        named = frontier.join(prefixes, "host", "left")
+    label = F.col("label") if "label" in edges.columns else F.lit(None).cast("string")
+    links = edges.select("src", F.col("dst").alias("host"), "pos", label.alias("label"))
+    first_of = lambda df, key: df.groupBy(key).agg(F.min(F.struct("place", "pos", "label")).alias("at"))
+    begin = start.select("host", F.lit(0).cast("long").alias("place"), F.lit(None).cast(edges.schema["pos"].dataType).alias("pos"), F.lit(None).cast("string").alias("label"))
+    frontier, done, hop, queued = scratch.keep(first_of(begin, "host")), None, 0, 0
+    while not frontier.isEmpty():
+        queue = numbered(frontier.select("host", "at.label", "at"), scratch, "at", "host").select("host", "label", (F.col("n") + queued).alias("place"))
+        given = F.lit(None).cast("string")
+        if prefixes is not None:
+            queue, given = queue.join(prefixes.select("host", F.col("prefix").alias("given")), "host", "left"), F.col("given")
+        prefix = given if named is None else F.coalesce(given, named(F.col("label")))
+        queue = scratch.keep(queue.select("host", "place", "label", F.nullif(prefix, F.lit("")).alias("prefix")))
         # the first to ask for each prefix, by an aggregation that combines before the shuffle
-        first = named.where("prefix is not null").groupBy("prefix").agg(F.min(F.struct("pos", "host")).alias("x")).select("prefix", F.col("x.host").alias("first_host"))
-        named = named.join(first, "prefix", "left").withColumn("first", F.col("host") == F.col("first_host"))
+        first = queue.where("prefix is not null").groupBy("prefix").agg(F.min("place").alias("first_place"))
+        met = queue.join(first, "prefix", "left")
+        free = F.col("place") == F.col("first_place")
         if done is not None:
-            taken = done.where("status = 'crawled'").select("prefix").distinct().withColumn("taken", F.lit(True))
-            named = named.join(taken, "prefix", "left")
-        else:
-            named = named.withColumn("taken", F.lit(None).cast("boolean"))
-        status = F.when(F.col("prefix").isNull(), "no prefix").when(F.col("taken") | ~F.col("first"), "claimed").otherwise("crawled")
-        now = named.select("host", "hop", "prefix", status.alias("status"))
-        done = scratch.keep(now if done is None else done.unionByName(now))
-        hop = done.agg(F.max("hop")).first()[0]
-        live = done.where((F.col("status") == "crawled") & (F.col("hop") == hop)).select(F.col("host").alias("src"))
-        found = edges.join(live, "src").groupBy(F.col("dst").alias("host")).agg(F.min("pos").alias("pos"))
-        frontier = scratch.keep(found.join(done.select("host"), "host", "left_anti").select("host", F.lit(hop + 1).alias("hop"), "pos"))
-        if frontier.isEmpty():
-            return done
-
-
+            taken = done.where("status = 'crawled'").select("prefix", F.lit(True).alias("taken"))
+            met, free = met.join(taken, "prefix", "left"), free & F.col("taken").isNull()
+        status = F.when(F.col("prefix").isNull(), "no prefix").when(free, "crawled").otherwise("claimed")
+        now = scratch.keep(met.select("host", F.lit(hop).alias("hop"), "place", "label", "prefix", status.alias("status")))
+        done = now if done is None else scratch.keep(done.unionByName(now))
+        found = links.join(now.where("status = 'crawled'").select(F.col("host").alias("src"), "place"), "src")
+        frontier = scratch.keep(first_of(found, "host").join(done.select("host"), "host", "left_anti"))
+        hop, queued = hop + 1, done.count()
+    return done if done is not None else scratch.spark.createDataFrame([], CLOSURE)
+
+
+CLOSURE = "host string, hop int, place long, label string, prefix string, status string"
 ROUTES = "id string, route string, depth int"
 
 

@@ -22,15 +22,34 @@ def split_front(raw: DataFrame, path: Column, folder: str) -> DataFrame:
     A document that doesn't begin with a fence, or whose fence isn't closed, is all body and its front is null.
     """
     fenced = F.col("value").rlike(_FENCED)
-    below = F.substring_index(path, folder.rstrip("/") + "/", -1)
+    root = folder.rstrip("/") + "/"
+    at = F.instr(path, root)
+    below = F.when(at > 0, F.substr(path, at + F.lit(len(root)))).otherwise(path)
     name = F.regexp_replace(F.regexp_replace(below, r"\.md$", ""), "(^|/)index$", "")
     front, body = (F.regexp_extract("value", _FENCED, i) for i in (1, 2))
     return raw.select(F.when(name == "", "welcome").otherwise(name).alias("id"), F.when(fenced, front).alias("front"), F.when(fenced, body).otherwise(F.coalesce("value", F.lit(""))).alias("body"))
 
 
+_QUOTED = r'"((?:[^"\\]|\\.)*)"'
+
+
+def unquoted(text: Column) -> Column:
+    """What stands in a quoted value, escapes read; other values as they are."""
+    inner = F.concat(F.lit('["'), F.regexp_extract(text, f"^{_QUOTED}$", 1), F.lit('"]'))
+    read = F.get(F.from_json(inner, "array<string>", {"allowUnquotedControlChars": "true"}), 0)
+    return F.when(text.rlike(f"^{_QUOTED}$"), F.coalesce(read, text)).otherwise(text)
+
+
 def front_field(name: str) -> Column:
-    """A quoted or bare one-line value of the front matter; null where it is absent."""
-    return F.nullif(F.regexp_extract("front", rf'(?m)^{name}: "?(.*?)"?$', 1), F.lit(""))
+    """A quoted or bare one-line value of the front matter; null where it is absent or empty."""
+    return F.nullif(unquoted(F.regexp_extract("front", rf"(?m)^{name}:[ \t]*(\S.*?)[ \t\r]*$", 1)), F.lit(""))
+
+
+def front_list(name: str) -> Column:
+    """The items of a list of the front matter, each on its own line; null where the list is absent."""
+    lines = F.regexp_extract("front", rf"(?m)^{name}:[ \t\r]*\n((?:[ \t]*- .*(?:\n|\Z))+)", 1)
+    items = F.regexp_extract_all(lines, F.lit(r"(?m)^[ \t]*- (.*?)[ \t\r]*$"), F.lit(1))
+    return F.when(lines != "", F.transform(items, unquoted))
 
 
 def route_map(docs: DataFrame) -> DataFrame:
@@ -50,20 +69,32 @@ def validate(docs: DataFrame) -> DataFrame:
 
 
 def to_markdown(docs: DataFrame) -> DataFrame:
-    """(id, markdown): front matter from a map of strings, lists as they are, then the body."""
-    quoted = lambda v: F.concat(F.lit('"'), F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    lines = F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit(": "), quoted(e["value"])))
+    """(id, markdown): front matter from a map of strings (``fields``) and one of lists (``lists``, if there is one), then the body.
+
+    Null values and empty lists are left out.
+    """
+
+    def quoted(v: Column) -> Column:
+        for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+            v = F.replace(v, F.lit(plain), F.lit(escaped))
+        return F.concat(F.lit('"'), v, F.lit('"'))
+
+    fields = F.filter(F.array_sort(F.map_entries("fields")), lambda e: e["value"].isNotNull())
+    lines = F.transform(fields, lambda e: F.concat(e["key"], F.lit(": "), quoted(e["value"])))
+    if "lists" in docs.columns:
+        lists = F.filter(F.array_sort(F.map_entries("lists")), lambda e: F.size(e["value"]) > 0)
+        lines = F.concat(lines, F.transform(lists, lambda e: F.concat(e["key"], F.lit(":\n"), F.array_join(F.transform(e["value"], lambda x: F.concat(F.lit("  - "), quoted(x))), "\n"))))
     return docs.select("id", F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n"), F.coalesce("body", F.lit(""))).alias("markdown"))
 
 
+def split_valid(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``validate`` to publish, and those for quarantine with what is wrong with them."""
+    return docs.where(F.size("errors") == 0).drop("errors"), docs.where(F.size("errors") > 0)
+
+
 def write_documents(docs: DataFrame, folder: str, *, part: str | None = None) -> None:
     """All documents, or with ``part`` only those of the partitions that ``docs`` holds: others stay as they are."""
     if part is None:
         docs.write.mode("overwrite").parquet(folder)
     else:
         docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(folder)
-
-
-def run_report(blocks: DataFrame) -> DataFrame:
-    """One row of counts over all blocks: pages, blocks by kind, navigation dropped. ``blocks``: page_id, type, nav."""
-    return blocks.agg(F.count_distinct("page_id").alias("pages"), F.count("*").alias("blocks"), F.count_if(F.col("type") == "img").alias("images"), F.count_if("nav").alias("nav_dropped"))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archloom.functions.text import pictures_of
+from archloom.sources.scratch import Scratch
 
 POSTS = "id BIGINT, date TIMESTAMP, slug STRING, title STRUCT<rendered: STRING>, content STRUCT<rendered: STRING>, excerpt STRUCT<rendered: STRING>, categories ARRAY<BIGINT>, link STRING"
 PICTURE = "STRUCT<src: STRING, width: INT, height: INT, alt: STRING, video: BOOLEAN>"
@@ -62,36 +59,26 @@ def write_feed(rows: DataFrame, folder: str, updated: str) -> None:
     rows.withColumn("updated", F.lit(updated)).write.mode("overwrite").json(folder)
 
 
-def find_nodes(pages: DataFrame, key: str, *, order: str = "page", body: str = "json") -> DataFrame:
+def find_nodes(pages: DataFrame, key: str, scratch: Scratch, *, order: str = "page", body: str = "json") -> DataFrame:
     """(id, pos, node): every object under ``key`` at any depth, once for each id: the last value, at the first place.
 
-    ``pages``: a page number and its JSON text. The depth is not known, so a helper walks each text.
+    ``pages``: a page number and its JSON text. Each round opens one level of all values that are left, so rounds are as
+    many as texts are deep. ``pos`` is (page, path), the path being the places of the levels above and its own; a node
+    comes before those inside it, and the fields of an object are in the order of their names. ``node`` is JSON text.
+    Null and broken texts, nodes that aren't objects and nodes without ``id`` give nothing.
     """
-
-    def walk(node, found: list) -> None:
-        stack = [node]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, dict):
-                if isinstance(x.get(key), dict):
-                    found.append(x[key])
-                stack += reversed(list(x.values()))
-            elif isinstance(x, list):
-                stack += reversed(x)
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for page, text in zip(pdf["page"], pdf["json"], strict=True):
-                found: list = []
-                try:
-                    walk(json.loads(text or "null"), found)
-                except ValueError:
-                    continue
-                rows += [(str(n.get("id")), page, i, json.dumps(n, sort_keys=True)) for i, n in enumerate(found) if n.get("id") is not None]
-            yield pd.DataFrame(rows, columns=["id", "page", "i", "node"])
-
-    spec = "id string, page long, i int, node string"
-    rows = pages.select(F.col(order).cast("long").alias("page"), F.col(body).alias("json")).mapInPandas(read, spec)
-    at = F.struct("page", "i")
-    return rows.groupBy("id").agg(F.min(at).alias("pos"), F.max_by("node", at).alias("node"))
+    level = pages.select(F.col(order).cast("long").alias("page"), F.array().cast("array<int>").alias("path"), F.try_parse_json(body).alias("value")).where("value is not null")
+    found = None
+    while True:
+        opened = level.lateralJoin(pages.sparkSession.tvf.variant_explode(F.col("value").outer()).toDF("at", "name", "inner"))
+        kind = F.substring(F.schema_of_variant("inner"), 1, 5)
+        opened = opened.select("page", F.array_append("path", F.col("at")).alias("path"), "name", F.col("inner").alias("value"), kind.alias("kind"))
+        opened = scratch.keep(opened.where("kind in ('OBJEC', 'ARRAY')"))
+        here = opened.where((F.col("name") == key) & (F.col("kind") == "OBJEC")).select("page", "path", "value")
+        found = here if found is None else found.unionByName(here)
+        if opened.isEmpty():
+            break
+        level = opened.select("page", "path", "value")
+    at = F.struct("page", "path")
+    rows = found.select(F.try_variant_get("value", "$.id", "string").alias("id"), at.alias("at"), F.to_json("value").alias("node")).where("id is not null")
+    return rows.groupBy("id").agg(F.min("at").alias("pos"), F.max_by("node", "at").alias("node"))

@@ -129,8 +129,8 @@ def test_feeds(spark, tmp_path):
     rows = read_photos(spark, str(tmp_path / "p.json")).orderBy("id").collect()
     assert [(r.caption, [tuple(p) for p in r.pictures]) for r in rows] == [("x", [("s", "", False)]), ("", [("a", "", True)])]
     pages = spark.createDataFrame([(0, '{"a":[{"video":{"id":"v","n":1}},{"b":{"video":{"id":"w"}}}]}'), (1, '{"video":{"id":"v","n":2}}'), (2, "broken")], "page long, json string")
-    got = {r.id: (tuple(r.pos), json.loads(r.node)) for r in find_nodes(pages, "video").collect()}
-    assert got == {"v": ((0, 0), {"id": "v", "n": 2}), "w": ((0, 1), {"id": "w"})}
+    got = {r.id: ((r.pos.page, r.pos.path), json.loads(r.node)) for r in find_nodes(pages, "video", Scratch(spark, "t")).collect()}
+    assert got == {"v": ((0, [0, 0, 0]), {"id": "v", "n": 2}), "w": ((0, [0, 1, 0, 0]), {"id": "w"})}
 
 
 def test_streamed_pages_come_once(spark, tmp_path):
