@@ -147,25 +147,30 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, max
     return fit_classifier(domain[order], [buckets[i] for i in order])
 
 
-def with_posteriors(rows: DataFrame, model: Classifier) -> DataFrame:
-    """``rows`` (text, and any others) with tokens long and p array<double> in the order of DOMAINS in place of the text."""
+def with_posteriors(rows: DataFrame, model: Classifier, *, within: int | None = None) -> DataFrame:
+    """``rows`` with tokens long and p array<double> in the order of DOMAINS.
+
+    The text is the column ``text``, which goes; or with ``within`` that field of the struct ``row``,
+    which stays, so that a text that is kept passes Python once.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)  # of fixed size
     others = [f for f in rows.schema.fields if f.name != "text"]
     made = [T.StructField("tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))]
     names = [f.name for f in others] + ["tokens", "p"]
+    lead = ["text"] if within is None else []
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            raw, offsets = text_buffers(batch.column(0))
+            raw, offsets = text_buffers(batch.column(0) if within is None else batch.column("row").field(within))
             for lo, hi in chunks(offsets):
                 flat, at, n = _features(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 p = model.posteriors(flat, at)
                 ends = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * len(DOMAINS))
                 found = [pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))]
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[1:], *found], names=names)
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[len(lead) :], *found], names=names)
 
-    return rows.select("text", *[f.name for f in others]).mapInArrow(predict, T.StructType([*others, *made]))
+    return rows.select(*lead, *[f.name for f in others]).mapInArrow(predict, T.StructType([*others, *made]))
 
 
 def floor_column(p: Column, targets: dict[str, float], least: float) -> Column:
@@ -257,7 +262,9 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     steps = fit_rates(table, targets, least=least)
     scratch.drop(table)
     new = ["tokens", *[f"p_{d}" for d in DOMAINS], "rate", "copies"]
-    out = with_posteriors(docs.select(text, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), model)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    plain = isinstance(docs.schema[text_col].dataType, T.StringType)
+    out = with_posteriors(docs.select(row), model, within=docs.columns.index(text_col)) if plain else with_posteriors(docs.select(text, row), model)
     out = out.withColumn("rate", rate_column(F.col("p"), steps, targets, least))
     copies = copies_column(F.col("rate"), F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`"))
     kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in new]
