@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archloom.operators import sections as S
+from archloom.operators.sections import RAIL_MAX, parent_id, prints_own_index
+from archloom.sources.scratch import Scratch
 from archloom.sources.tables import table
 
-RAIL_MAX = 20
-
-
-def parent_id(path: Column) -> Column:
-    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", ""))
-
 
 def ancestors(path: Column) -> Column:
     """Every proper prefix of a path at a ``/``, the farthest first."""
@@ -30,6 +27,19 @@ def place_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region.select("id", "title", "ord").unionByName(nation.select("id", "title", "ord")).unionByName(customer)
 
 
+def section_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, title, ord): the places, and customers as heads of their orders, below which are their lines."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    head = F.concat(F.lit("customer"), F.col("c_custkey").cast("string"))
+    order = F.concat(head, F.lit("/o"), F.col("o_orderkey").cast("string"))
+    customers = table(spark, sf_dir, "customer").select(head.alias("id"), F.col("c_name").alias("title"), F.col("c_custkey").cast("long").alias("ord"))
+    orders = o.select(order.alias("id"), F.concat("c_name", F.lit(": "), "o_orderpriority").alias("title"), F.col("o_orderkey").cast("long").alias("ord"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
+    lines = lines.join(o.select("o_orderkey", order.alias("order")), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.select(F.concat("order", F.lit("/l"), F.col("l_linenumber").cast("string")).alias("id"), F.concat(F.lit("Part "), F.col("part").cast("string")).alias("title"), F.col("l_linenumber").cast("long").alias("ord"))
+    return place_pages(spark, sf_dir).unionByName(customers).unionByName(orders).unionByName(lines)
+
+
 def child_lists(pages: DataFrame) -> DataFrame:
     """(parent, n, labels, own_index): children in order, named by what sets them apart; whether the parent prints its own index.
 
@@ -45,8 +55,7 @@ def child_lists(pages: DataFrame) -> DataFrame:
     counts = named.groupBy("parent").agg(F.count("*").alias("n"), F.max(F.char_length("label")).alias("longest"))
     first = named.withColumn("place", F.row_number().over(Window.partitionBy("parent").orderBy("ord", "id"))).where(F.col("place") <= RAIL_MAX)
     lists = first.groupBy("parent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda x: x["label"]), "|").alias("labels"))
-    own = (F.col("n") > RAIL_MAX) | ((F.col("n") > 6) & (F.col("longest") <= 5))
-    return counts.join(lists, "parent").select("parent", "n", "labels", own.alias("own_index"))
+    return counts.join(lists, "parent").select("parent", "n", "labels", prints_own_index(F.col("n"), F.col("longest")).alias("own_index"))
 
 
 def tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +98,18 @@ def section_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", "root", F.coalesce("section_size", F.lit(0)).alias("section_size"), nested.alias("nested"), anchor.alias("anchor"))
 
 
+def child_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every child of every parent in its place, however many there are."""
+    return S.ordered_children(section_pages(spark, sf_dir), Scratch(spark, "children"))
+
+
+def section_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stops of each section, where they are found, and what they list themselves."""
+    stops = S.section_stops(section_pages(spark, sf_dir), Scratch(spark, "sections"))
+    under = F.array_join(F.transform("under", lambda u: F.concat(u["id"], F.lit("="), u["label"])), "|")
+    return stops.select("root", "place", "id", "label", "merged", "target", under.alias("under"))
+
+
 _PAGES = """pages_ AS (
   SELECT lower(r_name) AS id, r_name AS title, r_regionkey::BIGINT AS ord FROM region
   UNION ALL SELECT lower(r_name) || '/' || lower(n_name), n_name, n_nationkey::BIGINT FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -101,9 +122,17 @@ _LISTS = """named AS (
   SELECT parent, count(*) AS n, string_agg(label, '|' ORDER BY ord, id) FILTER (place <= 20) AS labels, count(*) > 20 OR (count(*) > 6 AND max(length(label)) <= 5) AS own_index
   FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY ord, id) AS place FROM named) GROUP BY parent
 )"""
-QUERIES = {f.__name__: f for f in (tree_children, breadcrumbs, with_descendants, section_lists)}
+_SECTIONS = _PAGES.replace("pages_ AS", "few AS") + """, o AS (SELECT 'customer' || c_custkey || '/o' || o_orderkey AS id, o_orderkey, c_name || ': ' || o_orderpriority AS title FROM orders JOIN customer ON o_custkey = c_custkey),
+pages_ AS (SELECT * FROM few UNION ALL SELECT 'customer' || c_custkey, c_name, c_custkey::BIGINT FROM customer UNION ALL SELECT id, title, o_orderkey::BIGINT FROM o
+  UNION ALL SELECT id || '/l' || l_linenumber, 'Part ' || min(l_partkey), l_linenumber::BIGINT FROM lineitem JOIN o ON l_orderkey = o_orderkey GROUP BY id, l_linenumber)"""
+QUERIES = {f.__name__: f for f in (tree_children, breadcrumbs, with_descendants, section_lists, child_places, section_stops)}
 ORACLE_SQL = {
     "tree_children": f"WITH {_PAGES}, {_LISTS} SELECT parent, n, labels, own_index FROM lists",
+    "child_places": f"WITH {_SECTIONS}, {_LISTS} SELECT parent, row_number() OVER (PARTITION BY parent ORDER BY ord, id) AS place, id, label FROM named",
+    "section_stops": f"""WITH {_SECTIONS}, {_LISTS},
+kids AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY ord, id) AS place FROM named), u AS (SELECT parent, string_agg(id || '=' || label, '|' ORDER BY place) AS under FROM kids GROUP BY parent HAVING count(*) <= 20)
+SELECT k.parent AS root, place, k.id, label, NOT own_index AS merged, CASE WHEN own_index THEN k.id ELSE k.parent || '#' || string_split(k.id, '/')[-1] END AS target, CASE WHEN own_index THEN '' ELSE coalesce(under, '') END AS under
+FROM kids k JOIN lists l ON l.parent = k.parent LEFT JOIN u ON u.parent = k.id WHERE NOT contains(k.parent, '/')""",
     "breadcrumbs": f"WITH {_PAGES} SELECT c.id, coalesce(string_agg(p.title, ' > ' ORDER BY length(p.id)), '') AS trail FROM pages_ c LEFT JOIN pages_ p ON c.id LIKE p.id || '/%' GROUP BY c.id",
     "with_descendants": f"WITH {_PAGES} SELECT id, title FROM pages_ p WHERE EXISTS (SELECT 1 FROM pages_ c WHERE c.id LIKE p.id || '/%')",
     "section_lists": f"""WITH {_PAGES}, {_LISTS}
