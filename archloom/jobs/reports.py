@@ -66,7 +66,10 @@ def run_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HOST = "lower(regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1))"
-_RUN = f"""pg AS (SELECT page_id, url, fate, trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) AS title FROM pages JOIN ({crawl.ORACLE_SQL["page_fates"]}) USING (page_id)),
+_WORDS = "regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"
+for _name, _char in X.ENTITIES:
+    _WORDS = f"replace({_WORDS}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
+_RUN = f"""pg AS (SELECT page_id, url, fate, trim({_WORDS}) AS title FROM pages JOIN ({crawl.ORACLE_SQL["page_fates"]}) USING (page_id)),
 rf AS (SELECT url, kind, CASE WHEN ref LIKE '//%' THEN 'http:' || ref WHEN ref LIKE '/%' THEN 'http://' || {_HOST.format(u="url")} || ref ELSE ref END AS what FROM ({rewriting.ORACLE_SQL["rewritten_references"]}) JOIN pages USING (page_id)),
 im AS ({crawl.ORACLE_SQL["image_keep"]}),
 ho AS (SELECT host, visited, visited AND host IN (SELECT {_HOST.format(u="what")} FROM rf WHERE kind = 'unresolved') AS dangling FROM ({graph.ORACLE_SQL["unvisited_hosts"]}))"""
