@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -84,10 +85,13 @@ def without_supersets(found: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def mine_rules(labelled: DataFrame, scratch: Scratch, *, min_support: float, min_confidence: float, min_pages: int = 1) -> DataFrame:
-    """(rule_id, antecedent array<string>, confidence, support) of the minimal rules ``tokens -> block``.
+    """(rule_id, antecedent array<array<string>>, confidence, support) of the minimal rules ``tokens -> block``.
 
-    ``labelled``: tokens array<string>, block boolean. The pages with a rule's tokens and to block are at least ``min_support`` of
-    all and ``min_pages``, and ``min_confidence`` of those with its tokens. A rule that holds
+    An antecedent is met by a page that holds a token of each of its groups: those of a group stand in the same pages of
+    ``labelled``, so a rule of one of them is as good with any other, and elsewhere they may stand alone.
+
+    ``labelled``: tokens array<string>, block boolean. The pages with a rule's tokens and to block are at least ``min_support`` of all
+    and ``min_pages``, and ``min_confidence`` of those with its tokens. A rule that holds
     another one whole matches nothing more and goes, level by level: tokens that are rules alone are
     not mined on, nor are pairs, nor tokens of which no pair could become a rule; tokens that always
     stand together are one item. FP-growth gets what is left, so a url of hundreds of tokens that stand
@@ -96,7 +100,7 @@ def mine_rules(labelled: DataFrame, scratch: Scratch, *, min_support: float, min
     """
     rows = scratch.keep(labelled.where(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("page"), "block", "tokens"))
     total = labelled.count()
-    least = max(1, min_pages, math.ceil(min_support * total))
+    least = max(1, min_pages, math.ceil(Fraction(str(min_support)) * total))  # 0.07 * 100 is above 7 in doubles
     tokens = rows.select("page", "block", F.explode("tokens").alias("token"))
     groups = token_groups(tokens, scratch, least)
     singles = groups.where("token = item").select("item", "n_block", "n_all")
@@ -112,28 +116,33 @@ def mine_rules(labelled: DataFrame, scratch: Scratch, *, min_support: float, min
     baskets = scratch.keep(items.join(partners, "item", "left_semi").groupBy("page").agg(F.max("block").alias("block"), F.collect_list("item").alias("items")).where(F.size("items") > 2))
     mined = baskets.select(F.when(F.col("block"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items"))
     size = mined.count()
-    if size:
-        model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / size), minConfidence=min_confidence).fit(mined)
+    if size >= least:
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / size), minConfidence=min_confidence).fit(mined)
         more = model.associationRules.where(F.array_contains("consequent", BLOCK) & (F.size("antecedent") > 2))
         n_block = F.round(F.col("support") * size).cast("long")
         more = more.select(F.array_sort("antecedent").alias("antecedent"), n_block.alias("n_block"), F.round(n_block / F.col("confidence")).cast("long").alias("n_all"))
         two = two.unionByName(more)
     found = scratch.keep(one.unionByName(two).select(F.xxhash64("antecedent").alias("rule_id"), "antecedent", (F.col("n_block") / F.col("n_all")).alias("confidence"), (F.col("n_block") / F.lit(total)).alias("support")))
-    return without_supersets(found, scratch)
+    kept = without_supersets(found, scratch)
+    alike = kept.select("rule_id", "confidence", "support", F.explode("antecedent").alias("item")).join(groups.select("item", "token"), "item")
+    alike = alike.groupBy("rule_id", "confidence", "support", "item").agg(F.collect_set("token").alias("tokens"))
+    return alike.groupBy("rule_id", "confidence", "support").agg(F.collect_list("tokens").alias("antecedent"))
 
 
 def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(page_key) of the pages that hold all tokens of some rule.
+    """(page_key) of the pages that hold a token of each group of some rule.
 
-    Inverted index: each rule stands under its rarest token alone, so a page meets few rules, and
-    tokens that all pages share lead to none; the other tokens are then looked for in the page.
+    Inverted index: each rule stands under the tokens of its rarest group alone, so a page meets few rules, and
+    tokens that all pages share lead to none; the other groups are then looked for in the page.
     ``pages``: page_key, tokens.
     """
     counts = pages.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    used = rules.select("rule_id", "antecedent", F.explode("antecedent").alias("token")).join(counts, "token")
-    index = used.groupBy("rule_id", "antecedent").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    used = rules.select("rule_id", "antecedent", F.posexplode("antecedent").alias("group", "tokens"))
+    found = used.select("rule_id", "group", F.explode("tokens").alias("token")).join(counts, "token").groupBy("rule_id", "group").agg(F.sum("n").alias("n"))
+    rarest = found.groupBy("rule_id").agg(F.min_by("group", F.struct("n", "group")).alias("group"))
+    index = used.join(rarest, ["rule_id", "group"]).select("rule_id", "antecedent", F.explode("tokens").alias("token"))
     entries = pages.select("page_key", "tokens", F.explode("tokens").alias("token"))
-    hit = entries.join(index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    hit = entries.join(index, "token").where(F.forall("antecedent", lambda group: F.arrays_overlap(group, F.col("tokens"))))
     return hit.select("page_key").distinct()
 
 
