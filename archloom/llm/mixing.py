@@ -51,6 +51,17 @@ def _label_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(each, pa.binary())], names=["domain", "buckets"])
 
 
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row, the classifier of all (domain, buckets), in the bytes of its arrays; their order doesn't depend on partitions, so that sums come out alike."""
+    domain, buckets = [], []
+    for batch in batches:
+        domain += batch.column(0).to_pylist()
+        buckets += [np.frombuffer(b, np.int32) for b in batch.column(1).to_pylist()]
+    order = sorted(range(len(buckets)), key=lambda i: (domain[i], len(buckets[i]), zlib.crc32(buckets[i])))
+    model = fit_classifier(np.array([domain[i] for i in order], np.int64), [buckets[i] for i in order])
+    yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in (model.place, model.weights, model.bias)], names=["place", "weights", "bias"])
+
+
 @dataclass
 class Classifier:
     """Multinomial logistic regression on the presence of chosen features; ``place`` maps buckets to rows of ``weights``, 0 for none."""
@@ -74,9 +85,9 @@ class Classifier:
 def fit_classifier(domain: np.ndarray, buckets: list[np.ndarray], *, least_chi2: float = 24.0, most: int = 6000, passes: int = 120, decay: float = 1e-3) -> Classifier:
     """``domain``: 0..2 for each text; ``buckets``: its distinct features. Features are those that go with a domain beyond chance."""
     k, n = len(DOMAINS), len(domain)
-    flat = np.concatenate([np.zeros(0, np.int32), *buckets])
-    text = np.repeat(np.arange(n, dtype=np.int32), [len(b) for b in buckets])
-    counts = np.stack([np.bincount(flat[domain[text] == d], minlength=BUCKETS) for d in range(k)])
+    counts = np.zeros((k, BUCKETS), np.int32)
+    for d, b in zip(domain, buckets, strict=True):
+        counts[d, b] += 1  # a text's buckets are distinct
     sizes = np.bincount(domain, minlength=k).astype(float)
     df = counts.sum(axis=0)
     chi = np.zeros(BUCKETS)
@@ -90,8 +101,9 @@ def fit_classifier(domain: np.ndarray, buckets: list[np.ndarray], *, least_chi2:
     chosen = chosen[np.argsort(-chi[chosen], kind="stable")][:most]
     place = np.zeros(BUCKETS, np.int16)
     place[chosen] = np.arange(1, len(chosen) + 1)
-    held = place[flat] > 0
-    text, rows = text[held], place[flat[held]]
+    held = [found[found > 0] for found in (place[b] for b in buckets)]
+    text = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in held])
+    rows = np.concatenate([np.zeros(0, np.int16), *held])
     full, begin = np.unique(text, return_index=True)
     by_row = np.argsort(rows, kind="stable")
     used, first = np.unique(rows[by_row], return_index=True)
@@ -124,7 +136,7 @@ def fit_classifier(domain: np.ndarray, buckets: list[np.ndarray], *, least_chi2:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, max_train: int, max_bytes: int = MAX_TRAIN_BYTES, max_text: int = MAX_TEXT_BYTES) -> Classifier:
     """The classifier of the ``max_train`` labelled documents of least id hash, as far as ``max_bytes`` of text go.
 
-    A byte of text gives 8 bytes of features at most, so both bounds hold for what the driver gets. Of
+    A byte of text gives 8 bytes of features at most, so both bounds hold for the task that fits. Of
     rows with one id the text of least hash trains.
     """
     toxic, quality = F.coalesce(F.max("toxic"), F.lit(0)), F.coalesce(F.min("quality"), F.lit(1))
@@ -138,13 +150,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, max
     ids = F.broadcast(ids.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).select("_l", "tk", "domain"))
     spec = T.StructType([T.StructField("domain", T.IntegerType()), T.StructField("buckets", T.BinaryType())])
     chosen = rows.join(ids, ["_l", "tk"]).dropDuplicates(["_l", "tk"])
-    got = chosen.select("domain", "text").mapInArrow(_label_rows, spec).toArrow()
-    domain = got.column("domain").to_numpy().astype(np.int64)
-    buckets = [np.frombuffer(b, np.int32) for b in got.column("buckets").to_pylist()]
-    # an order that doesn't depend on partitions, so that sums come out alike
-    del got
-    order = sorted(range(len(buckets)), key=lambda i: (domain[i], len(buckets[i]), zlib.crc32(buckets[i])))
-    return fit_classifier(domain[order], [buckets[i] for i in order])
+    # the sample is bounded, so one task fits it; the driver gets the model alone, of fixed size
+    features = chosen.select("domain", "text").mapInArrow(_label_rows, spec).repartition(1)
+    place, weights, bias = features.mapInArrow(_fit_rows, "place binary, weights binary, bias binary").first()
+    return Classifier(np.frombuffer(place, np.int16), np.frombuffer(weights).reshape(-1, len(DOMAINS)), np.frombuffer(bias))
 
 
 def with_posteriors(rows: DataFrame, model: Classifier, *, within: int | None = None) -> DataFrame:

@@ -881,6 +881,17 @@ def test_mining_of_few_labels_equals_brute_force(spark):
     assert 0 < len(want) < 200
 
 
+def test_the_classifier_is_fitted_by_a_task(spark, docs, sf, monkeypatch):
+    from archloom.llm import mixing as M
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    fit = lambda: M.train(docs, labels, id_col="doc_id", text_col="text", max_train=100)
+    want = fit()
+    monkeypatch.setattr(M, "fit_classifier", lambda *a, **k: pytest.fail("the driver fits"))
+    got = fit()
+    assert (got.weights == want.weights).all() and (got.place == want.place).all() and (got.bias == want.bias).all()
+
+
 # -- the pipeline
 
 
