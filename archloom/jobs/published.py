@@ -36,13 +36,14 @@ def published_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = F.create_map(F.lit("title"), word, F.lit("source"), source, F.lit("year"), year.cast("string"))
     lists = F.create_map(F.lit("categories"), F.when(F.get(seg, 0) != "fr", F.array(F.get(seg, 0), F.concat(F.lit('the "'), F.get(seg, 0), F.lit('" \\ part')))))
     docs = _files(spark, sf_dir).select("id", fields.alias("fields"), lists.alias("lists"), F.regexp_extract("html", "(?s)<article>(.*)</article>", 1).alias("body"))
-    folder = Scratch(spark, "documents").root + "/tree"
+    scratch = Scratch(spark, "documents")
+    folder = scratch.root + "/tree"
     write_tree(D.to_markdown(docs), folder, text="markdown")
     back = D.split_front(read_tree(spark, folder), F.concat(F.lit("tree/"), "id"), "tree")
-    rows = back.select("id", "body", D.front_field("title").alias("title"), D.front_field("source").alias("source"), D.front_field("year").cast("int").alias("year"), D.front_list("categories").alias("categories"))
-    kept, quarantine = D.split_valid(D.validate(rows))
+    rows = back.select("id", F.md5("body").alias("body_md5"), D.front_field("title").alias("title"), D.front_field("source").alias("source"), D.front_field("year").cast("int").alias("year"), D.front_list("categories").alias("categories"))
+    kept, quarantine = D.split_valid(D.validate(scratch.keep(rows)))  # files are read and parsed once
     both = kept.withColumn("errors", F.array().cast("array<string>")).withColumn("kept", F.lit(True)).unionByName(quarantine.withColumn("kept", F.lit(False)))
-    return both.select("id", F.coalesce("title", F.lit("")).alias("title"), "source", F.col("year").cast("long").alias("year"), F.array_join("categories", "|").alias("categories"), F.array_join("errors", "; ").alias("errors"), "kept", F.md5("body").alias("body_md5"))
+    return both.select("id", F.coalesce("title", F.lit("")).alias("title"), "source", F.col("year").cast("long").alias("year"), F.array_join("categories", "|").alias("categories"), F.array_join("errors", "; ").alias("errors"), "kept", "body_md5")
 
 
 def tree_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

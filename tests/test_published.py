@@ -27,6 +27,17 @@ def test_tree_gives_texts_back(spark, tmp_path):
     assert read_tree(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_tree_needs_no_task_for_each_file(spark, tmp_path):
+    spark.sparkContext.setJobGroup("tree", "a tree of many files")
+    write_tree(spark.range(300).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("text")), str(tmp_path / "t"))
+    assert read_tree(spark, str(tmp_path / "t")).where("value = 'x'").count() == 300
+    status = spark.sparkContext.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup("tree") for s in status.getJobInfo(j).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(i.numTasks for i in map(status.getStageInfo, stages) if i) < 60
+    assert len(list((tmp_path / "t").rglob("*.txt"))) == 300
+
+
 def test_documents_round_trip(spark, tmp_path):
     fields = {"title": 'T "q" \\n x\ny\ttab\r', "year": "12", "empty": "", "gone": None}
     docs = [("tree/a", fields, {"cats": ["u", 'v "w" - x'], "no": []}, "---\nbody\n---\n"), ("b", {}, {}, None)]
