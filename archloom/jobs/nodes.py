@@ -19,10 +19,9 @@ STRIP = 6
 
 def list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items of each page's list of children, a row each, with the list's length (D33): a list may have any length."""
-    kids = Scratch(spark, "items").keep(ordered_children(section_pages(spark, sf_dir), Scratch(spark, "children")))
-    sizes = kids.groupBy("parent").agg(F.count("*").alias("n_items"))
+    kids = ordered_children(section_pages(spark, sf_dir), Scratch(spark, "children"))
     node = N.list_item(F.col("place"), F.col("label"), F.concat(F.lit(SITE), "id"))
-    return kids.join(sizes, "parent").select("parent", "n_items", "place", X.json_ld(node).alias("ld"))
+    return kids.select("parent", F.col("n").alias("n_items"), "place", X.json_ld(node).alias("ld"))
 
 
 def event_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,7 +100,7 @@ def section_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def child_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every child of every parent in its place, however many there are."""
-    return S.ordered_children(section_pages(spark, sf_dir), Scratch(spark, "children"))
+    return S.ordered_children(section_pages(spark, sf_dir), Scratch(spark, "children")).select("parent", "place", "id", "label")
 
 
 def section_stops(spark: SparkSession, sf_dir: str) -> DataFrame:

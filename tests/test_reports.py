@@ -63,6 +63,30 @@ def test_no_child_is_dropped(spark):
     assert ordered_children(none, Scratch(spark, "t")).count() == 0 and section_stops(none, Scratch(spark, "t")).count() == 0
 
 
+def test_long_lists_are_placed_by_ranges(spark):
+    kids = lambda p, n: spark.range(n).select(F.concat(F.lit(f"{p}/"), F.col("id").cast("string")).alias("id"), F.concat(F.lit(f"{p}: "), F.col("id").cast("string")).alias("title"), (F.col("id") % 3).alias("ord"))
+    pages = kids("long", 40).unionByName(kids("lost", 30)).unionByName(kids("short", 5)).unionByName(kids("gone", 2))
+    pages = pages.unionByName(spark.createDataFrame([("long", "long", 0), ("short", "short", 0)], "id string, title string, ord long"))
+    fields = ("parent", "place", "n", "there", "id", "label")
+    dealt, windowed = (sorted(tuple(r[f] for f in fields) for r in ordered_children(pages, Scratch(spark, "t"), most=m).collect()) for m in (10, 1000))
+    assert dealt == windowed and len(dealt) == 77
+    assert {(p, n, there) for p, _, n, there, _, _ in dealt} == {("long", 40, True), ("lost", 30, False), ("short", 5, True), ("gone", 2, False)}
+    assert [r[4:] for r in dealt if r[0] == "short"] == [(f"short/{i}", str(i)) for i in (0, 3, 1, 4, 2)] and dealt[0][5] == "gone: 0"
+
+
+def test_pages_are_read_once_for_their_children(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    pages = spark.range(50).select(F.when(F.col("id") == 0, "p").otherwise(F.concat(F.lit("p/"), F.col("id").cast("string"))).alias("id"), F.lit("t").alias("title"), F.col("id").alias("ord"))
+    once = pages.mapInArrow(count, pages.schema)
+    assert section_stops(once, Scratch(spark, "t")).count() == 49 and seen.value == 50
+
+
 def test_numbers_come_from_the_pass_that_writes(spark, tmp_path):
     rows = spark.range(1000, numPartitions=7).select("id", (F.col("id") % 10).alias("k")).repartition(5, "k")
     got = write_observed(rows, str(tmp_path / "a"), rows=F.count("*"), odd=F.count_if(F.col("id") % 2 == 1), total=F.sum("id"))
