@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archloom.functions import prose as P
@@ -76,27 +76,37 @@ def timeline_rows(paragraphs: DataFrame, *, least: int = 6) -> DataFrame:
         .when(marked, unmarked)
         .otherwise(F.regexp_replace("line", r"^[\s○◦•]+", ""))
     )
-    lines = lines.withColumn("kind", kind).withColumn("body", F.trim(body))
-    page = Window.partitionBy("page_id")
-    order = page.orderBy("pos", "i")
-    lines = lines.withColumn("n", F.count_if(F.col("kind") == "date").over(page)).where(F.col("n") >= least)
-    lines = lines.withColumn("in_run", F.max(F.when(F.col("kind") == "date", 1).otherwise(0)).over(Window.partitionBy("page_id", "pos"))).where("in_run = 1")
+    lines = lines.withColumn("kind", kind).select("page_id", "pos", "i", "kind", F.trim(body).alias("body"), F.col("d.label").alias("label"), F.col("d.year").alias("year"))
+    # one order serves all windows, so a task sorts its lines once; what is counted inside a group is a page's count less that before the group
+    order = Window.partitionBy("page_id").orderBy("pos", "i")
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+    page, paragraph = order.rowsBetween(*whole), Window.partitionBy("page_id", "pos").orderBy("i").rowsBetween(*whole)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.col("kind").isin("date", "label")
+
+    def counted(rows: DataFrame, name: str, start: str, flag: Column) -> DataFrame:
+        """``rows`` with ``name``, how many of ``flag`` there are from the group's first line (``start``) to this one."""
+        rows = rows.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("int")).withColumn("_all", F.sum("_flag").over(so_far))
+        rows = rows.withColumn("_before", F.max(F.when(F.col(start), F.col("_all") - F.col("_flag"))).over(so_far))
+        return rows.withColumn(name, F.col("_all") - F.col("_before")).drop("_flag", "_all", "_before")
+
+    lines = lines.withColumn("n", F.count_if(F.col("kind") == "date").over(page)).withColumn("in_run", F.max((F.col("kind") == "date").cast("int")).over(paragraph))
+    lines = lines.where((F.col("n") >= least) & (F.col("in_run") == 1)).drop("n", "in_run")
     first = F.coalesce(F.lag("pos").over(order) < F.col("pos") - 1, F.lit(True))
-    lines = lines.withColumn("run", F.sum(first.cast("int")).over(order))
-    inside = Window.partitionBy("page_id", "run").orderBy("pos", "i")
-    lines = lines.withColumn("entry", F.sum(F.col("kind").isin("date", "label").cast("int")).over(inside))
+    lines = lines.withColumn("first", first).withColumn("below", F.coalesce(F.lag("kind").over(order) == "label", F.lit(False)))
+    lines = lines.withColumn("run", F.sum(F.col("first").cast("int")).over(so_far))
+    lines = counted(lines, "entry", "first", opens)
     # an entry's first line says what it is; what stands before any, or below a label, is prose
-    opened = F.first("kind").over(Window.partitionBy("page_id", "run", "entry").orderBy("pos", "i"))
+    opened = F.last(F.when(F.col("first") | opens, F.col("kind")), True).over(so_far)
     lines = lines.withColumn("opened", opened).withColumn("shown", F.when(F.col("opened") == "date", "date").when(F.col("kind") == "label", "label").otherwise("prose"))
-    entry = Window.partitionBy("page_id", "run", "entry", "shown").orderBy("pos", "i")
+    lines = lines.withColumn("new", F.col("first") | opens | F.col("below"))
     is_event = (F.col("kind").isin("event", "wrap") | ((F.col("kind") == "date") & (F.col("body") != ""))) & (F.col("shown") == "date")
-    before = F.count_if(is_event).over(entry.rowsBetween(Window.unboundedPreceding, -1))
-    starts = is_event & ((F.col("kind") != "wrap") | (F.coalesce(before, F.lit(0)) == 0))
-    starts = starts | (F.col("shown") != "date")
-    lines = lines.withColumn("starts", starts.cast("int")).withColumn("event", F.sum("starts").over(entry))
+    lines = counted(lines.withColumn("is_event", is_event), "events", "new", F.col("is_event"))
+    starts = F.col("is_event") & ((F.col("kind") != "wrap") | (F.col("events") == 1))
+    lines = counted(lines, "event", "new", starts | (F.col("shown") != "date"))
     keys = ["page_id", "run", "entry", "shown"]
     part = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "i", "body"))), lambda x: x["body"]), " ")
-    events = lines.groupBy(*keys, "event").agg(part.alias("said"), F.max("d.label").alias("label"), F.max("d.year").alias("year"))
+    events = lines.groupBy(*keys, "event").agg(part.alias("said"), F.max("label").alias("label"), F.max("year").alias("year"))
     said = F.transform(F.array_sort(F.collect_list(F.when(F.col("event") > 0, F.struct("event", "said")))), lambda x: F.trim(x["said"]))
     out = events.groupBy(*keys).agg(F.max("label").alias("label"), F.max("year").alias("year"), said.alias("events"))
     return out.withColumnRenamed("shown", "kind")

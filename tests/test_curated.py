@@ -114,3 +114,19 @@ def test_numbered(spark):
     out = numbered(df, Scratch(spark, "t"), "s", "k").orderBy("n").collect()
     assert [(r.s, r.k) for r in out] == sorted(rows, key=lambda r: (r[0] or "", r[1])) and [r.n for r in out] == list(range(1, 205))
     assert numbered(df.limit(0), Scratch(spark, "t"), "s", "k").count() == 0
+
+
+def test_timelines_sort_their_lines_once(spark):
+    rows = spark.createDataFrame([(1, 1, "x")], "page_id long, pos int, text string")
+    plan = L.timeline_rows(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [page_id") == 1, plan
+
+
+def test_what_is_below_a_label_is_prose_of_its_own(spark):
+    days = "\n".join(f"**{d} May 1990** day {d}\n.. on" for d in range(1, 7))
+    text = f"lead\n.. lead on\n{days}\n**A label**\nbelow\n.. below on\n**7 May 1990**\n.. first\nsecond"
+    rows = spark.createDataFrame([(1, 0, text), (1, 1, "**8 May 1990**"), (1, 2, "no day"), (1, 3, "**9 May 1990**"), (2, 0, "**1 May 1990**")], "page_id long, pos int, text string")
+    got = [(r.page_id, r.run, r.entry, r.kind, list(r.events)) for r in L.timeline_rows(rows).orderBy("run", "entry", "kind").collect()]
+    days = [(1, 1, d, "date", [f"day {d} on"]) for d in range(1, 7)]
+    after = [(1, 1, 7, "label", ["A label"]), (1, 1, 7, "prose", ["below", "below on"]), (1, 1, 8, "date", ["first", "second"]), (1, 1, 9, "date", []), (1, 2, 1, "date", [])]
+    assert got == [(1, 1, 0, "prose", ["lead", "lead on"]), *days, *after]
