@@ -59,26 +59,43 @@ def write_feed(rows: DataFrame, folder: str, updated: str) -> None:
     rows.withColumn("updated", F.lit(updated)).write.mode("overwrite").json(folder)
 
 
+#: As many levels of a text are opened in one pass; those below are written, and opened in the next.
+LEVELS = 12
+
+
 def find_nodes(pages: DataFrame, key: str, scratch: Scratch, *, order: str = "page", body: str = "json") -> DataFrame:
     """(id, pos, node): every object under ``key`` at any depth, once for each id: the last value, at the first place.
 
-    ``pages``: a page number and its JSON text. Each round opens one level of all values that are left, so rounds are as
-    many as texts are deep. ``pos`` is (page, path), the path being the places of the levels above and its own; a node
-    comes before those inside it, and the fields of an object are in the order of their names. ``node`` is JSON text.
-    Null and broken texts, nodes that aren't objects and nodes without ``id`` give nothing.
+    ``pages``: a page number and its JSON text. Each round opens ``LEVELS`` levels of all values that are left and writes
+    the nodes, so rounds are a twelfth of what texts are deep. ``pos`` is (page, path), the path being the places of the
+    levels above and its own; a node comes before those inside it, and the fields of an object are in the order of their
+    names. ``node`` is JSON text. Null and broken texts, nodes that aren't objects and nodes without ``id`` give nothing.
     """
-    level = pages.select(F.col(order).cast("long").alias("page"), F.array().cast("array<int>").alias("path"), F.try_parse_json(body).alias("value")).where("value is not null")
+    level = pages.select(F.col(order).cast("long").alias("page"), F.array().cast("array<int>").alias("path"), F.try_parse_json(body).alias("value"))
     found = None
     while True:
-        opened = level.lateralJoin(pages.sparkSession.tvf.variant_explode(F.col("value").outer()).toDF("at", "name", "inner"))
-        kind = F.substring(F.schema_of_variant("inner"), 1, 5)
-        opened = opened.select("page", F.array_append("path", F.col("at")).alias("path"), "name", F.col("inner").alias("value"), kind.alias("kind"))
-        opened = scratch.keep(opened.where("kind in ('OBJEC', 'ARRAY')"))
-        here = opened.where((F.col("name") == key) & (F.col("kind") == "OBJEC")).select("page", "path", "value")
+        opened = level.withColumn("id", F.lit(None).cast("string"))
+        for _ in range(LEVELS):
+            opened = _opened(opened, key)
+        # the kind of a value costs a walk through all of it, so only the lowest ones are asked
+        deeper = F.substring(F.schema_of_variant("value"), 1, 5).isin("OBJEC", "ARRAY")
+        opened = scratch.keep(opened.where(F.when(F.col("id").isNull(), deeper).otherwise(True)))
+        here = opened.where("id is not null")
         found = here if found is None else found.unionByName(here)
-        if opened.isEmpty():
+        level = opened.where("id is null").select("page", "path", "value")
+        if level.isEmpty():
             break
-        level = opened.select("page", "path", "value")
     at = F.struct("page", "path")
-    rows = found.select(F.try_variant_get("value", "$.id", "string").alias("id"), at.alias("at"), F.to_json("value").alias("node")).where("id is not null")
-    return rows.groupBy("id").agg(F.min("at").alias("pos"), F.max_by("node", "at").alias("node"))
+    last = found.groupBy("id").agg(F.min(at).alias("pos"), F.max_by("value", at).alias("value"))
+    return last.select("id", "pos", F.to_json("value").alias("node"))
+
+
+def _opened(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (page, path, value, id) with what is directly in the values that have no id yet; the objects under ``key`` that have one come with it, and once more to be opened."""
+    live = F.when(F.col("id").isNull(), F.col("value"))
+    inside = rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(live.outer()).toDF("at", "name", "inner"))
+    own = F.when(F.col("name") == key, F.try_variant_get("inner", "$.id", "string"))
+    inside = inside.where("id is not null or inner is not null").withColumn("own", own)
+    path, value = (F.when(F.col("id").isNull(), new).otherwise(F.col(old)) for new, old in ((F.array_append("path", F.col("at")), "path"), (F.col("inner"), "value")))
+    ids = F.when(F.col("own").isNotNull(), F.array(F.col("own"), F.lit(None))).otherwise(F.array("id"))
+    return inside.select("page", path.alias("path"), value.alias("value"), F.explode(ids).alias("id"))

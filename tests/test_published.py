@@ -2,11 +2,12 @@
 
 import json
 import random
+from unittest import mock
 
 import pytest
 from pyspark.sql import functions as F
 
-from archloom.jobs import graph
+from archloom.jobs import extraction, graph
 from archloom.operators.graph import host_closure
 from archloom.sources import documents as D
 from archloom.sources.feeds import find_nodes
@@ -100,6 +101,42 @@ def test_nodes_at_any_depth(spark):
     assert find_nodes(spark.createDataFrame([], "page long, json string"), "video", Scratch(spark, "t")).count() == 0
 
 
+def test_many_levels_are_opened_in_a_pass(spark):
+    rounds = []
+
+    class Counted(Scratch):
+        def keep(self, df):
+            rounds.append(df)
+            return super().keep(df)
+
+    def nested(depth, inner):
+        return inner if depth == 0 else {"a": nested(depth - 1, inner)} if depth % 2 else [nested(depth - 1, inner), "video"]
+
+    def passes(depths):
+        rounds.clear()
+        pages = [(n, json.dumps(nested(d, {"video": {"id": d % 4, "n": n, "more": [{"video": {"id": "in"}}]}}))) for n, d in enumerate(depths)]
+        got = find_nodes(spark.createDataFrame(pages, "page long, json string"), "video", Counted(spark, "t")).collect()
+        assert {r.id: ((r.pos.page, r.pos.path), json.loads(r.node)) for r in got} == plain_nodes(pages, "video")
+        return len(rounds)
+
+    assert passes(range(7)) == 1
+    assert passes(range(30)) == 3
+
+
+def test_feed_is_dealt_out_before_it_is_parsed(spark, sf):
+    plans = []
+
+    class Seen(Scratch):
+        def keep(self, df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().keep(df)
+
+    with mock.patch("archloom.jobs.extraction.Scratch", Seen):
+        extraction.feed_nodes(spark, sf)
+    above, _, below = plans[0].partition("Exchange hashpartitioning(event_id")
+    assert "parseJson" in above and below and "parseJson" not in below and len(plans) == 1
+
+
 def plain_closure(edges, start, given, named):
     """The crawl with one queue."""
     out, taken, seen, hop = {}, set(), set(start), 0
