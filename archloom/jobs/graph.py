@@ -48,9 +48,13 @@ def _links(spark: SparkSession, sf_dir: str, scratch: Scratch) -> DataFrame:
 
 def host_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts reached from the mobile sites, by hop (G1), each host with its own prefix: ``host_claims`` is the crawl with prefixes by label."""
-    prefixes = _hosts(spark, sf_dir).select("host").distinct().withColumn("prefix", F.concat(F.lit("plays/"), F.translate("host", ".", "-")))
     scratch = Scratch(spark, "closure")
-    out = closure(_links(spark, sf_dir, scratch), _start(spark, sf_dir), prefixes, scratch)
+    return _closure(spark, sf_dir, _links(spark, sf_dir, scratch), scratch)
+
+
+def _closure(spark: SparkSession, sf_dir: str, links: DataFrame, scratch: Scratch) -> DataFrame:
+    prefixes = _hosts(spark, sf_dir).select("host").distinct().withColumn("prefix", F.concat(F.lit("plays/"), F.translate("host", ".", "-")))
+    out = closure(links, _start(spark, sf_dir), prefixes, scratch)
     return out.select("host", F.col("hop").cast("long").alias("hop"), "status")
 
 
@@ -127,8 +131,10 @@ def link_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unvisited_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts that are linked to, and whether the crawl from the mobile sites visited them."""
-    linked = host_edges(spark, sf_dir).select(F.col("dst").alias("host")).distinct()
-    visited = host_closure(spark, sf_dir).where("status = 'crawled'").select("host", F.lit(True).alias("visited"))
+    scratch = Scratch(spark, "unvisited")
+    links = _links(spark, sf_dir, scratch)
+    linked = links.select(F.col("dst").alias("host")).distinct()
+    visited = _closure(spark, sf_dir, links, scratch).where("status = 'crawled'").select("host", F.lit(True).alias("visited"))
     return linked.join(visited, "host", "left").select("host", F.coalesce("visited", F.lit(False)).alias("visited"))
 
 

@@ -17,7 +17,14 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", U.host(F.col("url")).alias("host"), body.alias("body"))
 
 
-def _known(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _dispositions(spark: SparkSession, sf_dir: str, scratch: Scratch) -> DataFrame:
+    """What the references of the pages become. References and routes are read from the pages once and written, as each lookup asks for them again."""
+    targets = scratch.keep(W.link_targets(_bodies(spark, sf_dir)))
+    routes, media = _known(spark, sf_dir, targets)
+    return W.dispositions(targets, scratch.keep(routes), media)
+
+
+def _known(spark: SparkSession, sf_dir: str, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Routes of the pages (their host's name, then their segments), also by what their titles' first words are; and no images' copies but jpg and png."""
     pages = table(spark, sf_dir, "pages")
     place = F.concat_ws("/", F.translate(U.host(F.col("url")), ".", "-"), F.array_join(U.segments(F.col("url")), "/"))
@@ -25,21 +32,20 @@ def _known(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     # the short address of a page on its host: the first word of its heading
     word = F.regexp_extract("html", r"<h1>([^\s<&]+)", 1)
     short = pages.where(word != "").select(U.canonical(F.concat(F.lit("http://"), U.host(F.col("url")), F.lit("/"), word)).alias("url"), place.alias("route"))
-    refs = W.link_targets(_bodies(spark, sf_dir)).where("image and url is not null").select("url").distinct()
+    refs = targets.where("image and url is not null").select("url").distinct()
     media = refs.where(F.col("url").rlike(r"(?i)\.(jpe?g|png)$")).select("url", U.media_key(F.col("url")).alias("key"))
     return own.unionByName(short).where("url is not null"), media
 
 
 def rewritten_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's different references and what they become."""
-    return W.dispositions(W.link_targets(_bodies(spark, sf_dir)), *_known(spark, sf_dir)).select("page_id", "ref", "image", "kind", F.col("to").alias("address"))
+    return _dispositions(spark, sf_dir, Scratch(spark, "references")).select("page_id", "ref", "image", "kind", F.col("to").alias("address"))
 
 
 def rewritten_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies with links to routes, images to copies and unknown ones as plain words."""
-    bodies = _bodies(spark, sf_dir)
-    found = Scratch(spark, "rewrite").keep(W.dispositions(W.link_targets(bodies), *_known(spark, sf_dir)))
-    out = W.rewrite_bodies(bodies, found)
+    scratch = Scratch(spark, "rewrite")
+    out = W.rewrite_bodies(_bodies(spark, sf_dir), scratch.keep(_dispositions(spark, sf_dir, scratch)))
     links = F.size(F.regexp_extract_all("body", F.lit('<a href="'), F.lit(0)))
     return out.select("page_id", F.md5("body").alias("body_md5"), F.char_length("body").cast("long").alias("n_chars"), links.cast("long").alias("n_links"))
 

@@ -104,3 +104,12 @@ def test_report_is_read_back(spark, tmp_path):
     assert sorted(tuple(r) for r in read_exceptions(spark, folder).collect()) == [("a list", "", "x"), ("a list", "http://a/", ""), ("other/list", "x", "")]
     write_report(spark, folder, {"pages": 0}, listed(rows.limit(0), "a list", F.col("u")))
     assert read_exceptions(spark, folder).count() == 0
+
+
+def test_pages_are_read_once_for_their_references_and_hosts(spark, sf):
+    from archloom.jobs import graph, rewriting
+
+    for job in (rewriting.rewritten_references, graph.unvisited_hosts):
+        rows = job(spark, sf)
+        assert "html" not in rows._jdf.queryExecution().optimizedPlan().toString()
+        assert rows.count() > 0
